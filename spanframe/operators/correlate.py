@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.functions.coords import bin_start
+from spanframe.functions.stats import safe_corr
 from spanframe.functions.pvalues import p_value_fisher, p_value_t
 from spanframe.operators.overlap import KEYS
 from spanframe.operators.scan import avg_rank
@@ -49,7 +50,7 @@ def pearson(aligned: DataFrame, by: Sequence[str]) -> DataFrame:
     a, b = F.col("value_a").cast("double"), F.col("value_b").cast("double")
     stats = aligned.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        F.corr(a, b).alias("_r"),
+        safe_corr(a, b).alias("_r"),
         F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"),
         F.stddev_samp(a).alias("sd_a"), F.stddev_samp(b).alias("sd_b"),
     )

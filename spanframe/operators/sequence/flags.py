@@ -44,8 +44,9 @@ def stability_windows(df: DataFrame, window: int = 100) -> DataFrame:
         "seq_id", (F.col("s") / window).cast("int").alias("w"),
         F.substring("_raw", F.col("s") + 1, F.lit(window + 1)).cast("string").alias("part"),
     )
-    return with_step_counts(cut, "part").where(step_total() > 0).select(
-        "seq_id", "w", F.round(step_sum(K.NN_DELTA_G37) / step_total(), 4).alias("dg")
+    # The aggregate (one row per key) keeps later filters from copying the long count expressions.
+    return with_step_counts(cut, "part").groupBy("seq_id", "w").agg(
+        F.max(F.round(step_sum(K.NN_DELTA_G37) / step_total(), 4)).alias("dg")
     )
 
 
@@ -72,9 +73,10 @@ def flags(df: DataFrame, window: int = 100, islands: DataFrame | None = None) ->
     )
     runs = motifs.homopolymers(plain, K.FLAG_HOMOPOLYMER)
     nothing = F.lit(None)
-    z = with_step_counts(plain.withColumn("sequence", clean(F.col("sequence")))).where(
-        F.round(step_sum(K.Z_FORM) / step_total(), 3) < K.FLAG_Z_FORM
-    )
+    # Filtering after an aggregate keeps the optimizer from copying the long count expressions.
+    z = with_step_counts(plain.withColumn("sequence", clean(F.col("sequence")))).groupBy("seq_id").agg(
+        F.max(F.round(step_sum(K.Z_FORM) / step_total(), 3)).alias("z")
+    ).where(F.col("z") < K.FLAG_Z_FORM)
     many = found.groupBy("seq_id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= K.FLAG_SILENCING_ISLANDS)
     repeats = motifs.kmer_repeats(plain, K.FLAG_KMER)
     repeat_code = F.when(F.col("kind") == "direct", "DIRECT_REPEAT").otherwise("INVERTED_REPEAT")
@@ -105,10 +107,10 @@ def summary_columns(salt_mm: float, oligo_nm: float) -> dict[str, Column]:
     some = lambda c: F.when(steps > 0, c)
     return {
         "length_bp": n,
-        "n_fraction": F.round(1.0 - F.length(cut) / n, 4),
+        "n_fraction": F.round(1.0 - F.try_divide(F.length(cut), n), 4),
         "gc_content": F.round("_gc", 4),
         "cpg_count": pair_count(seq, "CG"),
-        "cpg_density": F.round(pair_count(seq, "CG") / n, 5),
+        "cpg_density": F.round(F.try_divide(pair_count(seq, "CG"), n), 5),
         "melting_temp": F.round(melt["melting_temp"], 1),
         "tm_method": melt["tm_method"],
         "mean_stacking_dg_salt": some(F.round(salt_delta_g(salt_mm) / steps, 3)),

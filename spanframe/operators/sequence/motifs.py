@@ -80,7 +80,10 @@ def z_runs(plain: DataFrame) -> DataFrame:
         "seq_id", "start", "end",
         F.substring("sequence", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("part"),
     )
-    scored = with_step_counts(text, "part").withColumn("score", step_sum(K.Z_FORM) / step_total())
+    # Filtering after an aggregate keeps the optimizer from copying the long count expressions.
+    scored = with_step_counts(text, "part").groupBy("seq_id", "start", "end").agg(
+        F.max(step_sum(K.Z_FORM) / step_total()).alias("score")
+    )
     return scored.where(F.col("score") < 2.5).select(
         "seq_id", "start", "end", F.lit("z_dna_prone").alias("motif"), F.round("score", 2).alias("score")
     )

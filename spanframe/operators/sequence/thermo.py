@@ -59,27 +59,29 @@ def thermo_summary(df: DataFrame, salt_mm: float = 1000.0) -> DataFrame:
     return _counted(df).select("seq_id", *[c.alias(k) for k, c in cols.items()])
 
 
-def thermo_profile(df: DataFrame, salt_mm: float = 1000.0, size: int = CHUNK) -> DataFrame:
+def thermo_profile(df: DataFrame, salt_mm: float = 1000.0, size: int = CHUNK, digits: int = 2) -> DataFrame:
     """Per-step energies and the running salt-corrected total.
 
     Chunk totals come from step counts of the compact chunk strings; only those
-    totals are accumulated along the sequence.
+    totals are accumulated along the sequence. Sums run over whole micro-kcal,
+    so they do not depend on the order of addition.
     """
     term = K.SALT_ENTROPY * math.log(salt_mm / 1000.0)
+    micro = {d: round((K.NN_DELTA_H[d] - K.KELVIN_37 * (K.NN_DELTA_S[d] + term) / 1000.0) * 1e6) for d in K.DINUCLEOTIDES}
     totals = with_step_counts(
         chunks(df.select("seq_id", "sequence"), 0, 1, size, spread=False), "piece"
-    ).select("seq_id", "chunk", salt_delta_g(salt_mm).alias("_t"))
+    ).select("seq_id", "chunk", reduce(add, [F.col(f"c_{d}").cast("long") * F.lit(m) for d, m in micro.items()]).alias("_t"))
     earlier = Window.partitionBy("seq_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("seq_id", "chunk", F.coalesce(F.sum("_t").over(earlier), F.lit(0.0)).alias("_offset"))
+    offsets = totals.select("seq_id", "chunk", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_offset"))
     known = steps(df.select("seq_id", "sequence"), size=size).where(F.col("code").isNotNull() & F.col("core"))
-    salted = by_code(F.col("code"), K.NN_DELTA_H) - K.KELVIN_37 * (by_code(F.col("code"), K.NN_DELTA_S) + term) / 1000.0
+    salted = by_code(F.col("code"), micro).cast("long")
     inside = Window.partitionBy("seq_id", "chunk").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     run = known.withColumn("_g", salted).withColumn("_run", F.sum("_g").over(inside))
     return run.join(offsets, ["seq_id", "chunk"]).select(
         "seq_id", "i", "dinucleotide",
         by_code(F.col("code"), K.NN_DELTA_H).alias("delta_h"), by_code(F.col("code"), K.NN_DELTA_S).alias("delta_s"),
-        by_code(F.col("code"), K.NN_DELTA_G37).alias("delta_g_37"), F.round("_g", 2).alias("delta_g_salt"),
-        F.round(F.col("_offset") + F.col("_run"), 2).alias("cumulative_dg"),
+        by_code(F.col("code"), K.NN_DELTA_G37).alias("delta_g_37"), F.round(F.col("_g") / 1e6, digits).alias("delta_g_salt"),
+        F.round((F.col("_offset") + F.col("_run")) / 1e6, digits).alias("cumulative_dg"),
     )
 
 
@@ -333,7 +335,7 @@ def region_features(df: DataFrame) -> DataFrame:
     """Mean and sample sd of step properties, CpG observed/expected and step entropy (bits)."""
     seq = F.col("sequence")
     n = step_total()
-    counted = _counted(df).withColumns({"_c": base_count(seq, "C"), "_g": base_count(seq, "G"),
+    counted = _counted(df.where(F.upper("sequence").rlike("[ACGT]{2}"))).withColumns({"_c": base_count(seq, "C"), "_g": base_count(seq, "G"),
                                         "_known": F.length(clean(seq)), "gc": gc_fraction(seq)})
     second, first = step_sum(K.NN_DELTA_G37, 2), step_sum(K.NN_DELTA_G37)
     spread = F.when(n >= 2, F.sqrt(F.greatest(F.lit(0.0), (second - first * first / n) / (n - 1)))).otherwise(0.0)
@@ -345,7 +347,7 @@ def region_features(df: DataFrame) -> DataFrame:
     )
     means = {"mean_dg37": K.NN_DELTA_G37, "mean_roll": K.ROLL, "mean_tilt": K.TILT, "mean_twist": K.TWIST,
              "mean_rise": K.RISE, "mean_deformability": K.DEFORMABILITY, "mean_a_form": K.A_FORM, "mean_z_form": K.Z_FORM}
-    return counted.where(n > 0).select(
+    return counted.select(
         "seq_id", "gc", *[_mean(t).alias(k) for k, t in means.items()], spread.alias("std_dg37"),
         F.when(product > 0, F.col("c_CG") * F.col("_known") / product).otherwise(0.0).alias("cpg_obs_exp"),
         entropy.alias("dinuc_entropy"),
@@ -362,7 +364,7 @@ def window_tracks(df: DataFrame, size: int = 1000) -> DataFrame:
     unknown = F.length("window") - F.length(clean(F.col("window")))
     wins = known_windows(df, size).where((F.length("window") >= 100) & (unknown <= 0.5 * F.length("window")))
     keyed = wins.select("seq_id", F.col("start_pos").alias("win"), F.col("window").alias("sequence"))
-    counted = with_step_counts(keyed).where(step_total() > 0)
+    counted = with_step_counts(keyed.where(F.col("sequence").rlike("[ACGT]{2}")))
     known = F.length("sequence") - base_count(F.col("sequence"), "N")
     gc = gc_fraction(F.col("sequence"))
     base = counted.select(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanframe.functions import constants as K
+from spanframe.functions.stats import safe_corr
 from spanframe.functions.seqexpr import normalise, pair_count, step_sum, step_total, with_step_counts
 from spanframe.operators.sequence.motifs import G4, runs_pattern
 from spanframe.operators.sequence.thermo import GROOVES, STRUCTURE, curvature
@@ -43,7 +44,7 @@ def _periodicity(both: DataFrame) -> DataFrame:
     )
     order = Window.partitionBy("variant_id", "allele").orderBy("i")
     lagged = rows.withColumns({"y10": F.lag("x", 10).over(order), "y11": F.lag("x", 11).over(order)})
-    clean_corr = lambda y: F.coalesce(F.nanvl(F.corr("x", y), F.lit(0.0)), F.lit(0.0))
+    clean_corr = lambda y: F.coalesce(safe_corr(F.col("x"), F.col(y)), F.lit(0.0))
     return lagged.groupBy("variant_id", "allele").agg(
         ((clean_corr("y10") + clean_corr("y11")) / 2).alias("periodicity"), F.sum("x").alias("_hits")
     ).withColumn("periodicity", F.when(F.col("_hits") >= 2, F.col("periodicity")).otherwise(0.0)).drop("_hits")

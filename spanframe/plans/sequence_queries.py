@@ -52,12 +52,12 @@ def _(t):
 
 @query("q2_thermo_profile", seq_oracle("""
 SELECT seq_id, i, d AS dinucleotide, delta_h / 100.0 AS delta_h, delta_s / 100.0 AS delta_s,
-       delta_g_37 / 100.0 AS delta_g_37, round(g, 2) AS delta_g_salt,
-       round(sum(g) OVER (PARTITION BY seq_id ORDER BY i), 2) AS cumulative_dg
-FROM (SELECT *, CAST(delta_h / 100.0 - (273.15 + 37) * (delta_s / 100.0 + 0.0) / 1000.0 AS DOUBLE) AS g
+       delta_g_37 / 100.0 AS delta_g_37, round(g / CAST(1e6 AS DOUBLE), 6) AS delta_g_salt,
+       round(CAST(sum(g) OVER (PARTITION BY seq_id ORDER BY i) AS DOUBLE) / CAST(1e6 AS DOUBLE), 6) AS cumulative_dg
+FROM (SELECT *, CAST(round((delta_h / 100.0 - (273.15 + 37) * (delta_s / 100.0) / 1000.0) * 1e6) AS BIGINT) AS g
       FROM steps JOIN props USING (d))"""))
 def _(t):
-    return thermo.thermo_profile(t.sequences)
+    return thermo.thermo_profile(t.sequences, digits=6).withColumn("i", F.col("i").cast("long"))
 
 
 @query("q3_extinction", seq_oracle(f"""
@@ -457,7 +457,7 @@ def _(t):
 @query("q24_dinuc_index", seq_oracle("""
 SELECT seq_id, i, CAST((instr('ACGT', d[1]) - 1) * 4 + instr('ACGT', d[2]) - 1 AS INT) AS code FROM steps"""))
 def _(t):
-    return steps.dinuc_index(t.sequences)
+    return steps.dinuc_index(t.sequences).withColumn("i", F.col("i").cast("long"))
 
 
 # Log-odds matrix of the example motif CCTCCCT, rows A C G T.
@@ -470,9 +470,8 @@ PWM_ROWS = "SELECT * FROM (VALUES " + ", ".join(
 
 
 @query("q25_pwm_scan", seq_oracle("""
-SELECT seq_id, i AS "start", i + 7 AS "end", strand, round(score, 6) AS score FROM (SELECT x.seq_id, x.i, p.strand, sum(p.s) AS score FROM (
-  SELECT b.seq_id, b.i, g.l, lead(b.b, CAST(0 AS BIGINT)) OVER (PARTITION BY b.seq_id, g.l ORDER BY b.i) AS x0, c.b AS base
-  FROM bases b CROSS JOIN (SELECT unnest(range(0, 7)) AS l) g JOIN bases c ON c.seq_id = b.seq_id AND c.i = b.i + g.l) x
+SELECT seq_id, i AS "start", i + 7 AS "end", strand, round(score, 6) AS score FROM (SELECT x.seq_id, x.i, p.strand, CAST(sum(p.s) AS DOUBLE) AS score FROM (
+  SELECT c.seq_id, c.i - g.l AS i, g.l, c.b AS base FROM bases c CROSS JOIN (SELECT unnest(range(0, 7)) AS l) g WHERE c.i >= g.l) x
   JOIN pwm p ON p.l = x.l AND p.base = x.base GROUP BY 1, 2, 3 HAVING count(*) = 7) WHERE score >= 8""", pwm=PWM_ROWS))
 def _(t):
     out = motifs.pwm_scan(t.sequences, MOTIF, 8.0)
