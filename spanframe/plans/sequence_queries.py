@@ -379,7 +379,7 @@ VSUM = """SELECT variant_id, allele, round(sum(delta_g_37) / 100.0, 2) AS dg37,
   round((sum(delta_h) / 100.0 - (273.15 + 37) * (sum(delta_s) / 100.0) / 1000.0) / count(*), 3) AS mean_dg,
   round(sum(twist) / 100.0 / count(*), 3) AS tw, round(sum(minor_groove_width) / 100.0 / count(*), 3) AS mg,
   count(*) FILTER (d = 'CG') AS cpg FROM vs JOIN props USING (d) GROUP BY 1, 2"""
-VPER = """SELECT variant_id, allele, (coalesce(corr(x, y10), 0) + coalesce(corr(x, y11), 0)) / 2 AS per FROM (
+VPER = """SELECT variant_id, allele, (coalesce(nullif(corr(x, y10), 'nan'::DOUBLE), 0) + coalesce(nullif(corr(x, y11), 'nan'::DOUBLE), 0)) / 2 AS per FROM (
   SELECT variant_id, allele, x, lag(x, 10) OVER w AS y10, lag(x, 11) OVER w AS y11 FROM (SELECT variant_id, allele, i,
     CASE WHEN d IN ('AA', 'TT', 'AT', 'TA') THEN 1.0 ELSE 0.0 END AS x FROM vs) WINDOW w AS (PARTITION BY variant_id, allele ORDER BY i)) GROUP BY 1, 2"""
 
