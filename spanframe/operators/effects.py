@@ -155,18 +155,26 @@ def masked_cosine(a, b, mask_a, mask_b) -> tuple:
     return F.when((na > 0) & (nb > 0), dot / (F.sqrt(na) * F.sqrt(nb))), F.size(kept)
 
 
-def cosine_similar(vectors: DataFrame, queries: DataFrame, identity: str, k: int, min_coverage: float = 0.5) -> DataFrame:
+def cosine_similar(
+    vectors: DataFrame, queries: DataFrame, identity: str, k: int, min_coverage: float = 0.5, broadcast_rows: int = 10_000,
+    slots: int = 256,
+) -> DataFrame:
     """Top ``k`` similar rows per query vector by masked cosine over all rows.
 
-    ``queries`` names query ids (a short list given by the caller); their vectors
-    travel to the table, each task keeps only its own best ``k``.
+    Up to ``broadcast_rows`` query vectors (counted first) travel to the table;
+    a longer list meets it in hashed slots instead. Either way each task keeps
+    only its own best ``k`` per query before the final ranking.
     """
-    named = vectors.join(F.broadcast(queries.select(identity).limit(10_000)), identity, "left_semi")
-    asked = named.select(
-        F.col(identity).alias("query_id"), F.col("vector").alias("qv"), F.col("mask").alias("qm"), F.lit(0).alias("_k")
+    few = queries.select(identity).limit(broadcast_rows + 1).count() <= broadcast_rows
+    asked = vectors.join(queries.select(identity).distinct(), identity, "left_semi").select(
+        F.col(identity).alias("query_id"), F.col("vector").alias("qv"), F.col("mask").alias("qm")
     )
-    # The query list is bounded above, so the equi-join on a constant ships only it.
-    pairs = vectors.withColumn("_k", F.lit(0)).join(F.broadcast(asked), "_k").where(F.col(identity) != F.col("query_id"))
+    if few:
+        left, right = vectors.withColumn("_slot", F.lit(0)), F.broadcast(asked.withColumn("_slot", F.lit(0)))
+    else:
+        left = vectors.withColumn("_slot", F.pmod(F.xxhash64(identity), F.lit(slots)).cast("int"))
+        right = asked.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    pairs = left.join(right, "_slot").where(F.col(identity) != F.col("query_id"))
     score, shared = masked_cosine(F.col("qv"), F.col("vector"), F.col("qm"), F.col("mask"))
     scored = pairs.select("query_id", identity, score.alias("similarity"), shared.alias("n_shared"), F.size("qv").alias("_d"))
     good = scored.where(F.col("similarity").isNotNull() & (F.col("n_shared") / F.col("_d") >= min_coverage)).drop("_d")
