@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("interval_queries", "sequence_queries", "statistics_queries", "table_queries")
+MODULES = ("interval_queries", "sequence_queries", "statistics_queries", "table_queries", "source_queries")
 
 
 def load_all() -> None:
