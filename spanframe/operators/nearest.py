@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanframe.functions import constants as K
 from spanframe.functions.classify import site_context
 from spanframe.operators.overlap import KEYS, overlap_join
 from spanframe.operators.scan import running
@@ -73,7 +74,7 @@ def classify_sites(
     sites: DataFrame, islands: DataFrame, identity: Sequence[str], levels: list[int] | None = None
 ) -> DataFrame:
     """Island, shore, shelf or open sea for every site, from its nearest island within 4 kb."""
-    found = nearest_within(sites, islands.select(*KEYS, "start_pos", "end_pos"), identity, 4000, levels=levels)
+    found = nearest_within(sites, islands.select(*KEYS, "start_pos", "end_pos"), identity, K.SHELF_DISTANCE + 1, levels=levels)
     return found.withColumn(
         "context", site_context(F.col("pos"), F.col("b_start_pos"), F.col("b_end_pos"))
     ).drop("b_start_pos", "b_end_pos", "distance")

@@ -107,7 +107,7 @@ def _(t):
 
 ISLANDS = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_row ORDER BY d, start_pos, end_pos) AS rn FROM (
   SELECT p.event_id AS p_row, b.start_pos, b.end_pos, abs(b.start_pos - p.pos) AS d
-  FROM points p JOIN domains b ON p.chr_id = b.chr_id AND b.start_pos < p.pos + 4000 AND b.end_pos > p.pos - 4000))
+  FROM points p JOIN domains b ON p.chr_id = b.chr_id AND b.start_pos < p.pos + 4001 AND b.end_pos > p.pos - 4001))
   WHERE rn = 1"""
 
 
