@@ -18,9 +18,21 @@ from pyspark.sql import functions as F
 from spanframe.functions.constants import BASES, DINUCLEOTIDES, STEP_SCALE
 
 
+def replace_each(text: Column, pairs: dict[str, str]) -> Column:
+    """Plain replacements one after the other; much faster than a per-character translation."""
+    for old, new in pairs.items():
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
 def normalise(sequence: Column) -> Column:
-    """Upper case, white space removed, ambiguity codes as N."""
-    return F.translate(F.upper(sequence), "RYSWKMBDHVU \n\r\t", "NNNNNNNNNNN")
+    """Upper case, white space removed, ambiguity codes as N. Text that needs no change is only scanned."""
+    upper = F.upper(sequence)
+    return F.when(upper.rlike("[^ACGTN]"), F.translate(upper, "RYSWKMBDHVU \n\r\t", "NNNNNNNNNNN")).otherwise(upper)
+
+
+def gc_count(sequence: Column) -> Column:
+    return F.length(sequence) - F.length(replace_each(sequence, {"G": "", "C": ""}))
 
 
 def clean(sequence: Column) -> Column:
@@ -40,8 +52,7 @@ def pair_count(sequence: Column, pair: str) -> Column:
 def gc_fraction(sequence: Column) -> Column:
     """G+C over known bases; 0 without any."""
     known = F.length(sequence) - base_count(sequence, "N")
-    gc = F.length(sequence) - F.length(F.translate(sequence, "GC", ""))
-    return F.when(known > 0, gc / known).otherwise(0.0)
+    return F.when(known > 0, gc_count(sequence) / known).otherwise(0.0)
 
 
 def with_step_counts(df: DataFrame, sequence: str = "sequence") -> DataFrame:
@@ -77,4 +88,4 @@ def step_sum(table: dict[str, float], power: int = 1) -> Column:
 
 
 def reverse_complement(sequence: Column) -> Column:
-    return F.reverse(F.translate(sequence, "ACGT", "TGCA"))
+    return F.reverse(F.upper(replace_each(sequence, {"A": "t", "T": "a", "C": "g", "G": "c"})))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanframe.functions.seqexpr import normalise
+from spanframe.functions.seqexpr import gc_count, normalise
 from spanframe.operators.sequence import motifs
 
 FLANK = 25
@@ -104,7 +104,7 @@ def construct_report(parts: DataFrame) -> DataFrame:
     """One row per construct: length, GC, parts, junctions and assembly flags."""
     plain = _keyed(parts)
     seq = F.col("sequence")
-    gc = F.length(seq) - F.length(F.translate(seq, "GC", ""))
+    gc = gc_count(seq)
     known = F.length(F.replace(seq, F.lit("N"), F.lit("")))
     base = plain.groupBy("construct_id").agg(
         F.sum(F.length(seq)).alias("total_length_bp"), F.count(F.lit(1)).alias("n_parts"),

@@ -12,6 +12,7 @@ from spanframe.functions.seqexpr import (
     gc_fraction,
     normalise,
     pair_count,
+    replace_each,
     step_sum,
     step_total,
     with_step_counts,
@@ -25,7 +26,7 @@ MIN_LENGTH, MAX_LENGTH = 10, 100_000
 
 def validate(df: DataFrame) -> DataFrame:
     """Normal form of each sequence and, where it cannot be evaluated, the reason as ``reject``."""
-    text = F.translate(F.upper("sequence"), " \n\r", "")
+    text = replace_each(F.upper("sequence"), {" ": "", "\n": "", "\r": ""})
     n = F.length("sequence")
     return df.withColumn("sequence", text).withColumn(
         "reject",

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from spanframe.functions import constants as K
 from spanframe.functions.seqexpr import (
     base_count,
+    gc_count,
     gc_fraction,
     normalise,
     pair_count,
+    replace_each,
     reverse_complement,
     step_sum,
     step_total,
@@ -74,7 +76,7 @@ def motif_hits(df: DataFrame) -> DataFrame:
 
 def z_runs(plain: DataFrame) -> DataFrame:
     """Alternating purine/pyrimidine runs of eight or more with a mean Z penalty under 2.5."""
-    classes = F.translate(F.col("sequence"), "AGCTN", "RRYYN")
+    classes = replace_each(F.col("sequence"), {"A": "R", "G": "R", "C": "Y", "T": "Y"})
     runs = pattern_hits(plain, ALTERNATING_8, classes)
     text = runs.join(plain, "seq_id").select(
         "seq_id", "start", "end",
@@ -194,8 +196,7 @@ def cpg_sites(df: DataFrame, reach: int = 500, size: int = CHUNK) -> DataFrame:
     high = F.least(F.col("n"), F.col("i") + reach)
     around = F.substring("_bytes", F.col("_o") + 1 - (F.col("i") - low), high - low).cast("string")
     near = own.select("seq_id", F.col("i").alias("pos"), around.alias("_near"))
-    gc = F.length("_near") - F.length(F.translate(F.col("_near"), "GC", ""))
-    return near.select("seq_id", "pos", (gc / F.length("_near")).alias("gc_content"))
+    return near.select("seq_id", "pos", (gc_count(F.col("_near")) / F.length("_near")).alias("gc_content"))
 
 
 def cpg_islands(df: DataFrame, merge_gap: int = 0, retest: bool = False, size: int = CHUNK) -> DataFrame:

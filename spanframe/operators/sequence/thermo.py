@@ -13,6 +13,7 @@ from spanframe.functions import constants as K
 from spanframe.functions.seqexpr import (
     base_count,
     clean,
+    gc_count,
     gc_fraction,
     normalise,
     pair_count,
@@ -235,10 +236,21 @@ def curvature_profile(df: DataFrame, window: int = 21, size: int = CHUNK) -> Dat
             "_y": F.col("_roll") * F.sin("_a") + F.col("_tilt") * F.cos("_a"),
         }
     )
-    near = order.rowsBetween(-half, half)
-    x, y, w = F.sum("_x").over(near), F.sum("_y").over(near), F.count(F.lit(1)).over(near)
+    # Window sums are differences of running sums; near a sequence end the window is cut short.
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    run = turned.withColumns(
+        {"_cx": F.sum("_x").over(upto), "_cy": F.sum("_y").over(upto), "_first": F.min("i").over(whole), "_last": F.max("i").over(whole),
+         "_tx": F.sum("_x").over(whole), "_ty": F.sum("_y").over(whole)}
+    )
+
+    def window_sum(c: str, total: str) -> Column:
+        return F.coalesce(F.lead(c, half).over(order), F.col(total)) - F.coalesce(F.lag(c, half + 1).over(order), F.lit(0.0))
+
+    width = F.least(F.col("i") + half, F.col("_last")) - F.greatest(F.col("i") - half, F.col("_first")) + 1
+    summed = run.withColumns({"_sx": window_sum("_cx", "_tx"), "_sy": window_sum("_cy", "_ty"), "_n": width})
     return (
-        turned.withColumn("curvature", F.sqrt(x * x + y * y) / w / rad)
+        summed.withColumn("curvature", F.sqrt(F.col("_sx") * F.col("_sx") + F.col("_sy") * F.col("_sy")) / F.col("_n") / rad)
         .where("core")
         .select("seq_id", "i", "dinucleotide", "curvature")
     )
@@ -277,7 +289,7 @@ def melting_curve(windows: DataFrame, body_kelvin: float = 310.15) -> DataFrame:
         table, lambda row: F.aggregate(F.zip_with(row, F.col("_counts"), lambda p, c: p * c), F.lit(0.0), lambda a, x: a + x)
     )
     known = F.length(clean(F.col("sequence")))
-    gc = F.length("sequence") - F.length(F.translate(F.col("sequence"), "GC", ""))
+    gc = gc_count(F.col("sequence"))
     body = reduce(add, [F.col(f"c_{d}") * F.lit(p) for d, p in zip(K.DINUCLEOTIDES, open_share(body_kelvin), strict=True)])
     staged = counted.withColumn("_counts", counts).withColumn("_open", share)
     first = lambda level: F.array_position(F.transform("_open", lambda s: s / F.col("_n") >= level), True)

@@ -17,6 +17,9 @@ BASE_TABLES = (
     "conversations"
 ).split()
 
+# Tables with long texts or vectors, and their keys.
+HEAVY_ROWS = {"documents": "doc_id", "embeddings": "vec_id"}
+
 VIEWS = {
     "points": """
         SELECT 'b1' AS build, CAST(user_id % 7 + 1 AS INT) AS chr_id, CAST(event_id * 20 AS BIGINT) AS pos,
@@ -136,6 +139,15 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
         self._built: dict[str, DataFrame] = {}
 
+    def _read(self, name: str) -> DataFrame:
+        """A base table. Tables whose rows are costly to process are spread over the cores
+        when they come in fewer files than there are cores; otherwise files are the splits."""
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in HEAVY_ROWS and len(table.inputFiles()) < cores:
+            return table.repartition(2 * cores, HEAVY_ROWS[name])
+        return table
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("__"):
             raise AttributeError(name)
@@ -148,7 +160,7 @@ class Tables:
                 )
                 self._built[name] = self.spark.sql(named, **{n: getattr(self, n) for n in uses})
             elif name in BASE_TABLES:
-                self._built[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                self._built[name] = self._read(name)
             else:
                 raise AttributeError(name)
         return self._built[name]
