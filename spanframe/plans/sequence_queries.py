@@ -339,22 +339,27 @@ def _(t):
     return constructs.junctions(parts(t))
 
 
-K13 = """SELECT construct_id, part_no, kmer, min(i) + 1 AS position FROM (SELECT p.construct_id, p.part_no, b.i,
-  substring(p.sequence, b.i + 1, 13) AS kmer FROM parts p JOIN bases b USING (seq_id) WHERE b.i <= length(p.sequence) - 13) GROUP BY 1, 2, 3"""
+def mer_sql(k: int) -> str:
+    """Every k bases in a row with their construct and part; shorter at a sequence's end."""
+    text = " || ".join(["b", *[f"coalesce(lead(b, {j}) OVER w, '')" for j in range(1, k)]])
+    return f"""SELECT seq_id // 4 AS construct_id, seq_id % 4 AS part_no, i, {text} AS mer FROM bases
+  WINDOW w AS (PARTITION BY seq_id ORDER BY i)"""
+
+
+K13 = "SELECT construct_id, part_no, mer AS kmer, min(i) + 1 AS position FROM m13 WHERE length(mer) = 13 GROUP BY 1, 2, 3"
 SITES = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in K.RESTRICTION_SITES.items()) + ") AS v(enzyme, site)"
 
 
 @query("q18_construct_flags", seq_oracle("""
-SELECT construct_id, 'INTERNAL_RESTRICTION_SITE' AS code, part_no, enzyme AS detail, i + 1 AS position FROM (
-  SELECT p.construct_id, p.part_no, b.i, substring(p.sequence, b.i + 1, 8) AS mer FROM parts p JOIN bases b USING (seq_id)) m
-  JOIN rs ON starts_with(m.mer, rs.site)
+SELECT construct_id, 'INTERNAL_RESTRICTION_SITE' AS code, part_no, enzyme AS detail, i + 1 AS position
+  FROM m8 JOIN rs ON left(m8.mer, length(rs.site)) = rs.site
 UNION ALL SELECT construct_id, 'JUNCTION_HOMOPOLYMER', left_part, hit[1] || 'x' || length(hit), start + 1 FROM jr
 UNION ALL SELECT a.construct_id, 'CROSS_PART_REPEAT', a.part_no, a.kmer || '@' || b.part_no, a.position
   FROM k13 a JOIN k13 b ON a.construct_id = b.construct_id AND a.kmer = b.kmer AND a.part_no < b.part_no
 UNION ALL SELECT p.construct_id, 'EXTREME_GC_WINDOW', p.part_no, CASE WHEN g.gc < 0.25 THEN 'low' ELSE 'high' END, o.off + g.s
   FROM gcw g JOIN parts p USING (seq_id) JOIN (SELECT seq_id, coalesce(sum(length(sequence)) OVER (PARTITION BY construct_id ORDER BY part_no
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM parts) o USING (seq_id) WHERE g.gc < 0.25 OR g.gc > 0.75""",
-    parts=PARTS, joints=JOINTS, k13=K13, rs=SITES, gcw=GCW,
+    parts=PARTS, joints=JOINTS, m8=mer_sql(8), m13=mer_sql(13), k13=K13, rs=SITES, gcw=GCW,
     jr=hits_sql(motifs.runs_pattern(7)).replace("SELECT seq_id", "SELECT construct_id, left_part").replace("FROM sequences", "FROM joints")))
 def _(t):
     return constructs.construct_flags(parts(t))
