@@ -320,8 +320,9 @@ def sbs_ddg(df: DataFrame, kelvin: float = 310.15, size: int = CHUNK) -> DataFra
     for name, (ref, alt) in K.SBS_CHANNELS.items():
         mutant = stack(F.concat("p", F.lit(alt))) + stack(F.concat(F.lit(alt), "q"))
         here = F.col("b") == ref
-        total = F.sum(F.when(here, F.abs(mutant - wild) * F.col("k")))
-        out.append(F.coalesce(total / F.sum(F.when(here, F.col("k"))), F.lit(0.0)).alias(f"sbs_{name}_ddg"))
+        # Whole micro-kcal, so the mean does not depend on the order of addition.
+        total = F.sum(F.when(here, F.round(F.abs(mutant - wild) * 1e6).cast("long") * F.col("k")))
+        out.append(F.coalesce(F.try_divide(total, F.sum(F.when(here, F.col("k")))) / 1e6, F.lit(0.0)).alias(f"sbs_{name}_ddg"))
     found = counted.groupBy("seq_id").agg(*out)
     names = [f"sbs_{n}_ddg" for n in K.SBS_CHANNELS]
     return df.select("seq_id").join(found, "seq_id", "left").fillna(0.0, names)

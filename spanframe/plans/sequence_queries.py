@@ -444,7 +444,8 @@ def _(t):
                       F.round(F.col("melting_cooperativity") * 1e6, 6).alias("cooperativity_e6"))
 
 
-SBS = ", ".join(f"round(coalesce(avg(abs(ml{a} + mr{a} - wl - wr)) FILTER (b = '{ref}'), 0), 6) AS sbs_{n}_ddg"
+SBS = ", ".join(f"coalesce(CAST(sum(CAST(round(abs(ml{a} + mr{a} - wl - wr) * 1e6) AS BIGINT)) FILTER (b = '{ref}') AS DOUBLE) / "
+                f"nullif(count(*) FILTER (b = '{ref}'), 0) / CAST(1e6 AS DOUBLE), 0) AS sbs_{n}_ddg"
                 for n, (ref, a) in K.SBS_CHANNELS.items())
 
 
@@ -455,8 +456,7 @@ SELECT seq_id, {SBS} FROM sequences LEFT JOIN (SELECT x.seq_id, x.b, e1.e AS wl,
   {' '.join(f"JOIN en l{a} ON l{a}.d = p || '{a}' JOIN en r{a} ON r{a}.d = '{a}' || q" for a in 'AGT')}) USING (seq_id) GROUP BY 1""",
     en="SELECT d, delta_h / 100.0 - 310.15 * (delta_s / 100.0) / 1000.0 AS e FROM props"))
 def _(t):
-    out = thermo.sbs_ddg(t.sequences)
-    return out.select("seq_id", *[F.round(c, 6).alias(c) for c in out.columns if c != "seq_id"])
+    return thermo.sbs_ddg(t.sequences)
 
 
 @query("q24_dinuc_index", seq_oracle("""
