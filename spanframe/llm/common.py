@@ -57,10 +57,11 @@ def fold(column: str | Column, n: int) -> Column:
 
 
 def labelled(documents: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: int, extra: tuple[str, ...] = ()) -> DataFrame:
-    """A bounded sample of labelled rows outside the held fold: (doc_id, text, label, *extra).
+    """A bounded sample of labelled rows outside the held fold: (doc_id, text, *extra, label, weight).
 
     About ``per_class`` ids of each class are taken, by hash of the id (all, where a class has fewer). Rows with a null id,
-    label or text are left out, repeated label rows count once, ids with both labels are dropped. The ids that go
+    label or text are left out, repeated label rows count once, ids with both labels are dropped; weight is the number
+    of rows that one stands for. The ids that go
     to the executors are at most about 2 * per_class, whatever the size of the tables.
     """
     ids = (
@@ -68,10 +69,10 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, folds: int, he
         .where(fold("doc_id", folds) != held).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
     )
     counts = {r["label"]: r["count"] for r in ids.groupBy("label").count().collect()}
-    share = F.lit(0.0)
+    share = F.lit(1.0)
     for value, n in counts.items():
         share = F.when(F.col("label") == value, F.lit(min(1.0, per_class / n))).otherwise(share)
-    ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    ids = ids.withColumn("weight", 1 / share).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("weight") < (1 << 30))
     return documents.select("doc_id", "text", *extra).where("text is not null").join(F.broadcast(ids), "doc_id")
 
 

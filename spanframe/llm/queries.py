@@ -6,18 +6,39 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanframe.llm import packing, token_files
+from spanframe.llm import langid, packing, quality_qda, quality_rules, token_files
 from spanframe.llm.common import shared_path
 
 #: Token that ends a document, and tokens of a packed sequence.
 END_ID, CAPACITY = 2, 1024
+#: Least quality score of a document that is kept.
+KEEP_AT = 0.7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality_qda.learn(documents, table(spark, sf_dir, "labels"), 4, 2)
+    scored = quality_qda.verdicts(quality_qda.score(documents, model, "doc_id"), KEEP_AT)
+    return scored.select("doc_id", quality_qda.held_out(4, 2), "score", "predicted")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality_rules.judge(documents, quality_rules.learn(documents, table(spark, sf_dir, "labels"), 4, 2), "doc_id")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = langid.identify(documents, langid.learn(documents, 4, 2), "doc_id")
+    return found.select("doc_id", quality_qda.held_out(4, 2), "lang_pred", "score", "ambiguous")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path, END_ID)
@@ -28,5 +49,5 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), CAPACITY, END_ID)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_files, op8_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op4_token_files, op5_language_id, op8_best_fit_packing)}
 ORACLES: dict[str, str] = {}
