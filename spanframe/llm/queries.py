@@ -8,13 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm import langid, packing, quality_qda, quality_rules, token_files
+from spanframe.llm import langid, packing, quality_qda, quality_rules, token_files, toxicity
 from spanframe.llm.common import shared_path
 
 #: Token that ends a document, and tokens of a packed sequence.
 END_ID, CAPACITY = 2, 1024
 #: Least quality score of a document that is kept.
 KEEP_AT = 0.7
+#: Least score of a toxic document.
+TOXIC_AT = 0.5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,5 +51,13 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), CAPACITY, END_ID)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op4_token_files, op5_language_id, op8_best_fit_packing)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    codes = langid.learn(documents, 5, 0)
+    net = toxicity.learn(documents, table(spark, sf_dir, "labels"), codes, 5, 0)
+    scored = quality_qda.verdicts(toxicity.score(documents, net, codes, "doc_id"), TOXIC_AT)
+    return scored.select("doc_id", quality_qda.held_out(5, 0), "score", "predicted")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op4_token_files, op5_language_id, op8_best_fit_packing, op10_toxicity)}
 ORACLES: dict[str, str] = {}
