@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm import langid, packing, quality_qda, quality_rules, token_files, toxicity
+from spanframe.llm import langid, packing, quality_qda, quality_rules, token_files, toxicity, warc
 from spanframe.llm.common import shared_path
 
 #: Token that ends a document, and tokens of a packed sequence.
@@ -51,6 +51,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), CAPACITY, END_ID)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write_archives(warc.with_revisits(table(spark, sf_dir, "pages")), shared_path(spark, "warc"))
+    return warc.read_archives(files).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     codes = langid.learn(documents, 5, 0)
@@ -59,5 +64,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_qda.held_out(5, 0), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op4_token_files, op5_language_id, op8_best_fit_packing, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op4_token_files, op5_language_id, op8_best_fit_packing, op9_warc, op10_toxicity)}
 ORACLES: dict[str, str] = {}

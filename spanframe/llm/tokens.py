@@ -19,10 +19,11 @@ from itertools import repeat
 import numpy as np
 
 #: Words kept in a worker's memory.
-MOST_WORDS = 1_000_000
+MOST_WORDS = 1_500_000
 _ALONE = re.compile(r"(?<=\S)(?= \S)")
 _RUN = re.compile(r"\s\s|\A\s|\s\Z")
-_END = frozenset(".,;:!?")
+#: ASCII marks that stand apart from a letter before them; not the apostrophe, which some patterns keep with letters.
+_END = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _kind(spec: dict) -> str:
@@ -93,8 +94,10 @@ class Encoder:
     def _parts(self, word: str) -> tuple[str, ...]:
         """The words whose ids together are this one's; itself alone if it has to be encoded."""
         end: tuple[str, ...] = ()
-        if len(word) > 1 and word[-1] in _END and word[-2].isalpha() and word[-2] <= "\xff":
-            word, end = word[:-1], (word[-1] if self.kind == "words" else "\0" + word[-1],)
+        head = word.rstrip(_END)
+        if head and head != word and head[-1].isalpha() and head[-1] <= "\xff":
+            tail = word[len(head) :]
+            word, end = head, (tail if self.kind == "words" else "\0" + tail,)
         return (word.lower() if self.kind == "words" and word.isascii() else word, *end)
 
     def _learn(self, words: list[str]) -> None:
