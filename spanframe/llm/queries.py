@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm import langid, packing, quality_qda, quality_rules, token_files, toxicity, warc
+from spanframe.llm import decontaminate, langid, packing, quality_qda, quality_rules, token_files, toxicity, warc
 from spanframe.llm.common import shared_path
 
 #: Token that ends a document, and tokens of a packed sequence.
@@ -35,6 +35,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents, quality_rules.learn(documents, table(spark, sf_dir, "labels"), 4, 2), "doc_id")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     found = langid.identify(documents, langid.learn(documents, 4, 2), "doc_id")
@@ -64,5 +68,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_qda.held_out(5, 0), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op4_token_files, op5_language_id, op8_best_fit_packing, op9_warc, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_decontamination, op4_token_files, op5_language_id, op8_best_fit_packing, op9_warc, op10_toxicity)}
 ORACLES: dict[str, str] = {}
