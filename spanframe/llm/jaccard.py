@@ -24,16 +24,16 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.llm import arrays as A
 from spanframe.llm.common import shared_path, stored, text_blocks
 from spanframe.llm.graph import components
+from spanframe.llm.tables import SLICE, fold_table, table_rows
 
-#: Bits of the table of bucket counts, counters in one row of it, largest size counted by itself.
-TABLE_BITS, SLICE = 20, 1 << 14
+#: Bits of the table of bucket counts.
+TABLE_BITS = 20
 #: Most bits of the filter that keeps whole sets of documents without candidates from being shuffled.
 FILTER_BITS = 26
 _ORDER = np.uint64(64 - TABLE_BITS)
@@ -89,35 +89,6 @@ def _binary(pairs: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in np.ascontiguousarray(pairs)], pa.binary())
 
 
-def _fold(df: DataFrame, op: np.ufunc, *keys: str) -> DataFrame:
-    """Combine rows (slot, salt, counts) that share the keys; a task holds one array for each slot."""
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for slot, counts in zip(batch.column(0).to_pylist(), batch.column(2)):
-                values = np.frombuffer(counts.as_buffer(), np.int64)
-                held[slot] = op(held[slot], values) if slot in held else values.copy()
-        if held:
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(list(held), pa.int32()), "salt": pa.array([0] * len(held), pa.int32()), "counts": [v.tobytes() for v in held.values()]})
-
-    return df.repartition(*keys).mapInArrow(fold, "slot int, salt int, counts binary")
-
-
-def _table(df: DataFrame, op: np.ufunc, size: int) -> np.ndarray:
-    """Fold in two steps, so that no task reads a slot of all tasks, and fetch the table: ``size`` numbers, whatever the input."""
-    out = np.zeros(size, np.int64)
-    for r in _fold(_fold(df, op, "slot", "salt"), op, "slot").collect():
-        out[r["slot"] * SLICE : (r["slot"] + 1) * SLICE] = np.frombuffer(r["counts"], np.int64)
-    return out
-
-
-def _slices(table: np.ndarray) -> pa.RecordBatch:
-    part = TaskContext.get().partitionId() % 32
-    full = [i for i in range(len(table) // SLICE) if table[i * SLICE : (i + 1) * SLICE].any()]
-    return pa.RecordBatch.from_pydict({"slot": pa.array(full, pa.int32()), "salt": pa.array([part] * len(full), pa.int32()), "counts": [table[i * SLICE : (i + 1) * SLICE].tobytes() for i in full]})
-
-
 def measure(documents: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts of elements by bucket, and of sets by size (the last for all larger ones), over all documents."""
     buckets = 1 << TABLE_BITS
@@ -127,9 +98,9 @@ def measure(documents: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
         for _, h, places in set_blocks(batches, n):
             table[:buckets] += np.bincount((h >> _ORDER).astype(np.int64), minlength=buckets)
             table[buckets:] += np.bincount(np.minimum(np.diff(places), SLICE - 1), minlength=SLICE)
-        yield _slices(table)
+        yield table_rows(table)
 
-    got = _table(documents.select("text").mapInArrow(count, "slot int, salt int, counts binary"), np.add, buckets + SLICE)
+    got = fold_table(documents.select("text").mapInArrow(count, "slot int, salt int, counts binary"), np.add, buckets + SLICE)
     return got[:buckets], got[buckets:]
 
 
@@ -241,9 +212,9 @@ def whole_sets(documents: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
             np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
         padded = np.zeros(-(-len(table) // (8 * SLICE)) * 8 * SLICE, np.uint8)
         padded[: len(table)] = table
-        yield _slices(padded.view(np.int64))
+        yield table_rows(padded.view(np.int64))
 
-    marked = _table(wanted.mapInArrow(mark, "slot int, salt int, counts binary"), np.bitwise_or, max(SLICE, 1 << bits >> 6)).view(np.uint8)
+    marked = fold_table(wanted.mapInArrow(mark, "slot int, salt int, counts binary"), np.bitwise_or, max(SLICE, 1 << bits >> 6)).view(np.uint8)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[bytes] = set()

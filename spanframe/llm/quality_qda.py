@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.llm import arrays as A
-from spanframe.llm import stats
+from spanframe.llm import linear, stats
+from spanframe.llm.calibrate import platt
 from spanframe.llm.common import fold, labelled, text_blocks
 
 #: Labelled rows of each class that the fit takes at most, about.
@@ -54,20 +55,6 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.difference(x) + self.base, -500, 500)))
 
 
-def platt(d: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """Slope (not negative) and base of a weighted logistic regression of y on d, by Newton steps with a small ridge."""
-    a, b = 0.0, float(np.log((w[y == 1].sum() + 1) / (w[y == 0].sum() + 1)))
-    w = w / w.sum() * len(w)
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a * d + b, -50, 50)))
-        g = np.array([(w * (p - y) * d).sum() + 1e-3 * a, (w * (p - y)).sum()])
-        v = w * p * (1 - p) + 1e-9
-        h = np.array([[(v * d * d).sum() + 1e-3, (v * d).sum()], [(v * d).sum(), v.sum() + 1e-6]])
-        step = np.linalg.solve(h, g)
-        a, b = a - float(np.clip(step[0], -2, 2)), b - float(np.clip(step[1], -2, 2))
-    return max(a, 0.0), b
-
-
 def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> Discriminant:
     """Fit on rows of statistics, labels and weights (rows each stands for)."""
     total = w.sum()
@@ -109,18 +96,9 @@ def learn(documents: DataFrame, labels: DataFrame, folds: int, held: int, per_cl
     return fit(x, got["label"].to_numpy(), got["weight"].to_numpy())
 
 
-def score(documents: DataFrame, model: Discriminant, *keep: str) -> DataFrame:
-    """The kept columns and ``score`` of every row."""
-    names = list(dict.fromkeys(keep))
-    fields = [documents.schema[n] for n in names]
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [model.score(_features(b)) for b in text_blocks(iter([batch.select(["__text"]).rename_columns(["text"])]))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=[*names, "score"])
-
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + "score double"
-    return documents.select(*names, F.col("text").alias("__text")).mapInArrow(rows, schema)
+def score(documents: DataFrame, model: Discriminant, *keep: str, name: str = "score") -> DataFrame:
+    """The kept columns and the score, under ``name``, of every row."""
+    return linear.apply_blocks(documents, "text", keep, lambda _, data, ends: {name: model.score(stats.features(stats.counts(data, ends)))}, f"`{name}` double")
 
 
 def verdicts(scored: DataFrame, threshold: float) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from spanframe.llm import arrays as A
 from spanframe.llm import linear, stats
 from spanframe.llm.common import labelled
-from spanframe.llm.quality_qda import platt
+from spanframe.llm.calibrate import platt
 
 #: Labelled rows of each class that training and calibration take at most, about.
 PER_CLASS = 4000

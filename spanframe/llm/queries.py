@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm import decontaminate, jaccard, langid, packing, quality_qda, quality_rules, token_files, toxicity, warc
+from spanframe.llm import decontaminate, jaccard, langid, packing, pii, quality_qda, quality_rules, token_files, toxicity, warc
 from spanframe.llm.common import shared_path
 
 #: Token that ends a document, and tokens of a packed sequence.
@@ -17,6 +17,8 @@ END_ID, CAPACITY = 2, 1024
 KEEP_AT = 0.7
 #: Least score of a toxic document.
 TOXIC_AT = 0.5
+#: Key of the surrogates in these queries; a production run brings its own.
+SURROGATE_KEY = b"registered queries"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +53,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY, "n_entities")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), 3, 90)
 
@@ -72,5 +78,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_qda.held_out(5, 0), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_decontamination, op4_token_files, op5_language_id, op7_jaccard_join, op8_best_fit_packing, op9_warc, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_decontamination, op4_token_files, op5_language_id, op6_pii, op7_jaccard_join, op8_best_fit_packing, op9_warc, op10_toxicity)}
 ORACLES: dict[str, str] = {}
