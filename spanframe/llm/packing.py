@@ -40,7 +40,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int, end_id: int, wit
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), Counter()
         for block in text_blocks(batches, 4 * BLOCK_BYTES):
-            flat, offsets = encode.encode(block.column("text").cast(pa.large_string()).to_pylist())
+            flat, offsets = encode.encode(block.column("text"))
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", *["ids"] * with_ids)}
             for doc, a, b in zip(block.column("doc_id").to_pylist(), offsets.tolist(), offsets[1:].tolist()):
                 ids = np.append(flat[a:b], np.uint32(end_id)).astype("<u4")

@@ -50,7 +50,7 @@ def write_token_files(documents: DataFrame, tokenizer: str, path: str, end_id: i
 
         def body(out) -> None:
             for block in text_blocks(batches, 4 * BLOCK_BYTES):
-                flat, offsets = encode.encode(block.column("text").cast(pa.large_string()).to_pylist())
+                flat, offsets = encode.encode(block.column("text"))
                 out.write(np.insert(flat, offsets[1:], end_id).astype(width).tobytes())
                 lengths.append(np.diff(offsets) + 1)
                 ids.append(block.column("doc_id").cast(pa.int64()).fill_null(_NULL).to_numpy())
