@@ -9,7 +9,8 @@ over the measured distribution of sizes, is least.
 Lists are never turned into all their pairs. First every member meets the list's most central member (fewest rarer elements before the common
 one), and links join components. Then members that are still in different components, and whose places in the list allow a link, are paired
 and verified: every link between different components is found, so components are exact. How common an element is only decides the order of
-elements; it comes from a table of bucket counts over all documents of a fixed size, so any count gives right results.
+elements; it comes from a table of bucket counts over all documents of a fixed size, so any count gives right results. Before whole sets are
+fetched, bitmaps that bound the number of differing elements rule out most pairs that only share some rare element.
 
 Defined results: null texts and texts without words have an empty set, link with nothing and form a component of their own (component_id
 is their doc_id); fewer than n words are one n-gram; rows with a null doc_id take part, and their component_id is the least id that is
@@ -32,8 +33,8 @@ from spanframe.llm.common import shared_path, stored, text_blocks
 from spanframe.llm.graph import components
 from spanframe.llm.tables import SLICE, fold_table, table_rows
 
-#: Bits of the table of bucket counts.
-TABLE_BITS = 20
+#: Bits of the table of bucket counts, and the count from which elements are ordered by hash alone.
+TABLE_BITS, MOST_COUNT = 22, (1 << 16) - 1
 #: Most bits of the filter that keeps whole sets of documents without candidates from being shuffled.
 FILTER_BITS = 26
 _ORDER = np.uint64(64 - TABLE_BITS)
@@ -85,6 +86,21 @@ def _mixed(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return A.mix(h + np.uint64(0x51ED270B)), A.mix(h ^ np.uint64(0xA24BAED4963EE407))
 
 
+def parities(h: np.ndarray, places: np.ndarray) -> pa.Array:
+    """A bitmap for each set, of the power of two from half its size: every element flips one bit.
+
+    Two sets differ in at least as many elements as their bitmaps differ in bits; a bitmap folds to half its length by xor.
+    """
+    size = np.diff(places)
+    words = 1 << np.ceil(np.log2(np.maximum(size / 128, 1))).astype(np.int64)
+    begins = np.concatenate([[0], np.cumsum(words)])
+    out = np.zeros(begins[-1], np.uint64)
+    of = np.repeat(np.arange(len(size)), size)
+    at = (h & (64 * words[of] - 1).astype(np.uint64)).astype(np.int64)
+    np.bitwise_xor.at(out, begins[of] + (at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    return pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(out.view(np.int64)))
+
+
 def _binary(pairs: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in np.ascontiguousarray(pairs)], pa.binary())
 
@@ -94,10 +110,10 @@ def measure(documents: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     buckets = 1 << TABLE_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(buckets + SLICE, np.int64)
+        table = np.zeros(buckets + SLICE, np.int32)
         for _, h, places in set_blocks(batches, n):
-            table[:buckets] += np.bincount((h >> _ORDER).astype(np.int64), minlength=buckets)
-            table[buckets:] += np.bincount(np.minimum(np.diff(places), SLICE - 1), minlength=SLICE)
+            np.add.at(table, (h >> _ORDER).astype(np.int64), np.int32(1))
+            table[buckets:] += np.bincount(np.minimum(np.diff(places), SLICE - 1), minlength=SLICE).astype(np.int32)
         yield table_rows(table)
 
     got = fold_table(documents.select("text").mapInArrow(count, "slot int, salt int, counts binary"), np.add, buckets + SLICE)
@@ -114,17 +130,18 @@ def boundary(sizes: np.ndarray, percent: int) -> int:
 
 
 def keys(documents: DataFrame, n: int, percent: int, counts: np.ndarray, light: int) -> DataFrame:
-    """The stored result of one pass: kind 0 rows (doc_id, size, name), kind 1 subsets of light sets, kind 2 list entries.
+    """The stored result of one pass: kind 0 rows (doc_id, size, name, bits), kind 1 subsets of light sets, kind 2 list entries.
 
     Subsets carry their size as ``place`` and two hashes as ``key`` and ``more``; list entries carry the element and its place among the set's.
     """
-    levels = np.log2(counts + 1).astype(np.uint8)
+    levels = documents.sparkSession.sparkContext.broadcast(np.minimum(counts, MOST_COUNT).astype(np.uint16))  # of a fixed size
     least_light = need(light + 1, percent)  # light sets from this size on may link with heavy ones
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, h, places in set_blocks(batches, n):
             size, name = np.diff(places), names(h, places)
-            yield _rows(0, block.column("doc_id").cast(pa.int64()), size, name, np.zeros(len(size), np.int64), np.zeros(len(size), np.int64), np.zeros(len(size), np.int64))
+            zero = np.zeros(len(size), np.int64)
+            yield _rows(0, block.column("doc_id").cast(pa.int64()), size, name, zero, zero, zero, parities(h, places))
             one, two = _mixed(h)
             whole = _sums(h, places)
             out: list[tuple] = []
@@ -139,21 +156,25 @@ def keys(documents: DataFrame, n: int, percent: int, counts: np.ndarray, light:
                 yield _rows(1, None, size[d], name[d], key, place, more)
             want = np.where(size >= max(least_light, 1), size - -(-percent * size // 100) + 1, 0)
             of = np.repeat(np.arange(len(size)), size)
-            order = np.lexsort((h, levels[(h >> _ORDER).astype(np.int64)], of))
+            order = np.lexsort((h, levels.value[(h >> _ORDER).astype(np.int64)], of))
             at = np.arange(len(h)) - places[of]
             use = at < want[of]
             if use.any():
                 yield _rows(2, None, size[of[use]], name[of[use]], h[order][use].view(np.int64), at[use], np.zeros(int(use.sum()), np.int64))
 
-    def _rows(kind: int, doc, size, name, key, place, more) -> pa.RecordBatch:
+    def _rows(kind: int, doc, size, name, key, place, more, bits=None) -> pa.RecordBatch:
+        none = pa.nulls(len(size), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(size), kind), pa.int32()), pa.nulls(len(size), pa.int64()) if doc is None else doc, pa.array(size, pa.int64()), _binary(name), pa.array(key, pa.int64()), pa.array(place, pa.int64()), pa.array(more, pa.int64())],
-            names=["kind", "doc_id", "size", "name", "key", "place", "more"],
+            [
+                pa.array(np.full(len(size), kind), pa.int32()), none if doc is None else doc, pa.array(size, pa.int64()), _binary(name), pa.array(key, pa.int64()), pa.array(place, pa.int64()),
+                pa.array(more, pa.int64()), pa.nulls(len(size), pa.list_(pa.int64())) if bits is None else bits,
+            ],
+            names=["kind", "doc_id", "size", "name", "key", "place", "more", "bits"],
         )
 
     spark, path = documents.sparkSession, shared_path(documents.sparkSession, "sets")
-    documents.select("doc_id", "text").mapInArrow(rows, "kind int, doc_id long, size long, name binary, key long, place long, more long").write.partitionBy("kind").parquet(path)
-    return spark.read.schema("doc_id long, size long, name binary, key long, place long, more long, kind int").parquet(path)
+    documents.select("doc_id", "text").mapInArrow(rows, "kind int, doc_id long, size long, name binary, key long, place long, more long, bits array<bigint>").write.partitionBy("kind").parquet(path)
+    return spark.read.schema("doc_id long, size long, name binary, key long, place long, more long, bits array<bigint>, kind int").parquet(path)
 
 
 def linked(shared: Column, a: Column, b: Column, percent: int) -> Column:
@@ -199,6 +220,18 @@ def rest_pairs(entries: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("name", "name2").alias("a"), F.greatest("name", "name2").alias("b")).distinct()
 
 
+def plausible(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bitmaps do not rule a link out."""
+    own = table.where("kind = 0 and size > 0").groupBy("name").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
+    one = own.select(F.col("name").alias("a"), F.col("size").alias("n"), F.col("bits").alias("x"))
+    two = own.select(F.col("name").alias("b"), F.col("size").alias("m"), F.col("bits").alias("y"))
+    flip = lambda p, q: F.zip_with(p, q, lambda u, v: u.bitwiseXOR(v))
+    fold = lambda p, q: F.when(F.size(p) > F.size(q), flip(F.slice(p, F.lit(1), F.size(q)), F.slice(p, F.size(q) + 1, F.size(q)))).otherwise(p)
+    differ = F.aggregate(flip(fold(F.col("x"), F.col("y")), fold(F.col("y"), F.col("x"))), F.lit(0), lambda total, word: total + F.bit_count(word))
+    met = pairs.join(one, "a").join(two, "b")
+    return met.where((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("m"))).select("a", "b")
+
+
 def whole_sets(documents: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     """Stored (name, elements) of the sets in pairs: documents pass a filter of fixed size before their sets are shuffled."""
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "wanted")
@@ -245,10 +278,10 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90) -> D
     counts, sizes = measure(documents, n)
     table = keys(documents, n, percent, counts, boundary(sizes, percent))
     entries = lists(table)
-    pairs = stored(star_pairs(entries, percent), "pairs")
+    pairs = stored(plausible(star_pairs(entries, percent), table, percent), "pairs")
     links = stored(light_links(table, percent).union(verified(pairs, whole_sets(documents, pairs, n), percent)), "links")
     roots = stored(components(links), "roots")
-    rest = stored(rest_pairs(entries, roots, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    rest = stored(plausible(rest_pairs(entries, roots, percent), table, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
     more = stored(verified(rest, whole_sets(documents, rest, n), percent), "links")
     if not more.isEmpty():
         roots = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "roots")

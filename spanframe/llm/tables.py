@@ -39,4 +39,4 @@ def fold_table(df: DataFrame, op: np.ufunc, size: int) -> np.ndarray:
 def table_rows(table: np.ndarray) -> pa.RecordBatch:
     part = TaskContext.get().partitionId() % 32
     full = [i for i in range(len(table) // SLICE) if table[i * SLICE : (i + 1) * SLICE].any()]
-    return pa.RecordBatch.from_pydict({"slot": pa.array(full, pa.int32()), "salt": pa.array([part] * len(full), pa.int32()), "counts": [table[i * SLICE : (i + 1) * SLICE].tobytes() for i in full]})
+    return pa.RecordBatch.from_pydict({"slot": pa.array(full, pa.int32()), "salt": pa.array([part] * len(full), pa.int32()), "counts": [table[i * SLICE : (i + 1) * SLICE].astype(np.int64).tobytes() for i in full]})
