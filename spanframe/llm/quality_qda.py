@@ -92,7 +92,7 @@ def learn(documents: DataFrame, labels: DataFrame, folds: int, held: int, per_cl
 
     sample = labelled(documents, labels, "quality", folds, held, per_class).select("text", "label", "weight")
     got = sample.mapInArrow(rows, "x array<double>, label int, weight double").toArrow()
-    x = np.array(got["x"].combine_chunks().flatten()).reshape(got.num_rows, -1)
+    x = np.array(got["x"].to_pylist(), float).reshape(got.num_rows, -1) if got.num_rows else np.zeros((0, 1))
     return fit(x, got["label"].to_numpy(), got["weight"].to_numpy())
 
 
