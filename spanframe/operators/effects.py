@@ -156,24 +156,18 @@ def masked_cosine(a, b, mask_a, mask_b) -> tuple:
 
 
 def cosine_similar(
-    vectors: DataFrame, queries: DataFrame, identity: str, k: int, min_coverage: float = 0.5, broadcast_rows: int = 10_000,
-    slots: int = 256,
+    vectors: DataFrame, queries: DataFrame, identity: str, k: int, min_coverage: float = 0.5, slots: int = 64,
 ) -> DataFrame:
     """Top ``k`` similar rows per query vector by masked cosine over all rows.
 
-    Up to ``broadcast_rows`` query vectors (counted first) travel to the table;
-    a longer list meets it in hashed slots instead. Either way each task keeps
-    only its own best ``k`` per query before the final ranking.
+    The stated query list meets the table in hashed slots, whatever its length: vectors are dealt to ``slots`` parts
+    and every query visits each. A part keeps only its own best ``k`` per query before the final ranking.
     """
-    few = queries.select(identity).limit(broadcast_rows + 1).count() <= broadcast_rows
     asked = vectors.join(queries.select(identity).distinct(), identity, "left_semi").select(
         F.col(identity).alias("query_id"), F.col("vector").alias("qv"), F.col("mask").alias("qm")
     )
-    if few:
-        left, right = vectors.withColumn("_slot", F.lit(0)), F.broadcast(asked.withColumn("_slot", F.lit(0)))
-    else:
-        left = vectors.withColumn("_slot", F.pmod(F.xxhash64(identity), F.lit(slots)).cast("int"))
-        right = asked.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    left = vectors.withColumn("_slot", F.pmod(F.xxhash64(identity), F.lit(slots)).cast("int"))
+    right = asked.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     pairs = left.join(right, "_slot").where(F.col(identity) != F.col("query_id"))
     score, shared = masked_cosine(F.col("qv"), F.col("vector"), F.col("qm"), F.col("mask"))
     scored = pairs.select("query_id", identity, score.alias("similarity"), shared.alias("n_shared"), F.size("qv").alias("_d"))

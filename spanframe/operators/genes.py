@@ -35,7 +35,7 @@ def gene_lookup(df: DataFrame, genes: DataFrame, aliases: DataFrame, symbol: str
     return found.join(genes, found["resolved"] == genes["symbol"], "left").drop("resolved")
 
 
-def prefix_search(genes: DataFrame, aliases: DataFrame, text: str, k: int = 20) -> DataFrame:
+def prefix_search(genes: DataFrame, aliases: DataFrame, text: str, k: int) -> DataFrame:
     """Symbols (exact first) and aliases starting with ``text``; the top-k report of a search box."""
     up = text.upper()
     direct = genes.where(F.upper("symbol").startswith(up)).select(
@@ -170,9 +170,9 @@ def site_profile(
 
 
 def variant_cross_reference(
-    variants: DataFrame, windows: DataFrame, known: DataFrame, elements: DataFrame, levels: list[int] | None = None, k: int = 5
+    variants: DataFrame, windows: DataFrame, known: DataFrame, elements: DataFrame, levels: list[int] | None = None, k: int | None = None
 ) -> DataFrame:
-    """Per variant: its window, rows at the very position, and up to ``k`` overlapping elements by start."""
+    """Per variant: its window, rows at the very position, and its overlapping elements by start (the first ``k`` if given)."""
     from spanframe.operators.overlap import as_interval
     from spanframe.operators.topk import top_k_per_group
 
@@ -182,9 +182,10 @@ def variant_cross_reference(
     exact = base.join(known.select(*KEYS, "pos", "label"), [*KEYS, "pos"]).groupBy("variant_id").agg(
         F.count(F.lit(1)).alias("n_known"), F.min("label").alias("first_label"))
     over = overlap_join(as_interval(base), elements.select(*KEYS, "start_pos", "end_pos", "element_id"), levels=levels)
-    few = top_k_per_group(over, ["variant_id"], [F.col("b_start_pos"), F.col("b_element_id")], k, "_r")
-    packed = few.groupBy("variant_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_r", "b_element_id"))), lambda s: s["b_element_id"]).alias("elements"))
+    if k is not None:
+        over = top_k_per_group(over, ["variant_id"], [F.col("b_start_pos"), F.col("b_element_id")], k, "_r")
+    packed = over.groupBy("variant_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("b_start_pos", "b_element_id"))), lambda s: s["b_element_id"]).alias("elements"))
     return placed.join(exact, "variant_id", "left").join(packed, "variant_id", "left").fillna(0, ["n_known"])
 
 

@@ -31,10 +31,13 @@ def lift_intervals(
     return mapped, df.join(pick, list(identity), "left_anti")
 
 
-def recurrence_count(hits: DataFrame, blocks: DataFrame, levels: list[int] | None = None) -> DataFrame:
+def recurrence_count(
+    hits: DataFrame, blocks: DataFrame, levels: list[int] | None = None, least: int = 50_000, most: int = 200_000
+) -> DataFrame:
     """Tissues per window, with both window ends lifted; windows that break apart are dropped.
 
-    ``hits`` has (build, chr_id, start_pos, end_pos, tissue).
+    ``hits`` has (build, chr_id, start_pos, end_pos, tissue). A window counts as whole if its ends lie on one chromosome,
+    ``least`` to ``most`` bases apart.
     """
     window = [*KEYS, "start_pos", "end_pos"]
     windows = (
@@ -66,9 +69,8 @@ def recurrence_count(hits: DataFrame, blocks: DataFrame, levels: list[int] | Non
         F.max(F.when(F.col("side") == "lo", F.col("start_pos"))).alias("lifted_start"),
         F.max(F.when(F.col("side") == "hi", F.col("end_pos"))).alias("lifted_end"),
     )
-    # Accepted lifted length range in bp.
     length = F.col("lifted_end") - F.col("lifted_start")
-    kept = pair.where((F.col("_n") == 2) & (F.col("_c1") == F.col("_c2")) & length.between(50_000, 200_000))
+    kept = pair.where((F.col("_n") == 2) & (F.col("_c1") == F.col("_c2")) & length.between(least, most))
     return (
         windows.withColumnsRenamed({"chr_id": "w_chr", "start_pos": "w_start", "end_pos": "w_end"})
         .join(kept, ["build", "w_chr", "w_start", "w_end"])

@@ -14,17 +14,19 @@ from spanframe.operators.topk import top_k_per_group
 
 
 def region_query(
-    layer: DataFrame, regions: DataFrame, limit: int = 50_000, tie: Sequence[str] = ("end_pos",),
+    layer: DataFrame, regions: DataFrame, limit: int | None = None, tie: Sequence[str] = ("end_pos",),
     levels: list[int] | None = None,
 ) -> DataFrame:
-    """Features overlapping each region in start order, at most ``limit`` per region.
+    """Features overlapping each region: all of them, or a page of the first ``limit`` per region in start order.
 
-    ``status`` is ``truncated`` where the cap was reached. The cap is the paging
-    feature of the query; it is applied as a group limit before the shuffle.
+    A page has ``rank``, ``n_returned`` and ``status``, ``truncated`` where the limit was reached; the limit is
+    applied as a group limit before the shuffle. Without one nothing is ranked.
     """
     pairs = overlap_join(
         regions.select("region_id", *KEYS, "start_pos", "end_pos"), layer, levels=levels, prefix="f_"
     )
+    if limit is None:
+        return pairs
     order = [F.col("f_start_pos"), *[F.col("f_" + t) for t in tie]]
     capped = top_k_per_group(pairs, ["region_id"], order, limit, rank="rank")
     sizes = capped.groupBy("region_id").agg(F.count(F.lit(1)).alias("n_returned"))

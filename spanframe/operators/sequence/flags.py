@@ -21,7 +21,7 @@ from spanframe.operators.sequence import motifs
 from spanframe.operators.sequence.steps import fixed_windows
 from spanframe.operators.sequence.thermo import melting_columns, salt_delta_g, _internal_mono
 
-MIN_LENGTH, MAX_LENGTH = 10, 100_000
+MIN_LENGTH = 10
 
 
 def validate(df: DataFrame) -> DataFrame:
@@ -30,8 +30,7 @@ def validate(df: DataFrame) -> DataFrame:
     n = F.length("sequence")
     return df.withColumn("sequence", text).withColumn(
         "reject",
-        F.when(n < MIN_LENGTH, "too_short").when(n > MAX_LENGTH, "too_long")
-        .when(F.col("sequence").rlike("[^ACGTN]"), "invalid_characters"),
+        F.when(n < MIN_LENGTH, "too_short").when(F.col("sequence").rlike("[^ACGTN]"), "invalid_characters"),
     )
 
 

@@ -22,6 +22,7 @@ from spanframe.functions.seqexpr import (
     with_step_counts,
 )
 from spanframe.operators.merge import merge_intervals
+from spanframe.operators.sequence import kernel
 from spanframe.operators.sequence.steps import CHUNK, at, bases, chunks, known_windows
 
 # Motif patterns.
@@ -152,9 +153,8 @@ def kmer_repeats(df: DataFrame, k: int = K.FLAG_KMER, size: int = CHUNK) -> Data
     occurrence of the k-mer. Strand pairs share one canonical key; positions are
     only ever minimised or maximised, so a hot k-mer combines on the map side.
     """
-    plain = kmers(df, k, size).withColumn("_rc", reverse_complement(F.col("kmer")))
-    strand = plain.select(
-        "seq_id", "i", F.least("kmer", "_rc").alias("canon"), (F.col("kmer") <= F.col("_rc")).alias("fwd")
+    strand = kernel.scan(
+        chunks(df.select("seq_id", "sequence"), 0, k - 1, size, spread=False), kernel.canonical_kmers(k), "canon long, fwd boolean, i long"
     )
     key = ["seq_id", "canon"]
     fwd, i = F.col("fwd"), F.col("i")
@@ -171,6 +171,8 @@ def kmer_repeats(df: DataFrame, k: int = K.FLAG_KMER, size: int = CHUNK) -> Data
         F.max(F.when(fwd & (i < F.col("r_after")), i)).alias("f_before"),
         F.max(F.when(~fwd & (i < F.col("f_after")), i)).alias("r_before"),
     )
+    digits = [F.substring(F.lit("ACGT"), F.shiftright("canon", 2 * (k - 1 - j)).bitwiseAND(3).cast("int") + 1, F.lit(1)) for j in range(k)]
+    third = third.withColumn("canon", F.concat(*digits))
     other = reverse_complement(F.col("canon"))
     found = F.array(
         F.struct(F.lit("direct").alias("kind"), F.col("canon").alias("kmer"), F.col("f1").alias("a"), F.col("f2").alias("b")),
@@ -203,34 +205,13 @@ def cpg_islands(df: DataFrame, merge_gap: int = 0, retest: bool = False, size: i
     """CpG islands: union of 200-bp windows with GC >= 0.5 and observed/expected >= 0.6.
 
     ``merge_gap=100, retest=True`` is the genome variant (nearby islands join and
-    must pass again as a whole); the default keeps the plain union. Window counts
-    are differences of running counts inside a chunk; island counts come from
-    chunk slices, never from a whole sequence.
+    must pass again as a whole); the default keeps the plain union. Chunks give runs
+    of qualifying windows; island counts come from chunk slices, never from a whole sequence.
     """
     width = K.ISLAND_LENGTH
     plain = df.select("seq_id", "sequence")
-    cut = bases(chunks(plain, 0, width, size))
-    base, nxt = at(0), at(0, 2)
-    flags = cut.select(
-        "seq_id", "chunk", "n", "core_end", "i",
-        F.when(base == "C", 1).otherwise(0).alias("_c"), F.when(base == "G", 1).otherwise(0).alias("_g"),
-        F.when(nxt == "CG", 1).otherwise(0).alias("_p"),
-    )
-    order = Window.partitionBy("seq_id", "chunk").orderBy("i")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    run = flags.withColumns({f"_r{x}": F.coalesce(F.sum(f"_{x}").over(before), F.lit(0)) for x in "cgp"})
-    total = order.rowsBetween(Window.unboundedPreceding, 0)
-    upto = run.withColumns({f"_u{x}": F.sum(f"_{x}").over(total) for x in "cgp"})
-    # Bases i .. i+199 give C and G; pairs starting at i .. i+198 give CG.
-    ahead = upto.withColumns(
-        {"_ec": F.lead("_uc", width - 1).over(order), "_eg": F.lead("_ug", width - 1).over(order),
-         "_ep": F.lead("_up", width - 2).over(order)}
-    ).where((F.col("i") < F.col("core_end")) & (F.col("i") <= F.col("n") - width))
-    c, g, p = F.col("_ec") - F.col("_rc"), F.col("_eg") - F.col("_rg"), F.col("_ep") - F.col("_rp")
-    good = ((c + g) / width >= K.ISLAND_GC) & (c * g > 0) & (p / (c * g / width) >= K.ISLAND_OE)
-    hits = ahead.where(good).select("seq_id", "chunk", "i")
-    grouped = hits.withColumn("_k", F.col("i") - F.row_number().over(order)).groupBy("seq_id", "chunk", "_k").agg(
-        F.min("i").alias("start_pos"), (F.max("i") + width).alias("end_pos")
+    grouped = kernel.scan(
+        chunks(plain, 0, width, size, spread=False), kernel.island_runs(width, K.ISLAND_GC, K.ISLAND_OE), "start_pos long, end_pos long"
     )
     merged = merge_intervals(grouped, merge_gap, keys=("seq_id",)).select("seq_id", "start_pos", "end_pos")
     counted = _slice_counts(merged, plain, size)
@@ -328,26 +309,9 @@ def pwm_scan(df: DataFrame, matrix: list[list[float]], threshold: float, size: i
     """Positions scoring at least ``threshold`` on either strand; windows with unknown bases do not score."""
     odds = pwm_log_odds(matrix)
     length = len(odds[0])
-    cut = bases(chunks(df.select("seq_id", "sequence"), 0, length - 1, size)).where(
-        (F.col("i") < F.col("core_end")) & (F.col("i") <= F.col("n") - length)
-    ).select("seq_id", "i", at(0, length).cast("binary").alias("_mer"))
-
-    def score(rows: list[list[float]]) -> Column:
-        terms = []
-        for pos in range(length):
-            base = F.substring("_mer", pos + 1, 1).cast("string")
-            values = F.array(F.lit(None).cast("double"), *[F.lit(float(rows[b][pos])) for b in range(4)])
-            terms.append(F.get(values, F.instr(F.lit("ACGT"), base)))
-        return reduce(add, terms)
-
     reverse = [row[::-1] for row in odds[::-1]]
-    both = cut.select("seq_id", "i", F.inline(F.array(
-        F.struct(F.lit("+").alias("strand"), score(odds).alias("score")),
-        F.struct(F.lit("-").alias("strand"), score(reverse).alias("score")),
-    )))
-    return both.where(F.col("score") >= threshold).select(
-        "seq_id", F.col("i").alias("start"), (F.col("i") + length).alias("end"), "strand", "score"
-    )
+    pieces = chunks(df.select("seq_id", "sequence"), 0, length - 1, size, spread=False)
+    return kernel.scan(pieces, kernel.pwm_hits(odds, reverse, threshold), "start long, end long, strand string, score double")
 
 
 def restriction_sites(df: DataFrame, size: int = CHUNK) -> DataFrame:

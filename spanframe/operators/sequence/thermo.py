@@ -6,6 +6,8 @@ import math
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from spanframe.functions.seqexpr import (
     step_total,
     with_step_counts,
 )
+from spanframe.operators.sequence import kernel
 from spanframe.operators.sequence.steps import CHUNK, bases, at, by_code, chunks, known_windows, step_code, steps
 
 STRUCTURE = ("roll", "tilt", "twist", "rise", "slide", "shift", "deformability")
@@ -212,58 +215,38 @@ def contextual_profile(df: DataFrame, window: int = 10, size: int = CHUNK) -> Da
     )
 
 
+def _bend_tables() -> list[np.ndarray]:
+    return [np.radians([*(table[d] for d in K.DINUCLEOTIDES), 0.0]) for table in (K.ROLL, K.TILT, K.TWIST)]
+
+
 def curvature_profile(df: DataFrame, window: int = 21, size: int = CHUNK) -> DataFrame:
-    """Wedge-model curvature in degrees per step over a centred window.
+    """Wedge-model curvature in degrees per step over a centred window, cut short at sequence ends.
 
     The length of a windowed vector sum does not depend on where the twist angle
-    starts, so each chunk accumulates its own angle and needs no carry.
+    starts, so a chunk needs no carry.
     """
-    half = window // 2
-    rad = math.pi / 180.0
-    code = F.col("code")
-    cut = steps(df.select("seq_id", "sequence"), half, half, size).withColumns(
-        {
-            "_roll": F.coalesce(by_code(code, K.ROLL), F.lit(0.0)) * rad,
-            "_tilt": F.coalesce(by_code(code, K.TILT), F.lit(0.0)) * rad,
-            "_tw": F.coalesce(by_code(code, K.TWIST), F.lit(0.0)) * rad,
-        }
-    )
-    order = Window.partitionBy("seq_id", "chunk").orderBy("i")
-    angle = F.sum("_tw").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    turned = cut.withColumn("_a", angle).withColumns(
-        {
-            "_x": F.col("_roll") * F.cos("_a") - F.col("_tilt") * F.sin("_a"),
-            "_y": F.col("_roll") * F.sin("_a") + F.col("_tilt") * F.cos("_a"),
-        }
-    )
-    # Window sums are differences of running sums; near a sequence end the window is cut short.
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    run = turned.withColumns(
-        {"_cx": F.sum("_x").over(upto), "_cy": F.sum("_y").over(upto), "_first": F.min("i").over(whole), "_last": F.max("i").over(whole),
-         "_tx": F.sum("_x").over(whole), "_ty": F.sum("_y").over(whole)}
-    )
+    half, tables = window // 2, _bend_tables()
 
-    def window_sum(c: str, total: str) -> Column:
-        return F.coalesce(F.lead(c, half).over(order), F.col(total)) - F.coalesce(F.lag(c, half + 1).over(order), F.lit(0.0))
+    def fn(p: kernel.Pieces):
+        at, bend = kernel.curvature_steps(p, *tables, half)
+        pairs = np.stack([p.data[at], p.data[at + 1]], 1) if len(at) else np.zeros((0, 2), np.uint8)
+        return p.piece[at], {"i": p.i[at], "dinucleotide": pa.array(np.ascontiguousarray(pairs).view("S2").ravel().astype("U2"), pa.string()), "curvature": bend}
 
-    width = F.least(F.col("i") + half, F.col("_last")) - F.greatest(F.col("i") - half, F.col("_first")) + 1
-    summed = run.withColumns({"_sx": window_sum("_cx", "_tx"), "_sy": window_sum("_cy", "_ty"), "_n": width})
-    return (
-        summed.withColumn("curvature", F.sqrt(F.col("_sx") * F.col("_sx") + F.col("_sy") * F.col("_sy")) / F.col("_n") / rad)
-        .where("core")
-        .select("seq_id", "i", "dinucleotide", "curvature")
-    )
+    return kernel.scan(chunks(df.select("seq_id", "sequence"), half, half + 1, size, spread=False), fn, "i long, dinucleotide string, curvature double")
 
 
 def curvature(df: DataFrame, window: int = 21, size: int = CHUNK) -> DataFrame:
-    return (
-        curvature_profile(df, window, size)
-        .groupBy("seq_id")
-        .agg(
-            F.count(F.lit(1)).alias("n_steps"), F.round(F.avg("curvature"), 3).alias("mean_curvature"),
-            F.round(F.max("curvature"), 3).alias("max_curvature"),
-        )
+    """Steps, mean and largest curvature of each sequence; only sums of chunks are shuffled."""
+    half, tables = window // 2, _bend_tables()
+
+    def fn(p: kernel.Pieces):
+        at, bend = kernel.curvature_steps(p, *tables, half)
+        which, first, n = np.unique(p.piece[at], return_index=True, return_counts=True)
+        return which, {"n": n, "total": np.add.reduceat(bend, first) if len(at) else bend, "most": np.maximum.reduceat(bend, first) if len(at) else bend}
+
+    sums = kernel.scan(chunks(df.select("seq_id", "sequence"), half, half + 1, size, spread=False), fn, "n long, total double, most double")
+    return sums.groupBy("seq_id").agg(
+        F.sum("n").alias("n_steps"), F.round(F.sum("total") / F.sum("n"), 3).alias("mean_curvature"), F.round(F.max("most"), 3).alias("max_curvature"),
     )
 
 

@@ -58,12 +58,6 @@ def family_scores(summary: DataFrame, probe_counts: DataFrame) -> DataFrame:
     )
 
 
-def youngest_members(repeats: DataFrame, k: int = 10) -> DataFrame:
-    """The ``k`` least diverged copies of each family (a top list)."""
-    return top_k_per_group(repeats, ["repeat_class", "repeat_family"],
-                           [F.col("divergence_pct").asc_nulls_last(), "chr_id", "start_pos", "end_pos"], k, "rank")
-
-
 def loci_from_fragments(fragments: DataFrame, locus: str = "locus") -> DataFrame:
     """Locus bounds, fragment count and length from fragment rows."""
     return fragments.groupBy("build", "chr_id", locus).agg(
@@ -131,7 +125,7 @@ def shannon_entropy(long: DataFrame, keys: Sequence[str], value: str, normalised
     return sums.select(*keys, F.when(F.col("_k") > 1, value_out).otherwise(0.0).alias("entropy"))
 
 
-def edge_change(edges: DataFrame, matrix: DataFrame, threshold: float, k: int = 50) -> tuple[DataFrame, DataFrame]:
+def edge_change(edges: DataFrame, matrix: DataFrame, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
     """Per graph edge: number of features changing by more than ``threshold``, and the top ``k`` by change."""
     a = matrix.select(F.col("bucket").alias("from_node"), "feature", F.col("value").alias("_a"))
     b = matrix.select(F.col("bucket").alias("to_node"), "feature", F.col("value").alias("_b"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +46,15 @@ def lead_variant(df: DataFrame, keys: Sequence[str], p_value: str, line: str) ->
     return top_k_per_group(df, keys, [F.col(p_value).asc_nulls_last(), F.col(line)], 1)
 
 
-def page_after(df: DataFrame, cursor: int, size: int, pos: str = "pos") -> DataFrame:
-    """Keyset page. Rows sharing the cursor's position are skipped, as in the service this mirrors."""
-    return df.where(F.col(pos) > cursor).orderBy(pos).limit(size)
+def page_after(df: DataFrame, cursor: tuple | None, size: int, keys: Sequence[str] = ("pos", "id")) -> DataFrame:
+    """The ``size`` rows after the cursor in the order of ``keys``; None for the first page.
+
+    The keys together are unique (a position and an id), so pages meet every row once, ties in position included.
+    """
+    if cursor is not None:
+        after = F.lit(False)
+        for i, value in enumerate(cursor):
+            same = [F.col(k) == v for k, v in zip(keys[:i], cursor)]
+            after = after | reduce(and_, same, F.col(keys[i]) > F.lit(value))
+        df = df.where(after)
+    return df.orderBy(*keys).limit(size)

@@ -140,13 +140,12 @@ class Tables:
         self._built: dict[str, DataFrame] = {}
 
     def _read(self, name: str) -> DataFrame:
-        """A base table. Tables whose rows are costly to process are spread over the cores
-        when they come in fewer files than there are cores; otherwise files are the splits."""
+        """A base table. Tables whose rows are costly to process are dealt out anew, so that work does not follow file sizes."""
         table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        if name in HEAVY_ROWS and len(table.inputFiles()) < cores:
-            return table.repartition(2 * cores, HEAVY_ROWS[name])
-        return table
+        if name not in HEAVY_ROWS:
+            return table
+        parts = max(2 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return table.repartition(parts, HEAVY_ROWS[name])
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("__"):

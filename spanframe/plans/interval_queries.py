@@ -59,7 +59,7 @@ SELECT a.region_id, b.event_id AS f_event_id, b.pos AS f_pos
 FROM regions a JOIN points b ON a.chr_id = b.chr_id AND b.pos >= a.start_pos AND b.pos < a.end_pos""",
     "regions", "points"))
 def _(t):
-    out = region.region_query(overlap.as_interval(t.points), t.regions, 10**9, ("event_id",), [8192])
+    out = region.region_query(overlap.as_interval(t.points), t.regions, levels=[8192])
     return out.select("region_id", "f_event_id", "f_pos")
 
 
@@ -73,9 +73,9 @@ def _(t):
 
 
 @query("f6_page_after", oracle("""
-SELECT event_id, pos FROM points WHERE pos > 5000 ORDER BY pos LIMIT 100""", "points"))
+SELECT event_id, pos FROM points WHERE pos > 5000 OR (pos = 5000 AND event_id > 250) ORDER BY pos, event_id LIMIT 100""", "points"))
 def _(t):
-    return topk.page_after(t.points.select("event_id", "pos"), 5000, 100)
+    return topk.page_after(t.points.select("event_id", "pos"), (5000, 250), 100, ("pos", "event_id"))
 
 
 @query("f7_select_fields", oracle("""

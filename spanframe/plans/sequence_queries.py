@@ -283,12 +283,12 @@ FLAG_CTES = {"running": RUNNING, "good": GOOD, "isl": islands_sql(0), "gcw": GCW
 
 
 @query("q15_evaluate", seq_oracle(f"""
-SELECT q.seq_id, CASE WHEN length(q.sequence) < 10 THEN 'too_short' WHEN length(q.sequence) > 100000 THEN 'too_long' END AS reject,
+SELECT q.seq_id, CASE WHEN length(q.sequence) < 10 THEN 'too_short' END AS reject,
   CASE WHEN ok THEN CAST(length(q.sequence) AS INT) END AS length_bp, CASE WHEN ok THEN round({GC_SQL.replace('sequence', 'q.sequence')} / greatest(1, length(q.sequence)), 4) END AS gc_content,
   CASE WHEN ok THEN round(tm, 1) END AS melting_temp, CASE WHEN ok THEN coalesce(f.n_flags, 0) END AS n_flags,
   CASE WHEN ok THEN coalesce(f.n_warning, 0) END AS n_warning, CASE WHEN ok THEN coalesce(f.n_info, 0) END AS n_info,
   CASE WHEN ok THEN coalesce(f.isl, 0) END AS cpg_island_count
-FROM (SELECT *, length(sequence) BETWEEN 10 AND 100000 AS ok FROM sequences) q JOIN melt USING (seq_id) LEFT JOIN (
+FROM (SELECT *, length(sequence) >= 10 AS ok FROM sequences) q JOIN melt USING (seq_id) LEFT JOIN (
   SELECT seq_id, count(*) AS n_flags, count(*) FILTER (type = 'warning') AS n_warning, count(*) FILTER (type = 'info') AS n_info,
   count(*) FILTER (code = 'CPG_ISLAND') AS isl FROM fl GROUP BY 1) f USING (seq_id)""", **FLAG_CTES, melt=melt_sql(1.0, 250), fl=FLAG_SQL))
 def _(t):

@@ -247,10 +247,10 @@ def _(t):
 
 @query("e19_drift", oracle("""
 SELECT stat_id, p AS pinned, c AS computed, CASE WHEN p IS NOT NULL AND c IS NOT NULL THEN abs(p - c) <= 1e-9 OR abs(p - c) / greatest(abs(p), abs(c), 1.0) <= 1e-6 END
-  AS within_tolerance FROM (SELECT coalesce(a.k, b.k) AS stat_id, a.v AS p, b.v AS c FROM (SELECT 'w' || start_pos AS k, n_a * 1.0::DOUBLE AS v FROM windows WHERE chr_id = 1) a
-  FULL JOIN (SELECT 'w' || start_pos AS k, CASE WHEN n_a % 3 = 0 THEN n_a + 1 ELSE n_a END * 1.0::DOUBLE AS v FROM windows WHERE chr_id = 1 AND n_b IS NOT NULL) b ON a.k = b.k)""", "windows"))
+  AS within_tolerance FROM (SELECT coalesce(a.k, b.k) AS stat_id, a.v AS p, b.v AS c FROM (SELECT 'w' || chr_id || '_' || start_pos AS k, n_a * 1.0::DOUBLE AS v FROM windows) a
+  FULL JOIN (SELECT 'w' || chr_id || '_' || start_pos AS k, CASE WHEN n_a % 3 = 0 THEN n_a + 1 ELSE n_a END * 1.0::DOUBLE AS v FROM windows WHERE n_b IS NOT NULL) b ON a.k = b.k)""", "windows"))
 def _(t):
-    one = t.windows.where("chr_id = 1").withColumn("stat_id", F.concat(F.lit("w"), "start_pos"))
+    one = t.windows.withColumn("stat_id", F.concat(F.lit("w"), "chr_id", F.lit("_"), "start_pos"))
     pinned = one.select("stat_id", F.col("n_a").cast("double").alias("value"))
     fresh = one.where("n_b IS NOT NULL").select(
         "stat_id", F.when(F.col("n_a") % 3 == 0, F.col("n_a") + 1).otherwise(F.col("n_a")).cast("double").alias("value"))

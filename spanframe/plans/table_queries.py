@@ -194,7 +194,7 @@ def _(t):
 @query("f17_prefix_search", oracle("""
 SELECT symbol, 'symbol' AS matched_by FROM genes WHERE starts_with(symbol, 'RED') ORDER BY symbol LIMIT 20""", "genes"))
 def _(t):
-    return gn.prefix_search(t.genes, aliases(t), "red")
+    return gn.prefix_search(t.genes, aliases(t), "red", 20)
 
 
 @query("j11_attach_gene_coordinates", oracle("""
@@ -295,7 +295,7 @@ def _(t):
 SELECT p.event_id AS variant_id, w.n_a, coalesce(k.n, 0) AS n_known, e.elements FROM points p LEFT JOIN windows w ON w.chr_id = p.chr_id AND w.start_pos = p.pos // 1000 * 1000
 LEFT JOIN (SELECT p.event_id, count(*) AS n FROM points p JOIN probes b ON p.chr_id = b.chr_id AND p.pos = b.pos GROUP BY 1) k USING (event_id)
 LEFT JOIN (SELECT event_id, list(feature_id ORDER BY rn) AS elements FROM (SELECT p.event_id, b.feature_id, row_number() OVER (PARTITION BY p.event_id ORDER BY b.start_pos, b.feature_id) AS rn
-  FROM points p JOIN intervals_b b ON p.chr_id = b.chr_id AND p.pos >= b.start_pos AND p.pos < b.end_pos) WHERE rn <= 5 GROUP BY 1) e USING (event_id)""",
+  FROM points p JOIN intervals_b b ON p.chr_id = b.chr_id AND p.pos >= b.start_pos AND p.pos < b.end_pos) GROUP BY 1) e USING (event_id)""",
     "points", "windows", "probes", "intervals_b"))
 def _(t):
     out = gn.variant_cross_reference(

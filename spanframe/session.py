@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Runtime settings; all of them can be changed on a live session.
 RUNTIME_CONF = {
@@ -44,11 +43,13 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is named."""
+    """The shared folder that ``spark.checkpoint.dir`` names; in local mode without it, the warehouse folder."""
     context = spark.sparkContext
     named = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        named = tempfile.mkdtemp(prefix="spanframe-")
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = spark.conf.get("spark.sql.warehouse.dir")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
@@ -57,9 +58,3 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so a lost executor does not replay its history."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
