@@ -177,9 +177,9 @@ def cosine_similar(
 
 
 def sample_windows(windows: DataFrame, n: int, seed: int, keys: Sequence[str], unknown: str | None = None) -> DataFrame:
-    """Seeded random sample of windows with under 5 % unknown bases: the ``n`` smallest key hashes."""
+    """Seeded random sample of windows with under 5 % unknown bases: the ``n`` smallest md5 of ``keys|seed``."""
     good = windows.where(F.col(unknown) < 0.05) if unknown else windows
-    return global_top_k(good, [F.xxhash64(*keys, F.lit(seed)), *keys], n)
+    return global_top_k(good, [F.md5(F.concat_ws("|", *keys, F.lit(seed))), *keys], n)
 
 
 def top_variable(df: DataFrame, feature: str, value: str, n: int) -> DataFrame:

@@ -112,12 +112,12 @@ def mutual_information(df: DataFrame, cols: Sequence[str], bins: int = 50) -> Da
 
 
 def distance_correlation(df: DataFrame, x: str, y: str, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Distance correlation over a seeded sample of ``n`` rows (the operator is defined on a sample).
+    """Distance correlation over a seeded sample of ``n`` rows, those with the smallest md5 of ``key|seed`` (the operator is defined on a sample).
 
     Pairwise distances are n*n by definition; ``n`` bounds them. Row means and
     the products are aggregated from the pair table, keyed by row, never in one task.
     """
-    sample = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    sample = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).orderBy(F.md5(F.concat_ws("|", F.col(key), F.lit(seed))), key).limit(n)
     rows = sample.select(F.col(key).alias("i"), F.col(x).alias("xi"), F.col(y).alias("yi"))
     # Both sides carry every slot of a fixed fan, so pairs spread over the slots by equi-join.
     fan = 8

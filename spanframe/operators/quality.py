@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from spanframe.functions.stats import safe_corr
 
 
-def content_hash(df: DataFrame, buckets: int = 256) -> DataFrame:
+def content_hash(df: DataFrame) -> DataFrame:
     """One SHA-256 over all rows, whatever their order or partitioning.
 
     Row digests are summed per bucket as numbers (so equal rows still count
-    twice) and the bucket sums are digested in bucket order. Only ``buckets``
-    short rows meet in one place.
+    twice) and the bucket sums are digested in bucket order; a bucket is a first byte,
+    so only 256 short rows meet in one place.
     """
     digest = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256)
-    rows = df.select(digest.alias("_d")).withColumn("_b", F.pmod(F.xxhash64("_d"), F.lit(buckets)))
+    rows = df.select(digest.alias("_d")).withColumn("_b", F.substring("_d", 1, 2))
     parts = [F.conv(F.substring("_d", 1 + 8 * i, 8), 16, 10).cast("long") for i in range(8)]
     sums = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(p).alias(f"_s{i}") for i, p in enumerate(parts)])
     text = F.concat_ws(":", "_b", "_n", *[f"_s{i}" for i in range(8)])

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Bases that a function gets at once, about.
-BLOCK_BASES = 1 << 20
+BLOCK_BASES = 1 << 18
 _CODE = np.full(256, 4, np.uint8)
 _CODE[list(b"ACGT")] = range(4)
 
@@ -141,7 +141,8 @@ def canonical_kmers(k: int):
             back |= (3 - base) << (2 * j)
         canon, piece = np.minimum(forward, back), p.piece[at]
         whole = (p.piece_start == 0) & (p.end - p.begin == p.n)
-        order = np.lexsort((canon, piece))
+        shift = int(piece.max(initial=0)).bit_length()
+        order = np.argsort(canon << shift | piece) if 2 * k + shift < 64 else np.lexsort((canon, piece))
         same = (canon[order][1:] == canon[order][:-1]) & (piece[order][1:] == piece[order][:-1])
         often = np.zeros(len(at), bool)
         often[order] = np.append(same, False) | np.append(False, same)

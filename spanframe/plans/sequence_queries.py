@@ -341,9 +341,8 @@ def _(t):
 
 def mer_sql(k: int) -> str:
     """Every k bases in a row with their construct and part; shorter at a sequence's end."""
-    text = " || ".join(["b", *[f"coalesce(lead(b, {j}) OVER w, '')" for j in range(1, k)]])
-    return f"""SELECT seq_id // 4 AS construct_id, seq_id % 4 AS part_no, i, {text} AS mer FROM bases
-  WINDOW w AS (PARTITION BY seq_id ORDER BY i)"""
+    return f"""SELECT seq_id // 4 AS construct_id, seq_id % 4 AS part_no, i, substring(sequence, CAST(i + 1 AS BIGINT), {k}) AS mer
+  FROM (SELECT seq_id, sequence, unnest(range(0, length(sequence))) AS i FROM sequences)"""
 
 
 K13 = "SELECT construct_id, part_no, mer AS kmer, min(i) + 1 AS position FROM m13 WHERE length(mer) = 13 GROUP BY 1, 2, 3"

@@ -80,6 +80,27 @@ def _(t):
     return matrix.pca(t.windows, COLS, 3)
 
 
+PAIR_EIGEN = """SELECT (vx + vy) / 2 AS mid, sqrt(power((vx - vy) / 2, 2) + c * c) AS half, vx, vy, c FROM (
+  SELECT var_samp(score) AS vx, var_samp(rate) AS vy, covar_samp(score, rate) AS c FROM intervals_a)"""
+
+
+@query("e10_pca_pair", oracle("""
+SELECT CAST(component AS INT) AS component, round(ev / (2 * mid), 6) AS explained, field,
+  round(abs(CASE WHEN field = 'score' THEN c ELSE ev - vx END) / sqrt(c * c + power(ev - vx, 2)), 6) AS abs_loading FROM (
+  SELECT *, CASE component WHEN 1 THEN mid + half ELSE mid - half END AS ev FROM eig, (VALUES (1), (2)) k(component)), (VALUES ('score'), ('rate')) f(field)""",
+    "intervals_a", extra={"eig": PAIR_EIGEN}))
+def _(t):
+    out = matrix.pca(t.intervals_a, ["score", "rate"], 2)
+    return out.select("component", F.round("explained", 6).alias("explained"), "field", F.round("abs_loading", 6).alias("abs_loading"))
+
+
+@query("e22_components_pair", oracle("""
+SELECT share, CAST(CASE WHEN (mid + half) / (2 * mid) >= share - 1e-12 THEN 1 ELSE 2 END AS INT) AS n_components
+FROM eig, (VALUES (0.5::DOUBLE), (0.8::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) s(share)""", "intervals_a", extra={"eig": PAIR_EIGEN}))
+def _(t):
+    return matrix.components_needed(matrix.pca(t.intervals_a, ["score", "rate"], 2))
+
+
 @query("e11_mutual_information", oracle("""
 SELECT x, y, round(sum(c / CAST(n AS DOUBLE) * ln(CAST(c AS DOUBLE) * n / (CAST(ca AS DOUBLE) * cb))), 6) + 0.0 AS mi FROM (
   SELECT *, sum(c) OVER (PARTITION BY x, y) AS n, sum(c) OVER (PARTITION BY x, y, a) AS ca, sum(c) OVER (PARTITION BY x, y, b) AS cb
@@ -91,10 +112,17 @@ def _(t):
     return matrix.mutual_information(t.intervals_a, ["score", "rate"]).withColumn("mi", r(F.col("mi")))
 
 
-@query("e12_distance_correlation")
+@query("e12_distance_correlation", oracle("""
+SELECT 'curvature' AS x, 'mean_b' AS y, count(*) AS n_pairs, round(CASE WHEN avg(a * a) > 0 AND avg(b * b) > 0
+  THEN sqrt(greatest(0.0, avg(a * b) / sqrt(avg(a * a) * avg(b * b)))) ELSE 0.0 END, 6) AS dcor FROM (
+  SELECT dx - avg(dx) OVER (PARTITION BY i) - avg(dx) OVER (PARTITION BY j) + avg(dx) OVER () AS a,
+         dy - avg(dy) OVER (PARTITION BY i) - avg(dy) OVER (PARTITION BY j) + avg(dy) OVER () AS b FROM (
+    SELECT p.k AS i, q.k AS j, abs(p.x - q.x) AS dx, abs(p.y - q.y) AS dy FROM s p CROSS JOIN s q))""", "windows", extra={"s": """
+  SELECT CAST(chr_id AS BIGINT) * 100000000 + start_pos AS k, curvature AS x, mean_b AS y FROM windows WHERE curvature IS NOT NULL AND mean_b IS NOT NULL
+  ORDER BY md5((CAST(chr_id AS BIGINT) * 100000000 + start_pos) || '|42'), 1 LIMIT 500"""}))
 def _(t):
-    keyed = t.windows.withColumn("key", F.col("chr_id") * 100_000_000 + F.col("start_pos"))
-    return matrix.distance_correlation(keyed, "curvature", "mean_b", "key", 500)
+    keyed = t.windows.withColumn("key", F.col("chr_id").cast("long") * 100_000_000 + F.col("start_pos"))
+    return matrix.distance_correlation(keyed, "curvature", "mean_b", "key", 500).withColumn("dcor", F.round("dcor", 6))
 
 
 BANDS = [(0.0, 4.8), (4.8, 5.2), (5.2, 100.0)]
@@ -240,7 +268,8 @@ def _(t):
     return out.select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"), "n_shared", "rank")
 
 
-@query("e18_sample_windows")
+@query("e18_sample_windows", oracle("""
+SELECT chr_id, start_pos, n_a FROM windows ORDER BY md5(chr_id || '|' || start_pos || '|42'), chr_id, start_pos LIMIT 100""", "windows"))
 def _(t):
     return effects.sample_windows(t.windows.select("chr_id", "start_pos", "n_a"), 100, 42, ["chr_id", "start_pos"])
 

@@ -491,9 +491,18 @@ def _(t):
     return quality.register_layer(old, fresh).select("layer_key", "version", "genome_build", "row_count", "is_default")
 
 
-@query("k3_content_hash")
+PART_SUMS = " || ':' || ".join(f"CAST(sum(CAST('0x' || substring(d, {1 + 8 * i}, 8) AS BIGINT)) AS BIGINT)" for i in range(8))
+
+
+@query("k3_content_hash", oracle(f"""
+SELECT sha256(string_agg(x, '|' ORDER BY x)) AS content_hash, CAST(sum(n) AS BIGINT) AS row_count FROM (
+  SELECT substring(d, 1, 2) || ':' || count(*) || ':' || {PART_SUMS} AS x, count(*) AS n FROM (
+    SELECT sha256(CAST(to_json(struct_pack(build := build, chr_id := chr_id, end_pos := end_pos, feature_id := feature_id, klass := klass,
+      score := CAST(CAST(score AS DECIMAL(20, 2)) AS VARCHAR), start_pos := start_pos)) AS VARCHAR)) AS d FROM intervals_b) GROUP BY substring(d, 1, 2))""",
+    "intervals_b"))
 def _(t):
-    return quality.content_hash(t.intervals_b)
+    named = t.intervals_b.select("build", "chr_id", "end_pos", "feature_id", "klass", "start_pos", F.col("score").cast("decimal(20,2)").cast("string").alias("score"))
+    return quality.content_hash(named)
 
 
 @query("k6_check_layer", oracle("""
