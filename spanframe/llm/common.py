@@ -16,6 +16,13 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 1 << 20
 
 
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """Arrow batches of at most 1000 rows and about 16 MB, so that a task's memory does not follow the lengths of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    return spark
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder of ``spark.checkpoint.dir``; in local mode without that setting, in the warehouse folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

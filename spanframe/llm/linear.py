@@ -130,13 +130,15 @@ def train(sample: DataFrame, outputs: Callable[[np.ndarray], np.ndarray], words:
 def apply_blocks(df: DataFrame, text: str, keep: tuple[str, ...], fn: Callable[[pa.Array, np.ndarray, np.ndarray], dict[str, np.ndarray | pa.Array]], schema: str) -> DataFrame:
     """The kept columns and those that ``fn`` makes of each block of texts (the column, its bytes, their offsets)."""
     fields = [df.schema[n] for n in keep]
+    read = [*keep, *([] if text in keep else [text])]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for block in text_blocks(iter([batch.select(["__text"]).rename_columns(["text"])])):
-                made = fn(batch.column("__text").slice(at, block.num_rows), *A.raw(block.column("text")))
-                yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(at, block.num_rows) for n in keep), *(pa.array(v) for v in made.values())], names=[*keep, *made])
+            at, texts = 0, batch.column(read.index(text))
+            for block in text_blocks(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])):
+                made = fn(texts.slice(at, block.num_rows), *A.raw(block.column("text")))
+                kept = [batch.column(i).slice(at, block.num_rows) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(v) for v in made.values())], names=[*keep, *made])
                 at += block.num_rows
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(rows, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + schema)
+    return df.select(*read).mapInArrow(rows, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + schema)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import BLOCK_BYTES, stored, text_blocks
+from spanframe.llm.common import stored, text_blocks
 from spanframe.llm.tokens import encoder
 
 
@@ -39,7 +39,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int, end_id: int, wit
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), Counter()
-        for block in text_blocks(batches, 4 * BLOCK_BYTES):
+        for block in text_blocks(batches):
             flat, offsets = encode.encode(block.column("text"))
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", *["ids"] * with_ids)}
             for doc, a, b in zip(block.column("doc_id").to_pylist(), offsets.tolist(), offsets[1:].tolist()):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe.llm import decontaminate, jaccard, langid, packing, pii, quality_qda, quality_rules, token_files, toxicity, warc
-from spanframe.llm.common import shared_path
+from spanframe.llm.common import bound_batches, shared_path
 
 #: Token that ends a document, and tokens of a packed sequence.
 END_ID, CAPACITY = 2, 1024
@@ -22,7 +22,7 @@ SURROGATE_KEY = b"registered queries"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bound_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import BLOCK_BYTES, mounted, text_blocks, write_whole
+from spanframe.llm.common import mounted, text_blocks, write_whole
 from spanframe.llm.tokens import encoder
 
 _NULL = np.iinfo(np.int64).min
@@ -49,7 +49,7 @@ def write_token_files(documents: DataFrame, tokenizer: str, path: str, end_id: i
         lengths, ids = [], []
 
         def body(out) -> None:
-            for block in text_blocks(batches, 4 * BLOCK_BYTES):
+            for block in text_blocks(batches):
                 flat, offsets = encode.encode(block.column("text"))
                 out.write(np.insert(flat, offsets[1:], end_id).astype(width).tobytes())
                 lengths.append(np.diff(offsets) + 1)
