@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe.llm import decontaminate, jaccard, packing, pii, quality_qda
-from spanframe.llm.common import stored
+from spanframe.llm.common import bound_batches, stored
 from spanframe.llm.queries import CAPACITY, END_ID, KEEP_AT, SURROGATE_KEY, table
 
 
@@ -19,6 +19,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near copies. Rows with a null id stay; rows that repeat an id share its fate."""
+    bound_batches(spark)
     groups = jaccard.jaccard_components(docs, 3, 90)
     keep = stored(groups.where("doc_id = component_id").select("doc_id").distinct(), "distinct")
     named = docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
@@ -32,6 +33,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with surrogates for personal data and secrets; n_chars follows the new text."""
+    bound_batches(spark)
     out = pii.replaced(docs, SURROGATE_KEY)
     if "n_chars" in docs.columns:
         n = F.when(F.col("text").isNotNull() & F.col("n_chars").isNotNull(), F.length("text")).otherwise(F.col("n_chars"))
@@ -41,6 +43,7 @@ def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in sequences of CAPACITY tokens."""
+    bound_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), CAPACITY, END_ID)
 
 
