@@ -145,16 +145,17 @@ def count_overlaps(
         F.lit(0).alias("_e"),
     )
     steps = marks.unionByName(asks).groupBy(*keys, "_at").agg(F.sum("_s").alias("_s"), F.sum("_e").alias("_e"))
+    # Both sides read one pair of totals, so the scan is planned the same twice and its shuffles are reused.
     totals = running(steps, keys, "_at", {"_started": ("sum", "_s"), "_ended": ("sum", "_e")}, chunk).select(
-        *keys, "_at", (F.col("_started") - F.col("_s")).alias("_started"), "_ended"
+        *keys, "_at", F.array(F.col("_started") - F.col("_s"), F.col("_ended")).alias("_t")
     )
-    at_end = totals.select(*keys, F.col("_at").alias("end_pos"), "_started")
-    at_start = totals.select(*keys, F.col("_at").alias("start_pos"), "_ended")
+    at_end = totals.select(*keys, F.col("_at").alias("end_pos"), F.col("_t").alias("_te"))
+    at_start = totals.select(*keys, F.col("_at").alias("start_pos"), F.col("_t").alias("_ts"))
     return (
         regions.join(at_end, [*keys, "end_pos"], "left")
         .join(at_start, [*keys, "start_pos"], "left")
-        .withColumn(out, (F.coalesce("_started", F.lit(0)) - F.coalesce("_ended", F.lit(0))).cast("long"))
-        .drop("_started", "_ended")
+        .withColumn(out, (F.coalesce(F.get("_te", F.lit(0)), F.lit(0)) - F.coalesce(F.get("_ts", F.lit(1)), F.lit(0))).cast("long"))
+        .drop("_te", "_ts")
     )
 
 

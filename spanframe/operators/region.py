@@ -81,12 +81,7 @@ def region_stats(
                            for f in fields])),
     )
     keys = ["region_id", "field"]
-    moments = values.groupBy(*keys).agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-    )
-    quartiles = exact_quantiles(values, keys, "value", {"p25": 0.25, "median": 0.5, "p75": 0.75}, buckets=64)
-    return moments.join(quartiles, keys, "left")
+    return exact_quantiles(values, keys, "value", {"p25": 0.25, "median": 0.5, "p75": 0.75}, buckets=8, moments=True)
 
 
 def region_counts(layer: DataFrame, regions: DataFrame) -> DataFrame:

@@ -61,13 +61,13 @@ def _combine(kind: str, local: Column, carry: Column) -> Column:
     return F.greatest(local, carry) if kind == "max" else F.least(local, carry)
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 1024) -> DataFrame:
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 64) -> DataFrame:
     """Distinct values with their frequency and the number of smaller values.
 
-    Output: keys, value, ``n_at``, ``n_before``, ``n_total``. Repeated values
-    collapse before any ordering, and ordering happens inside equal-width
-    buckets of the value range; bucket totals (at most ``buckets`` rows per
-    group) carry the offsets.
+    Output: keys, value, ``n_at``, ``n_before``, ``n_total``, ``mean``. Repeated values
+    collapse before any ordering, and ordering happens inside buckets of about
+    equal numbers of distinct values, whatever their distribution; bucket totals
+    (at most ``buckets`` rows per group) carry the offsets.
     """
     keys = list(keys)
     group = keys or ["_all"]
@@ -76,13 +76,13 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 1
         source = source.withColumn("_all", F.lit(0))
     counts = source.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n_at"))
     span = counts.groupBy(*group).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("n_at").alias("n_total")
+        F.percentile_approx(F.col(value).cast("double"), [i / buckets for i in range(1, buckets)], F.lit(20 * buckets)).alias("_cuts"),
+        F.sum("n_at").alias("n_total"), (F.sum(F.col(value).cast("double") * F.col("n_at")) / F.sum("n_at")).alias("mean"),
     )
     if not keys:
         span = F.broadcast(span)  # exactly one row
-    position = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets
-    bucket = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(position), F.lit(buckets - 1))).otherwise(0)
-    placed = counts.join(span, group).withColumn("_bucket", bucket.cast("int")).drop("_lo", "_hi")
+    below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    placed = counts.join(span, group).withColumn("_bucket", below).drop("_cuts")
     sizes = placed.groupBy(*group, "_bucket").agg(F.sum("n_at").alias("_size"))
     earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).drop("_size")
@@ -90,7 +90,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 1
     out = placed.join(offsets, [*group, "_bucket"]).withColumn(
         "n_before", F.col("_offset") + F.coalesce(F.sum("n_at").over(inside), F.lit(0))
     )
-    return out.select(*keys, value, "n_at", "n_before", "n_total")
+    return out.select(*keys, value, "n_at", "n_before", "n_total", "mean")
 
 
 def avg_rank(df: DataFrame, value: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -105,13 +105,15 @@ def cume_pct(df: DataFrame, value: str, out: str, keys: Sequence[str] = ()) -> D
 
 def _attach_rank(df, value, out, keys, expression) -> DataFrame:
     ranks = value_ranks(df, keys, value).select(*keys, value, expression.alias(out))
-    return df.join(ranks, [*keys, value], "left")
+    # Nulls have no rank; a null key per row keeps them from meeting in one task of the join.
+    known = df.where(F.col(value).isNotNull()).join(ranks, [*keys, value], "left").select(*df.columns, out)
+    return known.unionByName(df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], buckets: int = 1024
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], buckets: int = 64, moments: bool = False
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation, one column per entry of ``probs``.
+    """Exact quantiles with linear interpolation, one column per entry of ``probs``; with ``moments`` also n, mean, sd, min and max.
 
     Works on ranks, so no task ever holds a group's values; for each quantile
     only the one or two values at its rank survive the aggregation.
@@ -123,8 +125,13 @@ def exact_quantiles(
         for side, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
             here = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n_at"))
             picks.append(F.max(F.when(here, F.col(value))).alias(f"_{name}_{side}"))
-    grouped = ranks.groupBy(*keys).agg(F.max("n_total").alias("_n"), *picks)
     columns = []
+    if moments:
+        square = F.sum(F.col("n_at") * (F.col(value) - F.col("mean")) * (F.col(value) - F.col("mean")))
+        picks += [F.max("mean").alias("_mean"), square.alias("_square"), F.min(value).alias("_min"), F.max(value).alias("_max")]
+        sd = F.when(F.col("_n") > 1, F.sqrt(F.col("_square") / (F.col("_n") - 1)))
+        columns = [F.col("_n").alias("n"), F.col("_mean").alias("mean"), sd.alias("sd"), F.col("_min").alias("min"), F.col("_max").alias("max")]
+    grouped = ranks.groupBy(*keys).agg(F.max("n_total").alias("_n"), *picks)
     for name, p in probs.items():
         place = (F.col("_n") - 1) * F.lit(float(p))
         low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")

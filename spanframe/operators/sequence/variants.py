@@ -78,10 +78,8 @@ def variant_deltas(variants: DataFrame, sequences: DataFrame, flank: int = 50) -
         F.regexp_count(text, F.lit(G4)).alias("g4"), F.regexp_count(text, F.lit(runs_pattern(5))).alias("runs"),
         here.alias("cpg_here"), pair_count(text, "CG").alias("cpg_all"),
     )
-    bent = curvature(both.select(F.concat_ws("|", "variant_id", "allele").alias("seq_id"), "sequence")).select(
-        F.element_at(F.split("seq_id", "\\|"), 1).cast("long").alias("variant_id"),
-        F.element_at(F.split("seq_id", "\\|"), 2).alias("allele"), "mean_curvature", "max_curvature",
-    )
+    bent = curvature(both.select(F.struct("variant_id", "allele").alias("seq_id"), "sequence")).select(
+        "seq_id.variant_id", "seq_id.allele", "mean_curvature", "max_curvature")
     full = counted.join(bent, ["variant_id", "allele"]).join(_periodicity(both), ["variant_id", "allele"], "left")
     values = [c for c in full.columns if c not in ("variant_id", "allele")]
     pick = lambda c, a: F.max(F.when(F.col("allele") == a, F.col(c)))

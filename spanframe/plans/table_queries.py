@@ -535,14 +535,14 @@ def _(t):
 
 
 @query("f21_reference_lookup", oracle("""
-SELECT s.seq_id, count(*) AS n_cg, count(*) * -217.0 / 100 AS energy FROM (SELECT seq_id, unnest(regexp_extract_all(sequence, 'CG')) AS d FROM sequences) s GROUP BY 1""", "sequences"))
+SELECT s.seq_id, count(*) AS n_cg, round(count(*) * CAST(-2.17 AS DOUBLE), 6) AS energy FROM (SELECT seq_id, unnest(regexp_extract_all(sequence, 'CG')) AS d FROM sequences) s GROUP BY 1""", "sequences"))
 def _(t):
-    from spanframe.operators.sequence import steps
+    from spanframe.functions.seqexpr import pair_count
 
     table = reference.nn_parameters(t.spark).where("duplex = 'dna_dna' AND dinucleotide = 'CG'").select("dinucleotide", "delta_g_37")
-    hits = steps.steps(t.sequences.select("seq_id", "sequence")).where("core").join(F.broadcast(table), "dinucleotide")
-    out = hits.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n_cg"), F.max("delta_g_37").alias("_g"))
-    return out.select("seq_id", "n_cg", (F.col("n_cg") * F.lit(-217.0) / 100).alias("energy"))
+    counted = t.sequences.select("seq_id", F.lit("CG").alias("dinucleotide"), pair_count(F.col("sequence"), "CG").cast("long").alias("n_cg"))
+    out = counted.where("n_cg > 0").join(F.broadcast(table), "dinucleotide")  # the one row looked up
+    return out.select("seq_id", "n_cg", F.round(F.col("n_cg") * F.col("delta_g_37"), 6).alias("energy"))
 
 
 @query("f18_binned_probe_windows", oracle("""
