@@ -306,10 +306,57 @@ def shape_repeats(lines: DataFrame) -> DataFrame:
     return _places(out).where(F.col("sw_score").isNotNull())
 
 
+def read_fasta_chunks(spark: SparkSession, path: str, size: int = 1 << 16) -> DataFrame:
+    """FASTA text as (file, record, header, chunk, start_pos, sequence): pieces of ``size`` bases, so no row or task holds a whole record.
+
+    Header lines are those that begin with ``>``, whatever else they hold. Lines are numbered inside their file block; block totals
+    carry the record number, and totals per (record, block) carry the base offset.
+    """
+    lines = spark.read.text(path).select(
+        F.rtrim("value").alias("value"), F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"),
+    )
+    is_header = F.col("value").startswith(">")
+    text = F.when(is_header, "").otherwise(F.upper(F.translate("value", " \t\r", "")))
+    upto = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    local = lines.withColumns({"_head": is_header.cast("int"), "_text": text}).withColumn("_rec", F.sum("_head").over(upto))
+    before_block = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    heads = local.groupBy("file", "block").agg(F.sum("_head").alias("_n")).select(
+        "file", "block", F.coalesce(F.sum("_n").over(before_block), F.lit(0)).alias("_off"))
+    numbered = local.join(heads, ["file", "block"]).withColumn("record", F.col("_off") + F.col("_rec")).where("record > 0")
+    before_part = Window.partitionBy("file", "record").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = numbered.groupBy("file", "record", "block").agg(F.sum(F.length("_text")).alias("_n")).select(
+        "file", "record", "block", F.coalesce(F.sum("_n").over(before_part), F.lit(0)).alias("_carry"))
+    inside = Window.partitionBy("file", "record", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col("_carry") + F.sum(F.length("_text")).over(inside)
+    placed = numbered.join(carried, ["file", "record", "block"]).withColumn("_end", end).withColumn("_start", F.col("_end") - F.length("_text"))
+    names = numbered.where("_head = 1").select("file", "record", F.substring("value", 2, 1 << 20).alias("header"))
+    body = placed.where("_end > _start").withColumn(
+        "chunk", F.explode(F.sequence(F.floor(F.col("_start") / size), F.floor((F.col("_end") - 1) / size))))
+    low = F.greatest(F.col("_start"), F.col("chunk") * size)
+    high = F.least(F.col("_end"), (F.col("chunk") + 1) * size)
+    part = F.substring("_text", (low - F.col("_start") + 1).cast("int"), (high - low).cast("int"))
+    pieces = body.select("file", "record", "chunk", low.alias("_at"), part.alias("_part")).groupBy("file", "record", "chunk").agg(
+        F.array_sort(F.collect_list(F.struct("_at", "_part"))).alias("_parts"))  # at most ``size`` bases
+    return pieces.join(names, ["file", "record"]).select(
+        "file", "record", "header", "chunk", (F.col("chunk") * size).alias("start_pos"), F.array_join(F.col("_parts._part"), "").alias("sequence"))
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """FASTA records as (file, header, sequence); a record is one row, cut into chunks by the operators."""
-    records = spark.read.text(path, lineSep=">").withColumn("file", F.element_at(F.split("_metadata.file_path", "/"), -1))
-    return shape_fasta(records)
+    """FASTA records as (file, header, sequence), one row for each record: for short ones, such as alleles; chromosomes are read as chunks."""
+    chunks = read_fasta_chunks(spark, path)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "sequence"))), lambda c: c["sequence"]), "")
+    return chunks.groupBy("file", "record", "header").agg(joined.alias("sequence")).drop("record")
+
+
+def fasta_chunk_windows(chunks: DataFrame, size: int = 1000) -> DataFrame:
+    """Windows of records read as chunks of a multiple of ``size`` bases, without short ends and mostly unknown stretches."""
+    from spanframe.operators.sequence.steps import known_windows
+
+    named = chunks.select(F.struct(F.element_at(F.split("header", "[ \t]"), 1).alias("name"), F.col("start_pos").alias("_base")).alias("seq_id"), "sequence")
+    return known_windows(named, size).select(
+        F.col("seq_id.name").alias("seq_id"), (F.col("seq_id._base") + F.col("start_pos")).alias("start_pos"),
+        (F.col("seq_id._base") + F.col("end_pos")).alias("end_pos"), "window")
 
 
 def shape_fasta(records: DataFrame) -> DataFrame:

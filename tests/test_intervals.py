@@ -140,3 +140,24 @@ def test_join_plans_have_no_nested_loops(spark):
                nearest.nearest_distance(a.withColumn("pos", F.col("start_pos")).select(*KEYS, "pos"), b)):
         plan = df._jdf.queryExecution().toString()
         assert "NestedLoop" not in plan and "CartesianProduct" not in plan and "BatchEvalPython" not in plan
+
+
+def test_pages_meet_every_row_once(spark):
+    from spanframe.operators.topk import page_after
+
+    df = spark.createDataFrame([(i // 7, i) for i in range(100)], "pos int, id int")
+    seen, cursor = [], None
+    while page := page_after(df, cursor, 9).collect():
+        seen += [(r["pos"], r["id"]) for r in page]
+        cursor = seen[-1]
+    assert seen == [(i // 7, i) for i in range(100)]
+
+
+def test_region_query_is_complete_unless_paged(spark):
+    from spanframe.operators import region
+
+    layer = spark.createDataFrame([("b", 1, i, i + 5) for i in range(50)], "build string, chr_id int, start_pos int, end_pos int")
+    regions = spark.createDataFrame([(1, "b", 1, 0, 100)], "region_id int, build string, chr_id int, start_pos int, end_pos int")
+    assert region.region_query(layer, regions).count() == 50
+    page = region.region_query(layer, regions, 10).collect()
+    assert len(page) == 10 and {r["status"] for r in page} == {"truncated"}

@@ -127,3 +127,26 @@ def test_bed_file_reader(spark, tmp_path):
     rows = readers.read(spark, str(tmp_path), "narrow_peak").collect()
     assert [(r["chr_id"], r["start_pos"], r["signal_value"], r["p_value"], r["peak_offset"], r["file"]) for r in rows] == [
         (1, 5, 1.5, None, None, "H3K4me3.bed")]
+
+
+def test_fasta_chunks_over_many_file_blocks(spark, tmp_path):
+    rng = random.Random(5)
+    records = {f"r{i} >odd|{i}": "".join(rng.choice("ACGTn") for _ in range(rng.choice([0, 1, 37, 400, 2500]))) for i in range(9)}
+    folder = tmp_path / "fa"
+    folder.mkdir()
+    (folder / "x.fa").write_text("".join(f">{h}\n" + "".join(f"{s[k:k + 50]}\n" for k in range(0, len(s), 50)) for h, s in records.items()))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        chunks = readers.read_fasta_chunks(spark, str(folder), 128)
+        assert chunks.agg(F.max(F.length("sequence"))).first()[0] <= 128
+        got = {}
+        for r in sorted(chunks.collect(), key=lambda r: r["chunk"]):
+            assert len(got.get(r["header"], "")) == r["start_pos"]
+            got[r["header"]] = got.get(r["header"], "") + r["sequence"]
+        assert got == {h: s.upper() for h, s in records.items() if s}
+        assert {r["header"]: r["sequence"] for r in readers.read_fasta(spark, str(folder)).collect()} == got
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

@@ -133,3 +133,18 @@ def test_cosine_slots_equal_broadcast(spark):
             effects.cosine_similar(df, ask, "id", 3, broadcast_rows=n, slots=4).collect()) for n in (100, 2))
     assert a == b and len(a) == 15
     assert all(math.isfinite(x[2]) for x in a)
+
+
+def test_rank_buckets_follow_the_values_not_their_range(spark):
+    from pyspark.sql import functions as F
+
+    from spanframe.operators import scan
+
+    values = [i / 1e6 for i in range(4000)] + [10.0 * i for i in range(1, 5)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    ranks = scan.value_ranks(df, [], "v", buckets=16)
+    assert {r["v"]: r["n_before"] for r in ranks.collect()} == {v: i for i, v in enumerate(sorted(values))}
+    cuts = df.agg(F.percentile_approx("v", [i / 16 for i in range(1, 16)], F.lit(320))).first()[0]
+    sizes = [sum(sum(c < v for c in cuts) == b for v in values) for b in range(16)]
+    assert max(sizes) <= 2 * len(values) / 16
+    assert scan.avg_rank(df, "v", "r").where("v is null and r is null").count() == 1
