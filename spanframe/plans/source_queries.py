@@ -300,3 +300,55 @@ def _(t):
         run = incremental.incremental_load(t.spark, source, "build string, chr_id int, start_pos bigint, end_pos bigint", f"{base}/layer", f"{base}/log")
         run.awaitTermination()
     return incremental.current_bins(t.spark, f"{base}/layer_bins").drop("build")
+
+
+# ---- text folders in the shared folder, written and read back -----------------------------
+
+
+def folder(t, name, raw):
+    """A folder of text files with these lines."""
+    path = scratch_dir(t.spark, name)
+    raw.select("value").write.text(path)
+    return path
+
+
+@query("s2_peak_files", oracle("""
+SELECT chr_id, start_pos, end_pos, score AS signal_value, 3.5::DOUBLE AS p_value, CASE WHEN feature_id % 3 > 0 THEN CAST(feature_id % 3 AS INT) - 1 END AS peak_offset
+FROM intervals_b""", "intervals_b"))
+def _(t):
+    raw = lines(t, t.intervals_b, [CHR, "start_pos", "end_pos", "'p'", "'0'", "'.'", "score", "'3.5'", "'.'", "CAST(feature_id % 3 - 1 AS INT)"])
+    found = readers.read(t.spark, folder(t, "peaks", raw), "narrow_peak")
+    return found.select("chr_id", "start_pos", "end_pos", "signal_value", "p_value", "peak_offset")
+
+
+@query("s5_domain_files", oracle("SELECT chr_id, start_pos, end_pos, nullif(score, 0.0) AS score FROM domains", "domains"))
+def _(t):
+    raw = lines(t, t.domains, [CHR, "start_pos", "end_pos", "score"])
+    return readers.read(t.spark, folder(t, "domains", raw), "domains_bed").select("chr_id", "start_pos", "end_pos", "score")
+
+
+@query("s6_gtf_files", oracle("""
+SELECT chr_id, start_pos, end_pos, strand, symbol AS gene_symbol, gene_id, 'gene' AS feature_type FROM genes""", "genes"))
+def _(t):
+    raw = lines(t, t.genes, [CHR, "'HAVANA'", "'gene'", "start_pos + 1", "end_pos", "'.'", "strand", "'.'", "concat('gene_id \"', gene_id, '\"; gene_name \"', symbol, '\";')"])
+    found = readers.read(t.spark, folder(t, "models", raw), "gtf")
+    return found.select("chr_id", "start_pos", "end_pos", "strand", "gene_symbol", "gene_id", "feature_type")
+
+
+@query("s18_fasta_files", oracle("""
+SELECT 'seq' || seq_id || ' >test' AS header, CAST(w * 512 AS BIGINT) AS start_pos, md5(substring(sequence, CAST(w * 512 + 1 AS BIGINT), 512)) AS digest FROM (SELECT seq_id, sequence,
+  unnest(range(0, CAST(ceil(length(sequence) / 512.0) AS BIGINT))) AS w FROM sequences)""", "sequences"))
+def _(t):
+    wrapped = F.regexp_replace("sequence", "(.{60})", "$1\n")
+    path = folder(t, "fasta", t.sequences.select(F.concat(F.lit(">seq"), "seq_id", F.lit(" >test\n"), wrapped).alias("value")))
+    chunks = readers.read_fasta_chunks(t.spark, path, 512)
+    return chunks.select("header", F.col("start_pos").cast("long").alias("start_pos"), F.md5("sequence").alias("digest"))
+
+
+@query("s27_duplication_files", oracle("""
+SELECT chr_id, start_pos, end_pos, chr_id AS other_chr_id, start_pos + 5000 AS other_start, end_pos + 5000 AS other_end, 0.5::DOUBLE AS frac_match FROM intervals_b""", "intervals_b"))
+def _(t):
+    fill = ["'x'"] * 16
+    raw = lines(t, t.intervals_b, ["'585'", CHR, "start_pos", "end_pos", "'n'", "'0'", "'+'", CHR, "start_pos + 5000", "end_pos + 5000", *fill, "'0.5'", "'x'", "'0.1'"])
+    found = readers.read(t.spark, folder(t, "pairs", raw), "pair_events")
+    return found.select("chr_id", "start_pos", "end_pos", "other_chr_id", "other_start", "other_end", "frac_match")
