@@ -12,6 +12,7 @@ from spanframe.functions.coords import round_to as r
 from spanframe.operators.sequence import constructs, flags, motifs, steps, thermo, variants
 from spanframe.plans.adapters import oracle
 from spanframe.plans.registry import query
+from spanframe.session import scratch_dir
 
 # Shared oracle CTEs: one row per base, per step, and the step property table.
 BASES = """SELECT seq_id, unnest(generate_series(0, length(sequence) - 1)) AS i, unnest(string_split(sequence, '')) AS b
@@ -282,7 +283,14 @@ FLAG_CTES = {"running": RUNNING, "good": GOOD, "isl": islands_sql(0), "gcw": GCW
              "runs": hits_sql(motifs.runs_pattern(8)), "tandem": hits_sql(motifs.tandem_pattern(20)), "kmers": KMERS, "rep": REPEATS}
 
 
-@query("q15_evaluate", seq_oracle(f"""
+def once(t, df):
+    """A result that is read twice, written to the shared folder."""
+    path = scratch_dir(t.spark, "once")
+    df.write.parquet(path)
+    return t.spark.read.schema(df.schema).parquet(path)
+
+
+EVAL_SQL = f"""
 SELECT q.seq_id, CASE WHEN length(q.sequence) < 10 THEN 'too_short' END AS reject,
   CASE WHEN ok THEN CAST(length(q.sequence) AS INT) END AS length_bp, CASE WHEN ok THEN round({GC_SQL.replace('sequence', 'q.sequence')} / greatest(1, length(q.sequence)), 4) END AS gc_content,
   CASE WHEN ok THEN round(tm, 1) END AS melting_temp, CASE WHEN ok THEN coalesce(f.n_flags, 0) END AS n_flags,
@@ -290,7 +298,10 @@ SELECT q.seq_id, CASE WHEN length(q.sequence) < 10 THEN 'too_short' END AS rejec
   CASE WHEN ok THEN coalesce(f.isl, 0) END AS cpg_island_count
 FROM (SELECT *, length(sequence) >= 10 AS ok FROM sequences) q JOIN melt USING (seq_id) LEFT JOIN (
   SELECT seq_id, count(*) AS n_flags, count(*) FILTER (type = 'warning') AS n_warning, count(*) FILTER (type = 'info') AS n_info,
-  count(*) FILTER (code = 'CPG_ISLAND') AS isl FROM fl GROUP BY 1) f USING (seq_id)""", **FLAG_CTES, melt=melt_sql(1.0, 250), fl=FLAG_SQL))
+  count(*) FILTER (code = 'CPG_ISLAND') AS isl FROM fl GROUP BY 1) f USING (seq_id)"""
+
+
+@query("q15_evaluate", seq_oracle(EVAL_SQL, **FLAG_CTES, melt=melt_sql(1.0, 250), fl=FLAG_SQL))
 def _(t):
     return flags.evaluate(t.sequences).select(
         "seq_id", "reject", "length_bp", "gc_content", "melting_temp", "n_flags", "n_warning", "n_info", "cpg_island_count"
@@ -307,18 +318,18 @@ def _(t):
     return flags.flags(t.sequences)
 
 
-@query("q17_compare", seq_oracle(f"""
-SELECT a.seq_id, b.seq_id AS base_id, CAST(a.len - b.len AS DOUBLE) AS delta_length, round(a.gc - b.gc, 4) + 0.0 AS delta_gc,
-       round(a.tm - b.tm, 4) + 0.0 AS delta_melting_temp, round(a.dg - b.dg, 4) + 0.0 AS delta_mean_dg37
-FROM ev a JOIN ev b ON b.seq_id = a.seq_id // 10 * 10 AND a.seq_id <> b.seq_id""", melt=melt_sql(1.0, 250), ev=f"""
-  SELECT seq_id, length(sequence) AS len, round({GC_SQL} / greatest(1, length(sequence)), 4) AS gc, round(tm, 1) AS tm, round(round(g, 2) / n, 3) AS dg
-  FROM sequences JOIN melt USING (seq_id) JOIN (SELECT seq_id, {total('delta_g_37')} AS g FROM {LIST} GROUP BY 1) USING (seq_id)"""))
+@query("q17_compare", seq_oracle("""
+SELECT a.seq_id, b.seq_id AS base_id, CAST(a.length_bp - b.length_bp AS DOUBLE) AS delta_length, round(a.gc_content - b.gc_content, 4) + 0.0 AS delta_gc,
+       CAST(a.cpg_island_count - b.cpg_island_count AS DOUBLE) AS delta_cpg_islands, round(a.melting_temp - b.melting_temp, 4) + 0.0 AS delta_melting_temp,
+       CAST(a.n_warning - b.n_warning AS DOUBLE) AS delta_warnings, round(a.dg - b.dg, 4) + 0.0 AS delta_mean_dg37
+FROM ev a JOIN ev b ON b.seq_id = a.seq_id // 10 * 10 AND a.seq_id <> b.seq_id""", **FLAG_CTES, melt=melt_sql(1.0, 250), fl=FLAG_SQL, ev15=EVAL_SQL, ev=f"""
+  SELECT e.*, CASE WHEN e.reject IS NULL THEN round(round(g, 2) / n, 3) END AS dg
+  FROM ev15 e JOIN melt USING (seq_id) JOIN (SELECT seq_id, {total('delta_g_37')} AS g FROM {LIST} GROUP BY 1) USING (seq_id)"""))
 def _(t):
-    ev = flags.summarise(t.sequences).withColumns({"cpg_island_count": F.lit(0), "n_warning": F.lit(0)})
     base = t.sequences.select("seq_id", (F.floor(F.col("seq_id") / 10) * 10).alias("base_id"))
-    out = flags.compare(ev, base)
-    return out.select("seq_id", "base_id", F.col("delta_length").cast("double").alias("delta_length"), "delta_gc",
-                      "delta_melting_temp", "delta_mean_dg37")
+    out = flags.compare(once(t, flags.evaluate(t.sequences)), base)
+    deltas = ("delta_length", "delta_gc", "delta_cpg_islands", "delta_melting_temp", "delta_warnings", "delta_mean_dg37")
+    return out.select("seq_id", "base_id", *[F.col(d).cast("double").alias(d) for d in deltas])
 
 
 def parts(t):
@@ -349,7 +360,7 @@ K13 = "SELECT construct_id, part_no, mer AS kmer, min(i) + 1 AS position FROM m1
 SITES = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in K.RESTRICTION_SITES.items()) + ") AS v(enzyme, site)"
 
 
-@query("q18_construct_flags", seq_oracle("""
+CONSTRUCT_FLAGS = """
 SELECT construct_id, 'INTERNAL_RESTRICTION_SITE' AS code, part_no, enzyme AS detail, i + 1 AS position
   FROM m8 JOIN rs ON left(m8.mer, length(rs.site)) = rs.site
 UNION ALL SELECT construct_id, 'JUNCTION_HOMOPOLYMER', left_part, hit[1] || 'x' || length(hit), start + 1 FROM jr
@@ -357,20 +368,40 @@ UNION ALL SELECT a.construct_id, 'CROSS_PART_REPEAT', a.part_no, a.kmer || '@' |
   FROM k13 a JOIN k13 b ON a.construct_id = b.construct_id AND a.kmer = b.kmer AND a.part_no < b.part_no
 UNION ALL SELECT p.construct_id, 'EXTREME_GC_WINDOW', p.part_no, CASE WHEN g.gc < 0.25 THEN 'low' ELSE 'high' END, o.off + g.s
   FROM gcw g JOIN parts p USING (seq_id) JOIN (SELECT seq_id, coalesce(sum(length(sequence)) OVER (PARTITION BY construct_id ORDER BY part_no
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM parts) o USING (seq_id) WHERE g.gc < 0.25 OR g.gc > 0.75""",
-    parts=PARTS, joints=JOINTS, m8=mer_sql(8), m13=mer_sql(13), k13=K13, rs=SITES, gcw=GCW,
-    jr=hits_sql(motifs.runs_pattern(7)).replace("SELECT seq_id", "SELECT construct_id, left_part").replace("FROM sequences", "FROM joints")))
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM parts) o USING (seq_id) WHERE g.gc < 0.25 OR g.gc > 0.75"""
+CONSTRUCT_CTES = {
+    "parts": PARTS, "joints": JOINTS, "m8": mer_sql(8), "m13": mer_sql(13), "k13": K13, "rs": SITES, "gcw": GCW,
+    "jr": hits_sql(motifs.runs_pattern(7)).replace("SELECT seq_id", "SELECT construct_id, left_part").replace("FROM sequences", "FROM joints"),
+}
+
+
+@query("q18_construct_flags", seq_oracle(CONSTRUCT_FLAGS, **CONSTRUCT_CTES))
 def _(t):
     return constructs.construct_flags(parts(t))
 
 
-@query("q18_construct_report", seq_oracle(f"""
-SELECT construct_id, CAST(sum(length(sequence)) AS BIGINT) AS total_length_bp, count(*) AS n_parts,
-       round(sum({GC_SQL}) / sum(length(sequence)), 6) AS gc_content,
-       count(*) - 1 + CASE WHEN bool_or(circular) AND count(*) > 1 THEN 1 ELSE 0 END AS n_junctions FROM parts GROUP BY 1""", parts=PARTS))
+CONSTRUCT_REPORT = f"""
+SELECT construct_id, total_length_bp, n_parts, round(gc, 6) AS gc_content, n_junctions, coalesce(n, 0) AS n_assembly_flags FROM (
+  SELECT construct_id, CAST(sum(length(sequence)) AS BIGINT) AS total_length_bp, count(*) AS n_parts, sum({GC_SQL}) / sum(length(sequence)) AS gc,
+       count(*) - 1 + CASE WHEN bool_or(circular) AND count(*) > 1 THEN 1 ELSE 0 END AS n_junctions FROM parts GROUP BY 1)
+LEFT JOIN (SELECT construct_id, count(*) AS n FROM cf GROUP BY 1) USING (construct_id)"""
+
+
+@query("q18_construct_report", seq_oracle(CONSTRUCT_REPORT, **CONSTRUCT_CTES, cf=CONSTRUCT_FLAGS))
 def _(t):
     out = constructs.construct_report(parts(t))
-    return out.select("construct_id", "total_length_bp", "n_parts", F.round("gc_content", 6).alias("gc_content"), "n_junctions")
+    return out.select("construct_id", "total_length_bp", "n_parts", F.round("gc_content", 6).alias("gc_content"), "n_junctions", "n_assembly_flags")
+
+
+@query("q18_compare_constructs", seq_oracle("""
+SELECT a.construct_id, b.construct_id AS base_id, a.total_length_bp - b.total_length_bp AS delta_total_length_bp, round(a.gc_content - b.gc_content, 4) + 0.0 AS delta_gc_content,
+  a.n_assembly_flags - b.n_assembly_flags AS delta_n_assembly_flags FROM rep a JOIN rep b ON b.construct_id = a.construct_id // 5 * 5 AND a.construct_id <> b.construct_id""",
+    **CONSTRUCT_CTES, cf=CONSTRUCT_FLAGS, rep=CONSTRUCT_REPORT))
+def _(t):
+    report = once(t, constructs.construct_report(parts(t)).withColumn("gc_content", F.round("gc_content", 6)))
+    base = report.select("construct_id", (F.floor(F.col("construct_id") / 5) * 5).alias("base_id"))
+    out = constructs.compare_constructs(report, base)
+    return out.withColumn("delta_gc_content", F.round("delta_gc_content", 4) + F.lit(0.0))
 
 
 TWO = """SELECT variant_id, least(pos, 50) AS p, substring(s, pos + 1 - least(pos, 50), least(pos, 50)) || ref || substring(s, pos + 2, 50) AS rs,
