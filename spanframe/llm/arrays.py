@@ -15,6 +15,8 @@ _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 1 << 64)
+#: Powers kept between blocks.
+KEPT_POWERS = 1 << 20
 #: Bucket tables by place in a byte n-gram; n-grams of different n start with different rows.
 _GRAM = _RNG.integers(0, 1 << 16, (8, 8, 256), dtype=np.uint16)
 SPACE = np.zeros(256, bool)
@@ -25,14 +27,17 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
-@lru_cache(8)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     one = np.ones(1, np.uint64)
     return tuple(np.multiply.accumulate(np.concatenate([one, np.full(n - 1, b, np.uint64)])) for b in (_BASE, _UNBASE))
 
 
+_kept_powers = lru_cache(1)(_powers)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(16, (n - 1).bit_length()))
+    """Powers of the hash base and of its inverse, n at least; one table for usual blocks is kept, larger ones are not."""
+    return _kept_powers(KEPT_POWERS) if n <= KEPT_POWERS else _powers(n)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

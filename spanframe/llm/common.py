@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy kernels take at once; a longer text is one block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def bound_batches(spark: SparkSession) -> SparkSession:
@@ -83,6 +84,13 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, folds: int, he
     return documents.select("doc_id", "text", *extra).where("text is not null").join(F.broadcast(ids), "doc_id")
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system; a worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``limit`` bytes of text each, in order; column ``text`` becomes binary without nulls."""
     for batch in batches:
@@ -100,3 +108,5 @@ def text_blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) ->
             size += int(n)
         if start < len(lengths):
             yield whole.slice(start)
+        del batch, text, columns, whole
+    release_memory()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from spanframe.llm import arrays as A
 
 #: Words kept in a worker's memory, and bits of their hash table.
-MOST_WORDS, TABLE_BITS = 1_200_000, 21
+MOST_WORDS, TABLE_BITS = 700_000, 21
 #: ASCII marks that stand apart from a letter before them; not the apostrophe, which some patterns keep with letters.
 _MARK = np.zeros(256, bool)
 _MARK[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
