@@ -101,6 +101,11 @@ def clock_summary(clocks: DataFrame, places: DataFrame, windows: DataFrame, colu
     return joined.groupBy("clock").agg(F.count(F.lit(1)).alias("n_probes"), *aggs)
 
 
+def clock_contexts(clocks: DataFrame, context: str = "cpg_context") -> DataFrame:
+    """Probes of each clock by site context, a missing context as ``unknown``."""
+    return clocks.groupBy("clock", F.coalesce(context, F.lit("unknown")).alias("context")).agg(F.count(F.lit(1)).alias("n_probes"))
+
+
 def clock_compare(a: DataFrame, b: DataFrame, values: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Two clocks: shared and unique probes, Jaccard, and mean differences (b minus a) of window columns."""
     left = a.select("probe_id").distinct().withColumn("_a", F.lit(1))

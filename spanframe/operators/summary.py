@@ -23,6 +23,14 @@ def layer_summary(layers: DataFrame, dimensions: Sequence[str] = ("genome_build"
     )
 
 
+def platform_summary(layers: DataFrame) -> DataFrame:
+    """One row over the active default layers: layers, layer types, builds and rows."""
+    return layers.where(F.col("is_active") & F.col("is_default")).agg(
+        F.count(F.lit(1)).alias("total_layers"), F.count_distinct("layer_type").alias("distinct_layer_types"),
+        F.count_distinct("genome_build").alias("supported_builds"), F.sum("row_count").alias("total_rows"),
+    )
+
+
 def family_summary(repeats: DataFrame) -> DataFrame:
     """Per class and family: copies, base pairs, mean divergence (2 places), median length."""
     key = ["repeat_class", "repeat_family"]
@@ -84,6 +92,14 @@ def allele_list(alleles: DataFrame, filters: dict, limit: int, offset: int = 0)
     return out.orderBy("allele_name").offset(offset).limit(limit)
 
 
+def pair_delta(pairs: DataFrame, table: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame:
+    """Other minus reference for each pair (ref_id, other_id) and metric, 6 places; null where either side is."""
+    ref = table.select(F.col(key).alias("ref_id"), *[F.col(m).alias(f"_r_{m}") for m in metrics])
+    other = table.select(F.col(key).alias("other_id"), *[F.col(m).alias(f"_o_{m}") for m in metrics])
+    both = pairs.join(ref, "ref_id").join(other, "other_id")
+    return both.select(*pairs.columns, *[(F.round(F.col(f"_o_{m}") - F.col(f"_r_{m}"), 6) + F.lit(0.0)).alias(f"delta_{m}") for m in metrics])
+
+
 def match_score(pairs: DataFrame, alleles: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Donor-recipient match per case and locus.
 

@@ -112,6 +112,14 @@ def _(t):
     return out.withColumns({c: F.round(c, 4) for c in ("mean_curvature", "sd_curvature", "wmean_curvature")})
 
 
+@query("a25_clock_contexts", oracle("""
+SELECT platform AS clock, CASE row_id % 4 WHEN 0 THEN 'island' WHEN 1 THEN 'shore' WHEN 2 THEN 'open_sea' ELSE 'unknown' END AS context, count(*) AS n_probes
+FROM probes GROUP BY 1, 2""", "probes"))
+def _(t):
+    context = F.expr("CASE row_id % 4 WHEN 0 THEN 'island' WHEN 1 THEN 'shore' WHEN 2 THEN 'open_sea' END")
+    return pb.clock_contexts(t.probes.select(F.col("platform").alias("clock"), context.alias("cpg_context")))
+
+
 @query("a26_clock_compare", oracle("""
 SELECT count(*) FILTER (a AND b) AS shared, count(*) FILTER (a AND NOT b) AS unique_a, count(*) FILTER (b AND NOT a) AS unique_b,
   round(count(*) FILTER (a AND b) / CAST(count(*) AS DOUBLE), 6) AS jaccard, round(avg(rate) FILTER (b) - avg(rate) FILTER (a), 6) + 0.0 AS delta_rate
@@ -390,6 +398,14 @@ def _(t):
     return out.select("case_id", F.round("divergence", 6).alias("divergence"), "protein_match")
 
 
+@query("a24_pair_delta", oracle("""
+SELECT r.allele_id AS ref_id, o.allele_id AS other_id, round(o.m_price - r.m_price, 6) + 0.0 AS delta_m_price, round(o.m_size - r.m_size, 6) + 0.0 AS delta_m_size
+FROM alleles o JOIN alleles r ON r.allele_id = greatest(1, o.allele_id // 8 * 8)""", "alleles"))
+def _(t):
+    pairs = t.alleles.select(F.expr("CAST(greatest(1, floor(allele_id / 8) * 8) AS BIGINT)").alias("ref_id"), F.col("allele_id").alias("other_id"))
+    return summary.pair_delta(pairs, t.alleles, "allele_id", ["m_price", "m_size"])
+
+
 @query("a40_allele_feature_summary", oracle("""
 SELECT allele_id, count(*) AS n_features, count(*) FILTER (nc) AS n_noncoding, round(avg(v), 6) AS whole_v, round(avg(v) FILTER (nc), 6) AS nc_v FROM (
   SELECT l_partkey AS allele_id, l_returnflag <> 'A' AS nc, l_quantity AS v FROM lineitem) GROUP BY 1"""))
@@ -481,6 +497,13 @@ def _(t):
     return summary.layer_summary(layers(t))
 
 
+@query("a5_platform_summary", oracle("""
+SELECT count(*) AS total_layers, count(DISTINCT layer_type) AS distinct_layer_types, count(DISTINCT genome_build) AS supported_builds, CAST(sum(row_count) AS BIGINT) AS total_rows
+FROM ly WHERE is_active AND is_default""", extra={"ly": LAYERS}))
+def _(t):
+    return summary.platform_summary(layers(t))
+
+
 @query("k4_register_layer", oracle("""
 SELECT layer_key, version, genome_build, row_count, row_number() OVER (PARTITION BY layer_key, genome_build ORDER BY version DESC) = 1 AS is_default FROM (
   SELECT layer_key, version, genome_build, row_count FROM ly WHERE NOT (version = 2 AND evidence_class = 'measured')
