@@ -124,14 +124,22 @@ def test_row_guards(spark):
         quality.assert_updated(df, spark.range(10, 12), ["id"])
 
 
-def test_cosine_slots_equal_broadcast(spark):
+def test_cosine_does_not_depend_on_slots(spark):
     rng = random.Random(1)
     rows = [(i, [rng.random() for _ in range(4)], [False, False, rng.random() < 0.3, False]) for i in range(30)]
     df = spark.createDataFrame(rows, "id int, vector array<double>, mask array<boolean>")
     ask = df.where("id < 5").select("id")
     a, b = (sorted((r["query_id"], r["id"], round(r["similarity"], 9)) for r in
-            effects.cosine_similar(df, ask, "id", 3, broadcast_rows=n, slots=4).collect()) for n in (100, 2))
+            effects.cosine_similar(df, ask, "id", 3, slots=n).collect()) for n in (1, 4))
     assert a == b and len(a) == 15
+    for q in range(5):
+        scores = []
+        for i, v, m in rows:
+            both = [(x, y) for x, y, p, o in zip(v, rows[q][1], m, rows[q][2]) if not p and not o]
+            norm = math.sqrt(sum(x * x for x, _ in both)) * math.sqrt(sum(y * y for _, y in both))
+            scores.append((-sum(x * y for x, y in both) / norm, i))
+        best = sorted(s for s in scores if s[1] != q)[:3]
+        assert [x[1] for x in sorted((x for x in a if x[0] == q), key=lambda x: (-x[2], x[1]))] == [i for _, i in best]
     assert all(math.isfinite(x[2]) for x in a)
 
 
