@@ -3,7 +3,7 @@
 A document's set holds its distinct word n-grams, as 64-bit hashes; equal sets are one node, named by a 128-bit hash. Two sets link if
 ``100 * intersection >= PERCENT * union``. Light (small) sets enumerate their subsets of every size that a link can need: sets with a common
 subset large enough for their sizes are linked, no check needed. Heavy sets are found through inverted lists of their rarest elements (a
-link shares one of them) and verified on the whole sets. The boundary between light and heavy is where the estimated cost,
+link shares two of them) and verified on the whole sets. The boundary between light and heavy is where the estimated cost,
 over the measured distribution of sizes, is least.
 
 Lists are never turned into all their pairs. First every member meets the list's most central member (fewest rarer elements before the common
@@ -35,6 +35,8 @@ from spanframe.llm.tables import SLICE, fold_table, table_rows
 
 #: Bits of the table of bucket counts, and the count from which elements are ordered by hash alone.
 TABLE_BITS, MOST_COUNT = 22, (1 << 16) - 1
+#: Common rare elements that a candidate pair must have: prefixes are as much longer that every link has them.
+COMMON = 2
 #: Most bits of the filter that keeps whole sets of documents without candidates from being shuffled.
 FILTER_BITS = 26
 _ORDER = np.uint64(64 - TABLE_BITS)
@@ -154,7 +156,7 @@ def keys(documents: DataFrame, n: int, percent: int, counts: np.ndarray, light:
             if out:
                 d, place, key, more = (np.array(x, np.int64) for x in zip(*out))
                 yield _rows(1, None, size[d], name[d], key, place, more)
-            want = np.where(size >= max(least_light, 1), size - -(-percent * size // 100) + 1, 0)
+            want = np.where(size >= max(least_light, 1), size - -(-percent * size // 100) + COMMON, 0)
             of = np.repeat(np.arange(len(size)), size)
             order = np.lexsort((h, levels.value[(h >> _ORDER).astype(np.int64)], of))
             at = np.arange(len(h)) - places[of]
@@ -190,8 +192,15 @@ def light_links(table: DataFrame, percent: int) -> DataFrame:
 
 
 def feasible(i: Column, n: Column, j: Column, m: Column, percent: int) -> Column:
-    """Whether sets of sizes n and m can link whose first common element is the i-th and j-th of theirs."""
-    return linked(F.least(n - i, m - j), n, m, percent)
+    """Whether sets of sizes n and m can link one of whose first COMMON common elements is the i-th and j-th of theirs."""
+    return linked(F.least(n - i, m - j) + (COMMON - 1), n, m, percent)
+
+
+def candidates(met: DataFrame, a: str, b: str, n: str, m: str, percent: int) -> DataFrame:
+    """Pairs that met at COMMON elements (fewer only where a link needs fewer)."""
+    least = F.least(F.lit(COMMON), F.ceil(F.least(F.col(n), F.col(m)) * percent / 100))
+    pairs = met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), least.cast("int").alias("_least"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("_n"), F.min("_least").alias("_least")).where("_n >= _least").select("a", "b")
 
 
 def lists(table: DataFrame) -> DataFrame:
@@ -204,9 +213,8 @@ def lists(table: DataFrame) -> DataFrame:
 def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
     lead = entries.groupBy("key").agg(F.min(F.struct("place", "size", "name")).alias("lead"))
     met = entries.join(lead, "key").where(F.col("name") != F.col("lead.name"))
-    return met.where(feasible(F.col("place"), F.col("size"), F.col("lead.place"), F.col("lead.size"), percent)).select(
-        F.least("name", "lead.name").alias("a"), F.greatest("name", "lead.name").alias("b")
-    ).distinct()
+    met = met.where(feasible(F.col("place"), F.col("size"), F.col("lead.place"), F.col("lead.size"), percent))
+    return candidates(met, "name", "lead.name", "size", "lead.size", percent)
 
 
 def rest_pairs(entries: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
@@ -217,7 +225,7 @@ def rest_pairs(entries: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     own = stored(own.join(mixed, "key", "left_semi"), "entries")
     other = own.select("key", *(F.col(c).alias(f"{c}2") for c in ("place", "size", "name", "root")))
     met = own.join(other, (own.key == other.key) & (F.col("root") < F.col("root2")) & feasible(F.col("place"), F.col("size"), F.col("place2"), F.col("size2"), percent))
-    return met.select(F.least("name", "name2").alias("a"), F.greatest("name", "name2").alias("b")).distinct()
+    return candidates(met, "name", "name2", "size", "size2", percent)
 
 
 def plausible(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
