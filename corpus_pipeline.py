@@ -22,7 +22,8 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     bound_batches(spark)
     groups = jaccard.jaccard_components(docs, 3, 90)
     keep = stored(groups.where("doc_id = component_id").select("doc_id").distinct(), "distinct")
-    named = docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    # By sorted partitions at every size: the ids grow with the documents, so they are not broadcast where they happen to be few.
+    named = docs.join(keep.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     return named.unionByName(docs.where("doc_id is null"))
 
 
