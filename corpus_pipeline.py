@@ -20,7 +20,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near copies. Rows with a null id stay; rows that repeat an id share its fate."""
     bound_batches(spark)
-    groups = jaccard.jaccard_components(docs, 3, 90)
+    groups = jaccard.jaccard_components(docs, 5, 80)
     keep = stored(groups.where("doc_id = component_id").select("doc_id").distinct(), "distinct")
     # By sorted partitions at every size: the ids grow with the documents, so they are not broadcast where they happen to be few.
     named = docs.join(keep.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
