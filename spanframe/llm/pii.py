@@ -50,7 +50,9 @@ SYLLABLES = {
 
 _GENDER = {n: (s, g) for (s, g), ns in FIRST.items() for n in ns}
 _TITLE = {t: g for g, ts in TITLES.items() for t in ts}
-_TRIGGERS = frozenset(_GENDER) | frozenset(_TITLE)
+#: A name needs one of these as a whole word; titles without their full stop.
+_TRIGGERS = frozenset(_GENDER) | frozenset(t.rstrip(".") for t in _TITLE)
+_CAPITALISED = re.compile(r"[A-ZÀ-ÖØ-ÞΆ-ΫА-ЯЁ]\w*")
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞΆ-ΫА-ЯЁ][\w'’-]+"
 _NAME = re.compile(
     rf"(?<!\w)(?:(?P<title>{'|'.join(sorted(map(re.escape, _TITLE), key=len, reverse=True))})\s+(?P<named>{_CAPITAL}(?:[ ]{_CAPITAL})?)"
@@ -107,7 +109,7 @@ def entities(text: str) -> list[tuple[int, int, str]]:
             for m in pattern.finditer(text):
                 if _fits(kind, m.group()):
                     add(m.start(), m.end(), kind)
-    if not _TRIGGERS.isdisjoint(text.split()):
+    if not _TRIGGERS.isdisjoint(_CAPITALISED.findall(text)):
         for m in _NAME.finditer(text):
             gender = _TITLE[m["title"]] if m["title"] else _GENDER[m["first"]][1]
             start = m.start("named") if m["title"] else m.start("first")
