@@ -60,10 +60,18 @@ _NAME = re.compile(
 )
 _EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]++@(?:[\w-]+\.)+\w{2,}")
 _ASSIGNED = re.compile(r"(?i)(?<!\w)(?:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\s*[=:]\s*[\"']?([^\s\"',;]{6,})")
+# A plus and 8 to 15 digits, each after a separator or none; a code in brackets near the front; groups of two to four digits, also fewer in all; national forms.
+_PHONE = re.compile(
+    r"(?<![\w+])\+(?:\d(?:[ .\xa0/–-]?\d){7,14}(?!\w)|(?:\d{1,3}[ .\xa0/-]?\(\d{1,4}\)|\(\d{1,3}\))(?:[ .\xa0/–-]{0,2}\d){4,11}(?!\w)"
+    r"|\d{1,3}[ .-]?\(?\d{1,4}\)?[ .-]?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?![\w-]))"
+    r"|(?<!\w)\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?![\w-])|(?<![\w.-])(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])"
+)
+#: The country code at the front of an international number.
+_COUNTRY = re.compile(r"\+\(?(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3})")
 _PATTERNS = (
     ("secret", re.compile(r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
-    ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?[ .-]?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?![\w-])|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?![\w-])|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])")),
+    ("phone", _PHONE),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("ip", re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)")),
     ("card", re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])")),
@@ -178,7 +186,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         host, _, top = domain.rpartition(".")
         return f"{_shaped(key, local, tweak + host)}@{_shaped(key, host, 'domain')}.{top}"
     if kind == "phone":
-        keep = re.match(r"\+\d{1,3}(?=[ .(-])", value)
+        keep = _COUNTRY.match(value)
         at = keep.end() if keep else 0
         return value[:at] + _digits_in(value[at:], permuted(key, re.sub(r"\D", "", value[at:]), tweak))
     if kind == "ssn":

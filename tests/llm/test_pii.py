@@ -15,3 +15,30 @@ def test_names_next_to_marks(text):
 
 def test_no_names_without_triggers():
     assert pii.entities("(Some Smith) and Mary, or Maryland Smith") == []
+
+
+PHONES = (
+    "+14155552671", "+33612345678", "+44 7911 123456", "+49 151 12345678", "415 555 2671", "(415) 555 2671", "+1 (017) 555-7713", "+44 (0)20 7946 0958", "+33 (0) 6 12 34 56 78", "+49-30-1234567",
+    "+1.415.555.2671", "415-555-2671", "415.555.2671", "(415) 555-2671", "1-415-555-2671", "+390612345678", "+12 34 56",
+)
+
+
+@pytest.mark.parametrize("number", PHONES)
+@pytest.mark.parametrize("form", ["{}", "Call {} today.", "({})", "tel:{},", "at {}."])
+def test_phone_formats(number, form):
+    text = form.format(number)
+    at = text.index(number)
+    assert pii.entities(text) == [(at, at + len(number), "phone")]
+    new = pii.Replacer(b"key")(text)[0]
+    assert len(new) == len(text) and new != text and [c.isdigit() for c in new] == [c.isdigit() for c in text]
+    assert new[:at] == text[:at] and new[at + len(number) :] == text[at + len(number) :]
+
+
+@pytest.mark.parametrize("text", ["+1234567", "+12345678901234567", "a+14155552671", "1 234 567 890", "12 + 34567 = 34579", "2024-01-02", "+5 and 12345678"])
+def test_other_numbers_are_no_phones(text):
+    assert not any(kind == "phone" for _, _, kind in pii.entities(text))
+
+
+def test_formats_of_one_number_agree():
+    digits = {"".join(c for c in pii.Replacer(b"key")(t)[0] if c.isdigit()) for t in ("+14155552671", "+1 415 555 2671", "+1 (415) 555-2671")}
+    assert len(digits) == 1 and digits.pop().startswith("1")
