@@ -1,13 +1,14 @@
 """Operator 6: personal data and secrets replaced by surrogates.
 
 Detected entities get keyed replacements of the same kind and format: digits stay digits, check digits stay valid, names keep gender, script and
-case. The key and the entity alone decide the replacement, so mentions of one entity agree in all documents without any exchange of
-entities. Digit strings are permuted (a keyed Feistel network), so different ones of a format stay different. Collision checks: a
-replacement that may be some document's original (a filter of fixed size holds all originals), or that stands for another entity of the same
-document, is passed over for the next one.
+case. An entity is its kind and one spelling (digits without separators, names in lower case). The distinct entities of all documents form a
+table, where each takes the first of its keyed candidates that is no entity and that no other one has taken; of those that meet at a candidate the
+least takes it. So mentions of one entity agree in all documents, different entities stay different, and no replacement is an original. The
+table is joined back to the documents with entities alone; the others are not shuffled.
 
 Defined results: a null text stays null, an empty or clean one stays as it is; rows with a null or repeated doc_id are treated each; an empty table
-gives no rows; the other columns, whatever their names, stay as they are.
+gives no rows; the other columns, whatever their names, stay as they are. Where a format has hardly a free value left (short numbers), later candidates are
+longer than the original by a few digits.
 """
 
 from __future__ import annotations
@@ -16,18 +17,17 @@ import hashlib
 import hmac
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
-import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from spanframe.llm.tables import fold_table, table_rows
+from spanframe.llm.common import stored
 
-#: Bits of the filter of originals.
-FILTER_BITS = 25
-#: Replacements tried before names are made of syllables.
-TRIES = 40
+#: Candidates of the entity's own length, tried before longer ones.
+TRIES = 12
 
 # Common given names by script and gender, family names by script, and titles by gender.
 FIRST = {
@@ -178,120 +178,167 @@ def _script(word: str) -> str:
     return "cyrillic" if "Ѐ" <= word[0] <= "ӿ" else "greek" if "Ͱ" <= word[0] <= "Ͽ" else "latin"
 
 
-def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
-    """The replacement of an entity at an attempt: same kind, format and, for names, gender, script and case."""
+def canonical(kind: str, value: str) -> str:
+    """The one spelling of an entity, whatever the separators or the case of a mention."""
+    if kind in ("phone", "ssn", "card"):
+        return "+" * value.startswith("+") + "".join(str(int(c)) for c in value if c.isdecimal())
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in value.split("."))
+    if kind == "iban":
+        return value.replace(" ", "")
+    return value.lower() if kind == "last" or kind.startswith("first") else value
+
+
+def candidate(key: bytes, kind: str, value: str, attempt: int) -> str:
+    """The replacement of an entity (in its one spelling) at an attempt: same kind, format and, for names, gender and script."""
     tweak = f"{kind}\0{attempt}"
+    more = "".join(str(b % 10) for b in _stream(key, f"{tweak}\0more\0{value}", 32)) if attempt >= TRIES else ""
+    more = more[: attempt - TRIES + 1]
     if kind == "email":
         local, _, domain = value.partition("@")
         host, _, top = domain.rpartition(".")
-        return f"{_shaped(key, local, tweak + host)}@{_shaped(key, host, 'domain')}.{top}"
+        return f"{_shaped(key, local, tweak + host)}{more}@{_shaped(key, host, 'domain')}.{top}"
     if kind == "phone":
         keep = _COUNTRY.match(value)
         at = keep.end() if keep else 0
-        return value[:at] + _digits_in(value[at:], permuted(key, re.sub(r"\D", "", value[at:]), tweak))
+        return value[:at] + permuted(key, value[at:], tweak + value[:at]) + more
     if kind == "ssn":
-        return _digits_in(value, permuted(key, re.sub(r"\D", "", value), tweak))
+        return permuted(key, value, tweak) + more
     if kind == "card":
-        digits = re.sub(r"\D", "", value)
-        body = digits[0] + permuted(key, digits[1:-1], tweak + digits[0])
-        return _digits_in(value, body + str(luhn(body)))
+        body = value[0] + permuted(key, value[1:-1], tweak + value[0]) + more
+        return body + str(luhn(body))
     if kind == "ip":
-        raw = _stream(key, f"{tweak}\0{value}", 4)
-        return ".".join(str(b % 254 + 1) for b in raw)
+        return ".".join(str(b % 254 + 1) for b in _stream(key, f"{tweak}\0{value}", 4)) + more
     if kind == "iban":
-        plain = value.replace(" ", "")
-        body = _shaped(key, plain[4:].replace("a", "A"), tweak)
-        check = 98 - mod97(plain[:2] + "00" + body)
-        it = iter(f"{plain[:2]}{check:02d}{body}")
-        return "".join(c if c == " " else next(it) for c in value)
+        body = _shaped(key, value[4:], tweak) + more
+        return f"{value[:2]}{98 - mod97(value[:2] + '00' + body):02d}{body}"
     if kind == "secret":
         keep = 4 if value[:4] in ("AKIA", "ASIA") else 0
-        return value[:keep] + _shaped(key, value[keep:], tweak)
+        return value[:keep] + _shaped(key, value[keep:], tweak) + more
     script = _script(value)
-    n = int.from_bytes(_stream(key, f"{kind}\0{value.lower()}", 8)) + attempt
-    names = LAST[script] if kind == "last" else FIRST[script, kind[-1]]
-    if attempt < TRIES:
-        out = names[n % len(names)]
+    if attempt == 0:
+        names = LAST[script] if kind == "last" else FIRST[script, kind[-1]]
+        out = names[int.from_bytes(_stream(key, f"{kind}\0{value}", 8)) % len(names)].lower()
         if kind == "last" and script == "cyrillic" and value.endswith(("ова", "ева", "ёва", "ина")):
             out += "а"  # the feminine form
-    else:
-        parts = SYLLABLES[script]
-        out = "".join(parts[b % len(parts)] for b in _stream(key, f"{tweak}\0{value.lower()}", 4)).capitalize()
-    return out.upper() if value.isupper() and len(value) > 1 else out
+        return out
+    parts = SYLLABLES[script]  # more of them at each attempt, so there are always enough names
+    return "".join(parts[b % len(parts)] for b in _stream(key, f"{tweak}\0{value}", attempt + 2))
 
 
-def _places(kind: str, value: str) -> tuple[int, int]:
-    h = hashlib.blake2b(f"{kind[:4]}\0{value}".encode(), digest_size=16).digest()
-    return tuple(int.from_bytes(h[i : i + 8]) >> (64 - FILTER_BITS) for i in (0, 8))
+def dressed(kind: str, mention: str, new: str) -> str:
+    """A replacement in the separators or the case of a mention."""
+    if kind in ("phone", "ssn", "card"):
+        digits = new.lstrip("+")
+        n = sum(c.isdecimal() for c in mention)
+        return _digits_in(mention, digits) + digits[n:]
+    if kind == "iban":
+        it = iter(new)
+        return "".join(c if c == " " else next(it) for c in mention) + "".join(it)
+    if kind == "last" or kind.startswith("first"):
+        return new.upper() if mention.isupper() and len(mention) > 1 else new.capitalize()
+    return new
+
+
+def assign(key: bytes, own: set[tuple[str, str]]) -> dict[tuple[str, str], str]:
+    """The replacements of a set of entities that one process holds, by the rule of ``assigned``."""
+    taken, made, attempt = {v for _, v in own}, {}, 0
+    while len(made) < len(own):
+        won: dict[str, tuple[str, str]] = {}
+        for entity in sorted(own - made.keys()):
+            new = candidate(key, *entity, attempt)
+            if new not in taken:
+                won.setdefault(new, entity)
+        taken.update(won)
+        made.update((entity, new) for new, entity in won.items())
+        attempt += 1
+    return made
+
+
+def assigned(own: DataFrame, key: bytes) -> DataFrame:
+    """(kind, value, new) of every row of a table of distinct entities (kind, value): new is no value of the table and differs from row to row."""
+
+    def tries(attempt: int):
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kinds, values = batch.column(0), batch.column(1)
+                new = [candidate(key, k, v, attempt) for k, v in zip(kinds.to_pylist(), values.to_pylist())]
+                yield pa.RecordBatch.from_arrays([kinds, values, pa.array(new, pa.string())], names=["kind", "value", "new"])
+
+        return rows
+
+    taken, parts, left, attempt = own.select(F.col("value").alias("new")).distinct(), [], own, 0
+    while not left.isEmpty():
+        tried = stored(left.mapInArrow(tries(attempt), "kind string, value string, new string"), "tried")
+        least = tried.groupBy("new").agg(F.min(F.struct("kind", "value")).alias("entity"))
+        parts.append(stored(least.join(taken.hint("merge"), "new", "left_anti").select("entity.kind", "entity.value", "new"), "won"))
+        taken = taken.unionByName(parts[-1].select("new"))
+        left = stored(tried.join(parts[-1].hint("merge"), ["kind", "value"], "left_anti").select("kind", "value"), "left")
+        attempt += 1
+    return reduce(DataFrame.unionByName, parts) if parts else own.withColumn("new", F.col("value"))
+
+
+def own_entities(text: str) -> set[tuple[str, str]]:
+    return {(kind, canonical(kind, text[a:b])) for a, b, kind in entities(text)}
 
 
 class Replacer:
-    """Replaces the entities of one text after another; ``known`` is the filter of originals, or None."""
-
-    def __init__(self, key: bytes, known: np.ndarray | None = None):
-        self.key, self.known = key, known
+    """Replaces the entities of one text after another; ``made`` has the replacements, or None where each text stands alone."""
 
-    def _original(self, kind: str, value: str) -> bool:
-        return self.known is not None and all(self.known[i >> 3] >> (i & 7) & 1 for i in _places(kind, value))
+    def __init__(self, key: bytes, made: dict[tuple[str, str], str] | None = None):
+        self.key, self.made = key, made
 
     def __call__(self, text: str) -> tuple[str, int]:
         """The text with surrogates, and the number of entities."""
         found = entities(text)
-        if not found:
-            return text, 0
-        own = {(kind, text[a:b]) for a, b, kind in found}
-        values = {v for _, v in own}
-        made: dict[tuple[str, str], str] = {}
-        used: set[str] = set()
+        made = assign(self.key, own_entities(text)) if self.made is None else self.made
         out, at = [], 0
         for a, b, kind in found:
-            entity = (kind, text[a:b])
-            if entity not in made:
-                for attempt in range(10 * TRIES):
-                    new = surrogate(self.key, *entity, attempt)
-                    name = kind == "last" or kind.startswith("first")
-                    if new not in values and new not in used and (name or not self._original(kind, new)):
-                        break
-                made[entity] = new
-                used.add(new)
-            out += [text[at:a], made[entity]]
+            out += [text[at:a], dressed(kind, text[a:b], made[kind, canonical(kind, text[a:b])])]
             at = b
         return "".join([*out, text[at:]]), len(found)
 
 
-def originals(documents: DataFrame) -> np.ndarray:
-    """The filter (bytes of bits) that holds every entity of all documents except names; its size is fixed."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
-        for batch in batches:
-            for text in batch.column(0):
-                if (t := text.as_py()) is not None:
-                    for a, b, kind in entities(t):
-                        for i in _places(kind, t[a:b]):
-                            table[i >> 3] |= 1 << (i & 7)
-        yield table_rows(table.view(np.int64))
+def replaced(documents: DataFrame, key: bytes, count: str | None = None) -> DataFrame:
+    """``documents`` with surrogates in column text; ``count`` names a new column with the number of entities.
 
-    return fold_table(documents.select("text").mapInArrow(mark, "slot int, salt int, counts binary"), np.bitwise_or, 1 << FILTER_BITS >> 6).view(np.uint8)
+    Two passes over all texts; the rows with entities are stored under a number of their own and meet their replacements by it.
+    """
+    at, names = documents.columns.index("text"), documents.columns
+    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in documents.schema.fields)
+    counted = schema + (f", `{count}` int" if count else "")
 
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            own = [sorted(own_entities(t.as_py() or "")) for t in batch.column(at)]
+            some = batch.filter(pa.array([bool(x) for x in own], pa.bool_()))
+            if some.num_rows:
+                lists = pa.array([[{"kind": k, "value": v} for k, v in x] for x in own if x], pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())])))
+                numbers = pa.array(range(row, row + some.num_rows), pa.int64())
+                row += some.num_rows
+                yield pa.RecordBatch.from_arrays([*some.columns, numbers, lists], names=[*names, "__row", "__own"])
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.filter(pa.array([not entities(t.as_py() or "") for t in batch.column(at)], pa.bool_()))
+            zeros = pa.array([0] * rest.num_rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([*rest.columns, *[zeros] * bool(count)], names=[*names, *[count] * bool(count)])
 
-def replaced(documents: DataFrame, key: bytes, count: str | None = None) -> DataFrame:
-    """``documents`` with surrogates in column text, two passes over the texts and no shuffle of them; ``count`` names a new column with the number of entities."""
-    known = documents.sparkSession.sparkContext.broadcast(originals(documents).tobytes())
-    at = documents.columns.index("text")
-    fields = documents.schema.fields
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields) + (f", `{count}` int" if count else "")
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replace = Replacer(key, np.frombuffer(known.value, np.uint8))
+    def dress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, numbers = [], []
-            for text in batch.column(at):
-                new, n = (None, 0) if (t := text.as_py()) is None else replace(t)
+            for text, made in zip(batch.column(at), batch.column("__made")):
+                new, n = Replacer(key, {(m["kind"], m["value"]): m["new"] for m in made.as_py()})(text.as_py())
                 texts.append(new)
                 numbers.append(n)
-            columns = [*batch.columns]
+            columns = batch.columns[: len(names)]
             columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(numbers, pa.int32())] * bool(count), names=[*batch.schema.names, *[count] * bool(count)])
-
-    return documents.mapInArrow(rows, schema)
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(numbers, pa.int32())] * bool(count)], names=[*names, *[count] * bool(count)])
+
+    found = stored(documents.mapInArrow(pick, f"{schema}, __row long, __own array<struct<kind: string, value: string>>"), "found")
+    mentions = found.select("__row", F.inline("__own"))
+    made = assigned(stored(mentions.select("kind", "value").distinct(), "entities"), key)
+    made = mentions.join(made.hint("merge"), ["kind", "value"]).groupBy("__row").agg(F.collect_list(F.struct("kind", "value", "new")).alias("__made"))
+    met = found.drop("__own").join(made.hint("merge"), "__row").select(*(F.col(f"`{n}`") for n in names), "__made")
+    return documents.mapInArrow(clean, counted).unionByName(met.mapInArrow(dress, counted))

@@ -1,5 +1,8 @@
 """Operator 6: forms of entities alone in a text."""
 
+import random
+import re
+
 import pytest
 
 from spanframe.llm import pii
@@ -42,3 +45,52 @@ def test_other_numbers_are_no_phones(text):
 def test_formats_of_one_number_agree():
     digits = {"".join(c for c in pii.Replacer(b"key")(t)[0] if c.isdigit()) for t in ("+14155552671", "+1 415 555 2671", "+1 (415) 555-2671")}
     assert len(digits) == 1 and digits.pop().startswith("1")
+
+
+def planted():
+    """Texts of many people, numbers and addresses, each named in more than one text and format."""
+    rng = random.Random(9)
+    people = [(rng.choice(["Mr.", "Mrs."]), "".join(rng.choice("bcdfglmn") + rng.choice("aeiou") for _ in range(4)).capitalize()) for _ in range(150)]
+    rows = []
+    for i, (title, name) in enumerate(people):
+        phone, card = f"{rng.randrange(10**10):010d}", f"4{rng.randrange(10**14):014d}"
+        card += str(pii.luhn(card))
+        mail, address, pin = f"{rng.choice('abcdef')}@mail{i % 3}.example.org", f"10.{i % 40}.0.{i % 7}", f"{100 * i % 700:03d}-0{i % 5}-{i % 9:04d}"
+        rows.append((f"{title} {name} ({mail}) has +1{phone} and card {card}, {address}, {pin}. password=12{i:04d}", (i, None, 7)[i % 3]))
+        rows.append((f"{title} {name.upper()}, +1 {phone[:3]} {phone[3:6]} {phone[6:]}; {card[:4]} {card[4:8]} {card[8:12]} {card[12:]} Mary Smith", i))
+    return rows + [("clean", 1), (None, 2), ("", 3)]
+
+
+def test_all_documents_against_plain_python(spark):
+    rows = planted()
+    docs = spark.createDataFrame([(i, t, n) for n, (t, i) in enumerate(rows)], "doc_id long, text string, n int").repartition(5)
+    got = sorted(pii.replaced(docs, b"key", "n_entities").collect(), key=lambda r: r["n"])
+    own = set().union(*(pii.own_entities(t or "") for t, _ in rows))
+    made = pii.assign(b"key", own)
+    want = [(i, t and pii.Replacer(b"key", made)(t)[0], n, len(pii.entities(t or ""))) for n, (t, i) in enumerate(rows)]
+    assert [tuple(r) for r in got] == want
+    # Mentions side by side: one replacement for an entity in all documents, another one for each entity, none of them an original.
+    met = {}
+    for (text, _), r in zip(rows, got):
+        for (a, b, kind), (c, d, other) in zip(pii.entities(text or ""), spans(text or "", r["text"] or "")):
+            met.setdefault((kind.partition(":")[0], pii.canonical(kind, text[a:b])), set()).add(pii.canonical(kind, r["text"][c:d]))
+    assert len(met) > 500 and all(len(x) == 1 for x in met.values())
+    new = [next(iter(x)) for x in met.values()]
+    assert len(set(new)) == len(new) and not set(new) & {v for _, v in own}
+
+
+def spans(text, new):
+    """The places of the replacements in ``new``: all but names and addresses of machines keep their length here."""
+    found, out, at = pii.entities(text), [], 0
+    for k, (a, b, kind) in enumerate(found):
+        start = at + a - (found[k - 1][1] if k else 0)
+        own = {"ip": r"[\d.]+", "last": r"\w+", "first": r"\w+"}.get(kind.partition(":")[0])
+        at = re.compile(own).match(new, start).end() if own else start + b - a
+        out.append((start, at, kind))
+    return out
+
+
+def test_full_formats_get_longer():
+    own = {("secret", f"{i:02d}") for i in range(100)} | {("email", f"{c}@a.example.org") for c in "abcdefghijklmnopqrstuvwxyz"}
+    made = pii.assign(b"key", own)
+    assert len(set(made.values())) == len(own) and not set(made.values()) & {v for _, v in own}
