@@ -5,8 +5,8 @@ automaton over all pieces finds the places to look at, and Myers' bit-parallel d
 compared in lower case with white space as single blanks. The items are a stated query set: they go to the tasks in blocks of bounded size,
 and every block meets every whole text; documents are not shuffled.
 
-Defined results: null and empty texts match nothing; items that are null or shorter than ``LEAST`` characters are left out; repeated items match
-each; rows with a null or repeated doc_id are searched each; empty tables give no rows; other columns are ignored.
+Defined results: null and empty texts match nothing; items that are null or blank are left out, items shorter than ``LEAST``
+characters match only without edits and as whole words; repeated items match each; rows with a null or repeated doc_id are searched each; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of an item below which it says nothing.
+#: Characters of an item below which it is searched without edits and as whole words.
 LEAST = 20
 #: Characters of items that are searched in one go.
 BLOCK_CHARS = 1_000_000
@@ -30,8 +30,8 @@ def normal(text: str | None) -> str:
 
 
 def budget(length: int) -> int:
-    """Edits allowed: one in 16 characters, for short items up to 8 but not over one in 10."""
-    return max(length // 16, min(8, length // 10))
+    """Edits allowed: one in 16 characters, for short items up to 8 but not over one in 10, below LEAST none."""
+    return 0 if length < LEAST else max(length // 16, min(8, length // 10))
 
 
 def pieces(item: str, edits: int) -> list[tuple[int, str]]:
@@ -40,6 +40,11 @@ def pieces(item: str, edits: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def parts_word(text: str, at: int) -> bool:
+    """Whether a word goes on across the place before the character ``at``."""
+    return 0 < at < len(text) and all(c.isalnum() or c == "_" for c in text[at - 1 : at + 1])
+
+
 @lru_cache(4096)
 def _masks(pattern: str) -> dict[str, int]:
     out: dict[str, int] = {}
@@ -94,6 +99,10 @@ class Finder:
                 item = self.items[i][1]
                 edits = budget(len(item))
                 begin = end + 1 - length - start
+                if len(item) < LEAST:
+                    if not parts_word(text, begin) and not parts_word(text, end + 1):
+                        done[i] = (0, end + 1)
+                    continue
                 if any((i, begin - d) in seen for d in range(edits + 1)):  # the window of that place held all that this one can match
                     continue
                 low = max(0, begin - edits)
@@ -109,7 +118,7 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """Normalised items in blocks of about BLOCK_CHARS characters; the driver holds one at a time."""
     block, size = [], 0
     for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        if len(text := normal(r["text"])) >= LEAST:
+        if text := normal(r["text"]):
             if block and size + len(text) > BLOCK_CHARS:
                 yield block
                 block, size = [], 0
