@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanframe.functions.classify import cohens_d
 from spanframe.functions.pvalues import p_value_t
 from spanframe.operators.scan import exact_quantiles, value_ranks
+from spanframe.operators.similarity import most_similar
 from spanframe.operators.topk import global_top_k
 
 
@@ -145,35 +146,9 @@ def differential_methylation(
     )
 
 
-def masked_cosine(a, b, mask_a, mask_b) -> tuple:
-    """(similarity, shared dimensions) of two arrays, skipping masked places."""
-    both = F.arrays_zip(a.alias("a"), b.alias("b"), mask_a.alias("ma"), mask_b.alias("mb"))
-    kept = F.filter(both, lambda s: ~s["ma"] & ~s["mb"] & s["a"].isNotNull() & s["b"].isNotNull())
-    total = lambda f: F.aggregate(kept, F.lit(0.0), lambda acc, s: acc + f(s))
-    dot = total(lambda s: s["a"].cast("double") * s["b"])
-    na, nb = total(lambda s: s["a"].cast("double") * s["a"]), total(lambda s: s["b"].cast("double") * s["b"])
-    return F.when((na > 0) & (nb > 0), dot / (F.sqrt(na) * F.sqrt(nb))), F.size(kept)
-
-
-def cosine_similar(
-    vectors: DataFrame, queries: DataFrame, identity: str, k: int, min_coverage: float = 0.5, slots: int = 64,
-) -> DataFrame:
-    """Top ``k`` similar rows per query vector by masked cosine over all rows.
-
-    The stated query list meets the table in hashed slots, whatever its length: vectors are dealt to ``slots`` parts
-    and every query visits each. A part keeps only its own best ``k`` per query before the final ranking.
-    """
-    asked = vectors.join(queries.select(identity).distinct(), identity, "left_semi").select(
-        F.col(identity).alias("query_id"), F.col("vector").alias("qv"), F.col("mask").alias("qm")
-    )
-    left = vectors.withColumn("_slot", F.pmod(F.xxhash64(identity), F.lit(slots)).cast("int"))
-    right = asked.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    pairs = left.join(right, "_slot").where(F.col(identity) != F.col("query_id"))
-    score, shared = masked_cosine(F.col("qv"), F.col("vector"), F.col("qm"), F.col("mask"))
-    scored = pairs.select("query_id", identity, score.alias("similarity"), shared.alias("n_shared"), F.size("qv").alias("_d"))
-    good = scored.where(F.col("similarity").isNotNull() & (F.col("n_shared") / F.col("_d") >= min_coverage)).drop("_d")
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), identity)
-    return good.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def cosine_similar(vectors: DataFrame, queries: DataFrame, identity: str, k: int, min_coverage: float = 0.5, slots: int | None = None) -> DataFrame:
+    """Top ``k`` similar rows per query vector by masked cosine over all rows, whatever the number of row parts (``slots``)."""
+    return most_similar(vectors, queries, identity, k, min_coverage=min_coverage, parts=slots)
 
 
 def sample_windows(windows: DataFrame, n: int, seed: int, keys: Sequence[str], unknown: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanframe.functions.coords import round_to as r
-from spanframe.operators import claims, effects, matrix, scan
+from spanframe.operators import claims, effects, matrix, scan, similarity
 from spanframe.plans.adapters import oracle
 from spanframe.plans.registry import query
 
@@ -268,6 +268,57 @@ def _(t):
     return out.select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"), "n_shared", "rank")
 
 
+#: Layers of a profile vector and their sizes, as slices of the test vectors.
+LAYERS = {"intrinsic": 8, "regulatory": 16, "expression": 30, "protein": 10}
+LAYER_SQL = "CASE WHEN i < 8 THEN 'intrinsic' WHEN i < 24 THEN 'regulatory' WHEN i < 54 THEN 'expression' ELSE 'protein' END"
+#: Places by layer: some are missing, and some rows lack a whole layer.
+PLACES = f"""SELECT vec_id, i, layer, CASE WHEN m THEN 0.0 ELSE x END AS z, CASE WHEN m THEN 0.0 ELSE 1.0 END AS m FROM (
+  SELECT *, i % 7 = label % 7 OR (vec_id + ascii(layer)) % 11 = 0 AS m FROM (SELECT vec_id, label, i, CAST(x AS DOUBLE) AS x, {LAYER_SQL} AS layer
+    FROM (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings)))"""
+LAYER_LISTS = "SELECT vec_id, layer, list(z ORDER BY i) AS z, list(z * z ORDER BY i) AS z2, list(m ORDER BY i) AS m FROM places GROUP BY 1, 2"
+LAYER_PAIRS = """SELECT q.vec_id AS query_id, v.vec_id, q.layer, list_dot_product(q.z, v.z) AS d, list_dot_product(q.z2, v.m) AS a, list_dot_product(q.m, v.z2) AS b, list_dot_product(q.m, v.m) AS s
+  FROM lists q JOIN lists v ON q.layer = v.layer AND q.vec_id <> v.vec_id"""
+PROFILE_CTES = {"places": PLACES, "lists": LAYER_LISTS, "lp": LAYER_PAIRS}
+COSINE = "CASE WHEN {a} > 0 AND {b} > 0 THEN {d} / (sqrt({a}) * sqrt({b})) END"
+
+
+def _profiles(t):
+    """The long table of layer vectors (identity, layer, z, missing) and its wide form."""
+    flat = t.embeddings.select("vec_id", "label", F.posexplode("embedding").alias("i", "x"))
+    layer = F.when(F.col("i") < 8, "intrinsic").when(F.col("i") < 24, "regulatory").when(F.col("i") < 54, "expression").otherwise("protein")
+    named = flat.withColumn("layer", layer).where((F.col("vec_id") + F.ascii("layer")) % 11 != 0)
+    cells = F.array_sort(F.collect_list(F.struct("i", F.col("x").cast("double").alias("z"), (F.col("i") % 7 == F.col("label") % 7).alias("missing"))))
+    long = named.groupBy("vec_id", "layer").agg(cells.alias("c")).select("vec_id", "layer", F.col("c.z").alias("z"), F.col("c.missing").alias("missing"))
+    return similarity.join_layers(long, "vec_id", LAYERS)
+
+
+@query("e17_similar_integrated", oracle(f"""
+SELECT query_id, vec_id, round(sim, 4) + 0.0 AS similarity, CAST(s AS INT) AS n_shared, round(s / 64, 3) AS coverage, round(si, 4) + 0.0 AS sim_intrinsic, round(sr, 4) + 0.0 AS sim_regulatory,
+  round(se, 4) + 0.0 AS sim_expression, round(sp, 4) + 0.0 AS sim_protein, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 4) DESC, vec_id) AS rank FROM (
+    SELECT query_id, vec_id, {COSINE.format(a='sum(a)', b='sum(b)', d='sum(d)')} AS sim, sum(s) AS s, {', '.join(f"max({COSINE.format(a='a', b='b', d='d')}) FILTER (layer = '{n}') AS s{n[0]}" for n in LAYERS)}
+    FROM lp GROUP BY 1, 2) WHERE sim IS NOT NULL AND s >= 32) WHERE rank <= 10""", extra=PROFILE_CTES))
+def _(t):
+    vectors, layers = _profiles(t)
+    out = similarity.most_similar(vectors, vectors.select("vec_id"), "vec_id", 10, layers, digits=4)
+    names = ["similarity", *[f"sim_{n}" for n in LAYERS]]
+    return out.withColumns({c: r(F.col(c), 4) for c in names} | {"coverage": F.round("coverage", 3)})
+
+
+@query("e17_similar_by_layer", oracle(f"""
+SELECT mode, query_id, vec_id, round(sim, 4) + 0.0 AS similarity, CAST(s AS INT) AS n_shared, round(s / n, 3) AS coverage, CAST(rank AS INT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY mode, query_id ORDER BY round(sim, 4) DESC, vec_id) AS rank FROM (
+    SELECT layer AS mode, query_id, vec_id, {COSINE.format(a='a', b='b', d='d')} AS sim, s, CASE layer WHEN 'intrinsic' THEN 8 WHEN 'regulatory' THEN 16 WHEN 'expression' THEN 30 ELSE 10 END AS n
+    FROM lp) WHERE sim IS NOT NULL AND s >= 0.5 * n) WHERE rank <= 10""", extra=PROFILE_CTES))
+def _(t):
+    vectors, layers = _profiles(t)
+    parts = [similarity.most_similar(vectors, vectors.select("vec_id"), "vec_id", 10, layers, mode=n, digits=4).select(
+        F.lit(n).alias("mode"), "query_id", "vec_id", "similarity", "n_shared", "coverage", "rank") for n in LAYERS]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.withColumns({"similarity": r(F.col("similarity"), 4), "coverage": F.round("coverage", 3)})
+
+
 @query("e18_sample_windows", oracle("""
 SELECT chr_id, start_pos, n_a FROM windows ORDER BY md5(chr_id || '|' || start_pos || '|42'), chr_id, start_pos LIMIT 100""", "windows"))
 def _(t):
