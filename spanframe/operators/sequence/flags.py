@@ -17,8 +17,8 @@ from spanframe.functions.seqexpr import (
     step_total,
     with_step_counts,
 )
-from spanframe.operators.sequence import motifs
-from spanframe.operators.sequence.steps import fixed_windows
+from spanframe.operators.sequence import kernel, motifs, runs
+from spanframe.operators.sequence.steps import CHUNK, chunks
 from spanframe.operators.sequence.thermo import melting_columns, salt_delta_g, _internal_mono
 
 MIN_LENGTH = 10
@@ -71,7 +71,7 @@ def flags(df: DataFrame, window: int = 100, islands: DataFrame | None = None) ->
     dg_code = F.when(F.col("dg") > K.FLAG_LOW_STABILITY, "LOW_STABILITY").when(
         F.col("dg") < K.FLAG_HIGH_STABILITY, "HIGH_STABILITY"
     )
-    runs = motifs.homopolymers(plain, K.FLAG_HOMOPOLYMER)
+    repeated = motifs.homopolymers(plain, K.FLAG_HOMOPOLYMER)
     nothing = F.lit(None)
     # Filtering after an aggregate keeps the optimizer from copying the long count expressions.
     z = with_step_counts(plain.withColumn("sequence", clean(F.col("sequence")))).groupBy("seq_id").agg(
@@ -86,9 +86,9 @@ def flags(df: DataFrame, window: int = 100, islands: DataFrame | None = None) ->
         _flag(gc.where(gc_code.isNotNull()), "info", gc_code, start, end),
         _flag(dg.where(dg_code.isNotNull()), "info", dg_code, w_start, w_end),
         _flag(z, "feature", "Z_FORM_PRONE", nothing, nothing),
-        _flag(runs, "feature", "HOMOPOLYMER", start, end),
+        _flag(repeated, "feature", "HOMOPOLYMER", start, end),
         _flag(motifs.dinuc_repeats(plain), "feature", "DINUC_REPEAT", start, end),
-        _flag(runs.where(F.col("length") >= K.FLAG_LONG_HOMOPOLYMER), "feature", "LONG_HOMOPOLYMER", start, end),
+        _flag(repeated.where(F.col("length") >= K.FLAG_LONG_HOMOPOLYMER), "feature", "LONG_HOMOPOLYMER", start, end),
         _flag(gc.where(extreme), "warning", "EXTREME_GC_WINDOW", start, end),
         _flag(many, "warning", "SILENCING_RISK", nothing, nothing),
         _flag(repeats, "feature", repeat_code, F.col("first"), F.col("first") + K.FLAG_KMER - 1),
@@ -193,21 +193,12 @@ def allele_summary(df: DataFrame, keys: tuple[str, ...] = ("seq_id",)) -> DataFr
     )
 
 
-def stepped_island_count(df: DataFrame, step: int = 10) -> DataFrame:
-    """Runs of qualifying 200-bp windows on a coarse step, per sequence."""
-    from pyspark.sql import Window
-
+def stepped_island_count(df: DataFrame, step: int = 10, size: int = CHUNK) -> DataFrame:
+    """Runs of qualifying 200-bp windows on a coarse step, per sequence: a run is counted where it opens, inside the chunk of its first window."""
     width = K.ISLAND_LENGTH
-    wins = fixed_windows(df, width, step, min_length=width)
-    seq = F.col("window")
-    product = base_count(seq, "C").cast("double") * base_count(seq, "G")
-    good = (gc_fraction(seq) >= K.ISLAND_GC) & (product > 0) & (
-        pair_count(seq, "CG") / (product / (width - 1)) >= K.ISLAND_OE
-    )
-    marked = wins.select("seq_id", "start_pos", F.coalesce(good, F.lit(False)).alias("good")).where("good")
-    order = Window.partitionBy("seq_id").orderBy("start_pos")
-    opens = F.coalesce(F.col("start_pos") - F.lag("start_pos").over(order) > step, F.lit(True))
-    found = marked.withColumn("_open", opens).groupBy("seq_id").agg(F.count_if("_open").alias("island_count"))
+    pieces = chunks(df.select("seq_id", "sequence"), step, width, size)
+    opens = kernel.scan(pieces, runs.island_openings(width, step, K.ISLAND_GC, K.ISLAND_OE), "opens long")
+    found = opens.groupBy("seq_id").agg(F.sum("opens").alias("island_count"))
     return df.select("seq_id").join(found, "seq_id", "left").fillna(0, ["island_count"])
 
 

@@ -15,18 +15,17 @@ from spanframe.functions.seqexpr import (
     gc_fraction,
     normalise,
     pair_count,
-    replace_each,
     reverse_complement,
     step_sum,
     step_total,
     with_step_counts,
 )
 from spanframe.operators.merge import merge_intervals
-from spanframe.operators.sequence import kernel
+from spanframe.operators.sequence import kernel, runs
 from spanframe.operators.sequence.steps import CHUNK, at, bases, chunks, known_windows
 
 # Motif patterns.
-G4 = r"G{3,}\w{1,7}G{3,}\w{1,7}G{3,}\w{1,7}G{3,}"
+G4 = runs.G4
 C4 = r"C{3,}\w{1,7}C{3,}\w{1,7}C{3,}\w{1,7}C{3,}"
 ALTERNATING_8 = r"(?:RY){4,}|(?:YR){4,}"
 ALTERNATING_12 = r"(?:[AG][CT]){6,}|(?:[CT][AG]){6,}"
@@ -63,40 +62,22 @@ def pattern_hits(df: DataFrame, pattern: str, text: Column | None = None) -> Dat
     )
 
 
-def motif_hits(df: DataFrame) -> DataFrame:
-    """G-quadruplexes, Z-prone alternating runs and homopolymers of five or more, with positions."""
-    plain = df.select("seq_id", normalise(F.col("sequence")).alias("sequence"))
-    g4 = pattern_hits(plain, G4).select("seq_id", "start", "end", F.lit("g_quadruplex").alias("motif"),
-                                        F.lit(None).cast("double").alias("score"))
-    homo = pattern_hits(plain, runs_pattern(5)).select(
-        "seq_id", "start", "end", F.concat(F.lit("poly_"), F.substring("hit", 1, 1)).alias("motif"),
-        F.lit(None).cast("double").alias("score"),
-    )
-    return g4.unionByName(z_runs(plain)).unionByName(homo)
-
-
-def z_runs(plain: DataFrame) -> DataFrame:
-    """Alternating purine/pyrimidine runs of eight or more with a mean Z penalty under 2.5."""
-    classes = replace_each(F.col("sequence"), {"A": "R", "G": "R", "C": "Y", "T": "Y"})
-    runs = pattern_hits(plain, ALTERNATING_8, classes)
-    text = runs.join(plain, "seq_id").select(
-        "seq_id", "start", "end",
-        F.substring("sequence", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("part"),
-    )
-    # Filtering after an aggregate keeps the optimizer from copying the long count expressions.
-    scored = with_step_counts(text, "part").groupBy("seq_id", "start", "end").agg(
-        F.max(step_sum(K.Z_FORM) / step_total()).alias("score")
-    )
-    return scored.where(F.col("score") < 2.5).select(
-        "seq_id", "start", "end", F.lit("z_dna_prone").alias("motif"), F.round("score", 2).alias("score")
-    )
+def motif_hits(df: DataFrame, size: int = CHUNK) -> DataFrame:
+    """G-quadruplexes, Z-prone alternating runs and homopolymers of five or more, with positions: chunk by chunk, merged over seams."""
+    none = F.lit(None).cast("double").alias("score")
+    g4 = runs.quadruplexes(df, size).select("seq_id", "start", "end", F.lit("g_quadruplex").alias("motif"), none)
+    homo = runs.base_runs(df, "same", 5, size).select("seq_id", "start", "end", F.concat(F.lit("poly_"), runs.base_of(F.col("one"))).alias("motif"), none)
+    return g4.unionByName(z_runs(df, size)).unionByName(homo)
 
 
-def motif_counts(df: DataFrame) -> DataFrame:
-    """Per sequence: number of G-quadruplexes and homopolymers, by pattern counts only."""
-    seq = normalise(F.col("sequence"))
-    return df.select("seq_id", F.regexp_count(seq, F.lit(G4)).alias("g_quadruplex"),
-                     F.regexp_count(seq, F.lit(runs_pattern(5))).alias("homopolymers"))
+def z_runs(df: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Alternating purine/pyrimidine runs of eight or more with a mean Z penalty under 2.5; whole pairs only."""
+    found = runs.base_runs(df, "alternating", 8, size)
+    odd = (F.col("end") - F.col("start")) % 2
+    end = F.col("end") - odd
+    total = (F.col("z") - odd * F.col("z_last")) / F.lit(float(K.STEP_SCALE))
+    scored = found.select("seq_id", "start", end.alias("end"), (total / (end - F.col("start") - 1)).alias("score"))
+    return scored.where(F.col("score") < 2.5).select("seq_id", "start", "end", F.lit("z_dna_prone").alias("motif"), F.round("score", 2).alias("score"))
 
 
 def _stem_hit(stem: int, reach: int) -> Column:
@@ -121,20 +102,16 @@ def inverted_repeats(df: DataFrame, stem: int = 6, min_loop: int = 3, max_loop:
     )
 
 
-def homopolymers(df: DataFrame, length: int = K.FLAG_HOMOPOLYMER) -> DataFrame:
+def homopolymers(df: DataFrame, length: int = K.FLAG_HOMOPOLYMER, size: int = CHUNK) -> DataFrame:
     """Runs of one base of at least ``length``, 1-based closed."""
-    return pattern_hits(df, runs_pattern(length)).select(
-        "seq_id", (F.col("start") + 1).alias("start"), "end", F.substring("hit", 1, 1).alias("base"),
-        F.length("hit").alias("length"),
-    )
+    return runs.base_runs(df, "same", length, size).select(
+        "seq_id", (F.col("start") + 1).alias("start"), "end", runs.base_of(F.col("one")).alias("base"), (F.col("end") - F.col("start")).cast("int").alias("length"))
 
 
-def dinuc_repeats(df: DataFrame, total: int = K.FLAG_DINUC_REPEAT) -> DataFrame:
+def dinuc_repeats(df: DataFrame, total: int = K.FLAG_DINUC_REPEAT, size: int = CHUNK) -> DataFrame:
     """Tandem dinucleotides of at least ``total`` bases, 1-based closed."""
-    return pattern_hits(df, tandem_pattern(total)).select(
-        "seq_id", (F.col("start") + 1).alias("start"), "end", F.substring("hit", 1, 2).alias("motif"),
-        F.length("hit").alias("length"),
-    )
+    return runs.tandem_runs(df, total, size).select(
+        "seq_id", (F.col("start") + 1).alias("start"), "end", "motif", (F.col("end") - F.col("start")).cast("int").alias("length"))
 
 
 def kmers(df: DataFrame, k: int, size: int = CHUNK, keep: tuple[str, ...] = ()) -> DataFrame:

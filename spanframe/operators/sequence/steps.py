@@ -23,9 +23,11 @@ def chunks(
 ) -> DataFrame:
     """(seq_id, chunk, core_start, core_end, piece_start, piece, n): pieces with ``left``/``right`` halo bases.
 
-    Very long sequences are cut in two steps, so that no byte is scanned once
+    A table that has ``chunk`` and ``start_pos`` beside the sequence is already cut (a FASTA reader's chunks) and gets its halos from its neighbours. Very long sequences are cut in two steps, so that no byte is scanned once
     per chunk. Slices are taken from bytes, where a slice costs its own length.
     """
+    if {"chunk", "start_pos"} <= set(df.columns):
+        return halo_pieces(df, left, right, sequence)
     keep = [c for c in df.columns if c != sequence]
     n = F.col("n")
     raw = df.where(F.length(sequence) > 0).select(
@@ -53,6 +55,33 @@ def chunks(
     return out.repartition("seq_id", "chunk") if spread else out
 
 
+def halo_pieces(cut: DataFrame, left: int = 0, right: int = 0, sequence: str = "sequence") -> DataFrame:
+    """Pieces of sequences that come as chunks (seq_id, chunk, start_pos, sequence, ...): consecutive numbers, end to end, each but the last as long as the halo at least.
+
+    Each chunk sends copies of its ends to its two neighbours, so no task sees more than a chunk, and no row holds more than one.
+    """
+    keep = [c for c in cut.columns if c not in (sequence, "start_pos", "chunk")]
+    text = normalise(F.col(sequence))
+    own = cut.where(F.length(sequence) > 0).select(*keep, "chunk", F.col("start_pos").alias("core_start"), text.alias("_text"))
+    length = F.length("_text")
+    total = own.groupBy("seq_id").agg(F.max(F.col("core_start") + length).alias("n"))
+    nothing = F.lit("")
+    sent = F.array(
+        F.struct(F.col("chunk").alias("to"), F.lit(1).alias("side"), F.col("_text").alias("_part")),
+        F.struct((F.col("chunk") + 1).alias("to"), F.lit(0).alias("side"), (F.substring("_text", F.greatest(length - left, F.lit(0)) + 1, F.lit(left)) if left else nothing).alias("_part")),
+        F.struct((F.col("chunk") - 1).alias("to"), F.lit(2).alias("side"), (F.substring("_text", 1, right) if right else nothing).alias("_part")),
+    )
+    parts = own.select(*keep, "core_start", F.inline(sent))
+    pick = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c)))
+    joined = parts.groupBy("seq_id", F.col("to").alias("chunk")).agg(
+        *[pick(c, 1).alias(c) for c in keep if c != "seq_id"], pick("core_start", 1).alias("core_start"), pick("_part", 1).alias("_own"),
+        F.coalesce(pick("_part", 0), nothing).alias("_before"), F.coalesce(pick("_part", 2), nothing).alias("_after")).where("_own IS NOT NULL")
+    place = F.col("core_start")
+    return joined.join(total, "seq_id").select(
+        *keep, "chunk", "n", place.alias("core_start"), (place + F.length("_own")).alias("core_end"), (place - F.length("_before")).alias("piece_start"),
+        F.concat("_before", "_own", "_after").alias("piece"))
+
+
 def bases(pieces: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per base of a piece: position ``i`` in the sequence and the piece's bytes."""
     return (
