@@ -345,6 +345,19 @@ def _(t):
     return chunks.select("header", F.col("start_pos").cast("long").alias("start_pos"), F.md5("sequence").alias("digest"))
 
 
+@query("s18_fasta_file_windows", oracle("""
+SELECT g AS grid, 'seq' || seq_id AS seq_id, CAST(w * 1000 AS BIGINT) AS start_pos, CAST(least(w * 1000 + 1000, length(sequence)) AS BIGINT) AS end_pos,
+  md5(substring(sequence, CAST(w * 1000 + 1 AS BIGINT), 1000)) AS digest
+FROM (SELECT seq_id, sequence, unnest(range(0, CAST(ceil(length(sequence) / 1000.0) AS BIGINT))) AS w FROM sequences), (VALUES ('default'), ('odd')) v(g)
+WHERE length(sequence) - w * 1000 >= 500""", "sequences"))
+def _(t):
+    wrapped = F.regexp_replace("sequence", "(.{60})", "$1\n")
+    path = folder(t, "fasta", t.sequences.select(F.concat(F.lit(">seq"), "seq_id", F.lit(" >test\n"), wrapped).alias("value")))
+    grids = {"default": readers.read_fasta_chunks(t.spark, path), "odd": readers.read_fasta_chunks(t.spark, path, 1536)}
+    made = [readers.fasta_chunk_windows(c).select(F.lit(g).alias("grid"), "seq_id", "start_pos", "end_pos", F.md5("window").alias("digest")) for g, c in grids.items()]
+    return made[0].unionByName(made[1])
+
+
 @query("s27_duplication_files", oracle("""
 SELECT chr_id, start_pos, end_pos, chr_id AS other_chr_id, start_pos + 5000 AS other_start, end_pos + 5000 AS other_end, 0.5::DOUBLE AS frac_match FROM intervals_b""", "intervals_b"))
 def _(t):

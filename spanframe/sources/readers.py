@@ -350,13 +350,26 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fasta_chunk_windows(chunks: DataFrame, size: int = 1000) -> DataFrame:
-    """Windows of records read as chunks of a multiple of ``size`` bases, without short ends and mostly unknown stretches."""
-    from spanframe.operators.sequence.steps import known_windows
+    """Windows of ``size`` bases from each record's start, whatever grid its chunks have, without short ends (under half) and mostly unknown stretches.
 
-    named = chunks.select(F.struct(F.element_at(F.split("header", "[ \t]"), 1).alias("name"), F.col("start_pos").alias("_base")).alias("seq_id"), "sequence")
-    return known_windows(named, size).select(
-        F.col("seq_id.name").alias("seq_id"), (F.col("seq_id._base") + F.col("start_pos")).alias("start_pos"),
-        (F.col("seq_id._base") + F.col("end_pos")).alias("end_pos"), "window")
+    Output: seq_id, start_pos, end_pos, window. Windows inside one chunk leave it as they are; only the parts of those that cross a seam (two a chunk
+    at most, unless windows are longer than chunks) are shuffled and put together.
+    """
+    raw = F.col("_raw")
+    begin, end = F.col("start_pos"), F.col("start_pos") + F.length("_raw")
+    named = chunks.where(F.length("sequence") > 0).select(
+        "file", "record", F.element_at(F.split("header", "[ \t]"), 1).alias("seq_id"), F.col("start_pos").cast("long").alias("start_pos"), F.col("sequence").cast("binary").alias("_raw"))
+    cut = named.withColumn("_w", F.explode(F.sequence(F.floor(begin / size), F.floor((end - 1) / size))))
+    low, high = F.greatest(begin, F.col("_w") * size), F.least(end, (F.col("_w") + 1) * size)
+    parts = cut.select(
+        "file", "record", "seq_id", "_w", low.alias("_low"), high.alias("_high"), F.substring(raw, (low - begin + 1).cast("int"), (high - low).cast("int")).cast("string").alias("window"))
+    whole = F.col("_high") - F.col("_low") == size
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_low", "window"))), lambda p: p["window"]), "")  # ``size`` bases at most
+    stitched = parts.where(~whole).groupBy("file", "record", "seq_id", "_w").agg(text.alias("window"))
+    windows = parts.where(whole).select("seq_id", "_w", "window").unionByName(stitched.select("seq_id", "_w", "window"))
+    unknown = F.length("window") - F.length(F.replace(F.col("window"), F.lit("N"), F.lit("")))
+    return windows.where((F.length("window") >= size // 2) & (unknown <= 0.5 * F.length("window"))).select(
+        "seq_id", (F.col("_w") * size).alias("start_pos"), (F.col("_w") * size + F.length("window")).alias("end_pos"), "window")
 
 
 def shape_fasta(records: DataFrame) -> DataFrame:

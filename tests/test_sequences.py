@@ -150,3 +150,16 @@ def test_fasta_chunks_over_many_file_blocks(spark, tmp_path):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_windows_of_any_chunk_grid(spark, tmp_path):
+    rng = random.Random(8)
+    own = {f"r{i}": "".join(rng.choice("ACGT" if rng.random() < 0.9 else "N" * 40) for _ in range(n)) for i, n in enumerate((1, 499, 500, 999, 1000, 1001, 2499, 2500, 70_001))}
+    own["n"] = "N" * 600 + "A" * 400 + "N" * 500 + "A" * 500
+    for i, names in enumerate((list(own)[:4], list(own)[4:])):
+        (tmp_path / f"f{i}.fa").write_text("".join(f">{n} of a file\n" + "\n".join(own[n][j : j + 61] for j in range(0, len(own[n]), 61)) + "\n" for n in names))
+    want = sorted((k, w, min(w + 1000, len(s)), s[w : w + 1000]) for k, s in own.items() for w in range(0, len(s), 1000)
+                  if len(s[w : w + 1000]) >= 500 and s[w : w + 1000].count("N") <= 0.5 * len(s[w : w + 1000]))
+    for size in (1 << 16, 1000, 700, 1536, 333):
+        got = readers.fasta_chunk_windows(readers.read_fasta_chunks(spark, str(tmp_path), size))
+        assert sorted(map(tuple, got.collect())) == want, size
