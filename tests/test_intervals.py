@@ -161,3 +161,23 @@ def test_region_query_is_complete_unless_paged(spark):
     assert region.region_query(layer, regions).count() == 50
     page = region.region_query(layer, regions, 10).collect()
     assert len(page) == 10 and {r["status"] for r in page} == {"truncated"}
+
+
+@pytest.mark.parametrize("order", ["distance", "symbol"])
+def test_nearest_within_brute_force(spark, order):
+    rng = random.Random(21)
+    feats = [(1, s, s + rng.choice([1, 3, 20, 400]), rng.choice(["a", "b", "c", "d"]) + str(rng.randrange(3))) for s in (rng.randrange(0, 6000) for _ in range(60))]
+    feats += [(1, 100, 5900, "long"), (1, 100, 5800, "alike"), (2, 10, 12, "z"), feats[0]]
+    asks = [(i, rng.choice([1, 1, 1, 2, 3]), rng.randrange(0, 6100)) for i in range(150)] + [(1000, 1, 100), (1001, 1, 100)]
+    frame_f = spark.createDataFrame([("b", *f) for f in feats], "build string, chr_id int, start_pos long, end_pos long, symbol string")
+    frame_p = spark.createDataFrame([(i, "b", c, p) for i, c, p in asks], "id long, build string, chr_id int, pos long")
+    for radius in (5, 60, 700):
+        want = {}
+        for i, c, p in asks:
+            near = [(abs(s - p), s, e, n) for k, s, e, n in feats if k == c and s < p + radius and e > p - radius]
+            best = min(near, key=lambda x: (x[3], *x) if order == "symbol" else x, default=None)
+            want[i] = best
+        got = nearest.nearest_within(frame_p, frame_f, ["id"], radius, order=order, symbol="symbol", chunk=256)
+        assert got.columns == ["id", "build", "chr_id", "pos", "b_start_pos", "b_end_pos", "b_symbol", "distance"]
+        assert {r["id"]: None if r["distance"] is None else (r["distance"], r["b_start_pos"], r["b_end_pos"], r["b_symbol"]) for r in got.collect()} == want
+        assert got.count() == len(asks)
