@@ -36,6 +36,11 @@ def write_tables(spark: SparkSession, path: str, rows: bool = True) -> str:
         [(1, "http://a/1", "<p>same</p>", "x"), (2, "http://a/2", "<p>same</p>", "x"), (2, "http://a/2", "<p>same</p>", "x"), (3, None, None, None), (4, "http://a/ b\r\n4", "", "x"), (None, "u", "<p>own</p>", None), (None, "u", "<p>same</p>", None), (5, "ü", "é" * 3000, "x")],
         "page_id long, url string, html string, digest string",
     )
-    for name, table in (("documents", df), ("labels", lab), ("benchmark", bench), ("pages", pages)):
+    rng = random.Random(3)
+    vectors = [(i, [rng.choice([rng.gauss(0, 0.2), -0.1, 0.25]) for _ in range(6)], rng.randrange(3), "x") for i in range(160)]
+    vectors += [(200, [0.1] * 6, 1, None), (250, [0.1] * 6, 1, "x"), (251, [0.1] * 6, 2, "x"), (252, [0.1] * 6, 1, "x"), vectors[50], vectors[7], (300, [0.0] * 6, 1, "x"), (350, [-0.3] * 6, 1, "x"), (301, [1e30, -1e30, 1.0, 1.0, 1.0, 1.0], 2, "x")]
+    vectors += [(400, None, 1, "x"), (401, [None, *[0.1] * 5], 1, "x"), (450, [float("nan"), *[0.1] * 5], 1, "x"), (451, [float("inf")] * 6, 1, "x"), (500, [0.2] * 6, None, "x"), (None, [0.2] * 6, 1, "x"), (550, [], 1, "x"), (551, [], 1, "x"), (552, [], 2, "x"), (600, [0.5, 0.5], 1, "x"), (601, [0.5, 0.4], 1, "x"), (602, [0.5, 0.1], 2, "x")]
+    emb = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int, score string")
+    for name, table in (("embeddings", emb), ("documents", df), ("labels", lab), ("benchmark", bench), ("pages", pages)):
         (table if rows else table.limit(0)).coalesce(2).write.mode("overwrite").parquet(f"{path}/{name}.parquet")
     return path

@@ -6,7 +6,7 @@ import corpus_pipeline
 from spanframe.llm import queries
 from tests.llm.tables import texts, write_tables
 
-PER_DOCUMENT = ("op1_", "op2_", "op4_", "op5_", "op6_", "op7_", "op10_")
+PER_DOCUMENT = ("op1_", "op2_", "op4_", "op5_", "op6_", "op7_", "op10_", "op13_")
 
 
 @pytest.fixture(scope="module")
