@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanframe.functions.coords import round_to as r
-from spanframe.operators import claims, effects, matrix, scan, similarity
+from spanframe.operators import claims, distance_corr, effects, matrix, scan, similarity
 from spanframe.plans.adapters import oracle
 from spanframe.plans.registry import query
 
@@ -125,6 +125,16 @@ def _(t):
     return matrix.distance_correlation(keyed, "curvature", "mean_b", "key", 500).withColumn("dcor", F.round("dcor", 6))
 
 
+@query("e12_distance_correlation_all", oracle("""
+SELECT 'curvature' AS x, 'mean_b' AS y, count(DISTINCT i) AS n, round(sqrt(greatest(0.0, avg(a * b) / sqrt(avg(a * a) * avg(b * b)))), 6) AS dcor FROM (
+  SELECT i, dx - avg(dx) OVER (PARTITION BY i) - avg(dx) OVER (PARTITION BY j) + avg(dx) OVER () AS a,
+         dy - avg(dy) OVER (PARTITION BY i) - avg(dy) OVER (PARTITION BY j) + avg(dy) OVER () AS b FROM (
+    SELECT p.k AS i, q.k AS j, abs(p.x - q.x) AS dx, abs(p.y - q.y) AS dy FROM s p CROSS JOIN s q))""", "windows", extra={"s": """
+  SELECT CAST(chr_id AS BIGINT) * 100000000 + start_pos AS k, curvature AS x, mean_b AS y FROM windows WHERE curvature IS NOT NULL AND mean_b IS NOT NULL"""}))
+def _(t):
+    return distance_corr.distance_correlation(t.windows, "curvature", "mean_b").withColumn("dcor", F.round("dcor", 6))
+
+
 BANDS = [(0.0, 4.8), (4.8, 5.2), (5.2, 100.0)]
 BAND_SQL = "CASE WHEN rate < 4.8 THEN 0 WHEN rate < 5.2 THEN 1 ELSE 2 END AS band"
 
