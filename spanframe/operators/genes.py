@@ -117,7 +117,10 @@ def profile_long(values: DataFrame) -> DataFrame:
     )
     spread = F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)
     usable = (F.col("_n") >= 2) & F.col("value").isNotNull()
-    return values.join(stats, "dimension").join(ranks, ["dimension", "value"], "left").select(
+    # Nulls have no rank and stay out of the join, where they would meet in one task.
+    known = values.where(F.col("value").isNotNull()).join(ranks, ["dimension", "value"])
+    every = known.unionByName(values.where(F.col("value").isNull()).withColumn("_p", F.lit(None).cast("double")), allowMissingColumns=True)
+    return every.join(stats, "dimension").select(
         "gene_id", "dimension", "value", F.when(usable, (F.col("value") - F.col("_m")) / spread).alias("z"),
         F.when(usable, F.col("_p")).alias("percentile"),
     )

@@ -41,15 +41,18 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), min_
 
 
 def spearman_matrix(df: DataFrame, cols: Sequence[str], key: str) -> DataFrame:
-    """Pearson matrix over mid-ranks; ``key`` identifies a row."""
-    base = df.select(key, *cols)
-    ranked = base
-    for c in cols:
-        # Ranks come from the base table each time, so the plan grows with the columns, not with their powers.
-        ranks = value_ranks(base, [], c)
-        rank = F.col("n_before") + (F.col("n_at") + 1) / 2.0
-        ranked = ranked.join(ranks.select(c, rank.alias(f"_k_{c}")), c, "left")
-    return corr_matrix(ranked.select(*[F.col(f"_k_{c}").alias(c) for c in cols]), cols)
+    """Pearson matrix over mid-ranks; ``key`` identifies a row.
+
+    All columns are ranked in one pass over (key, column, value) rows and turned back by one aggregation, so the plan does not grow with the columns. Nulls
+    have no rank and stay out of the join.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("_column"), F.col(c).cast("double").alias("_value")) for i, c in enumerate(cols)])
+    long = df.select(F.col(key).alias("_key"), F.inline(cells))
+    ranks = value_ranks(long, ["_column"], "_value").select("_column", "_value", (F.col("n_before") + (F.col("n_at") + 1) / 2.0).alias("_rank"))
+    known = long.where("_value IS NOT NULL").join(ranks, ["_column", "_value"]).select("_key", "_column", "_rank")
+    every = known.unionByName(long.where("_value IS NULL").select("_key", "_column", F.lit(None).cast("double").alias("_rank")))
+    wide = every.groupBy("_key").agg(*[F.max(F.when(F.col("_column") == i, F.col("_rank"))).alias(c) for i, c in enumerate(cols)])
+    return corr_matrix(wide.select(*cols), cols)
 
 
 def partial_corr(r: Column, rx: Column, ry: Column) -> Column:

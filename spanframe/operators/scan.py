@@ -61,13 +61,25 @@ def _combine(kind: str, local: Column, carry: Column) -> Column:
     return F.greatest(local, carry) if kind == "max" else F.least(local, carry)
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 64) -> DataFrame:
+#: Distinct values aimed at in a bucket of ranks; cut points known of a group (STRIDE squared), of which as many are used as its size asks for.
+BUCKET_VALUES, STRIDE = 4096, 32
+_SHARES = ", ".join(f"{i / STRIDE**2!r}D" for i in range(1, STRIDE**2))
+
+
+def _buckets_below(value: Column) -> Column:
+    """Number of ``_cuts`` under a value, by one look at every STRIDE-th cut and one at the cuts between two of those."""
+    coarse = F.size(F.filter("_coarse", lambda c: c < value))
+    return coarse * STRIDE + F.size(F.filter(F.slice("_cuts", coarse * STRIDE + 1, STRIDE), lambda c: c < value))
+
+
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int | None = None) -> DataFrame:
     """Distinct values with their frequency and the number of smaller values.
 
     Output: keys, value, ``n_at``, ``n_before``, ``n_total``, ``mean``. Repeated values
     collapse before any ordering, and ordering happens inside buckets of about
-    equal numbers of distinct values, whatever their distribution; bucket totals
-    (at most ``buckets`` rows per group) carry the offsets.
+    equal numbers of distinct values, whatever their distribution. A group has a bucket for
+    every BUCKET_VALUES distinct values (STRIDE ** 2 at most, or ``buckets``); prefix counts
+    per bucket carry the offsets.
     """
     keys = list(keys)
     group = keys or ["_all"]
@@ -75,14 +87,19 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 6
     if not keys:
         source = source.withColumn("_all", F.lit(0))
     counts = source.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n_at"))
+    known = STRIDE * STRIDE
     span = counts.groupBy(*group).agg(
-        F.percentile_approx(F.col(value).cast("double"), [i / buckets for i in range(1, buckets)], F.lit(20 * buckets)).alias("_cuts"),
-        F.sum("n_at").alias("n_total"), (F.sum(F.col(value).cast("double") * F.col("n_at")) / F.sum("n_at")).alias("mean"),
+        F.expr(f"percentile_approx(CAST(`{value}` AS DOUBLE), array({_SHARES}), {4 * known})").alias("_known"),
+        F.count(F.lit(1)).alias("_distinct"), F.sum("n_at").alias("n_total"), (F.sum(F.col(value).cast("double") * F.col("n_at")) / F.sum("n_at")).alias("mean"),
     )
+    wanted = F.lit(buckets) if buckets else F.ceil(F.col("_distinct") / BUCKET_VALUES)
+    wanted = F.least(F.lit(known), F.greatest(F.lit(1), wanted)).cast("int")
+    cut = F.transform(F.sequence(F.lit(1), wanted - 1), lambda i: F.element_at("_known", F.greatest(F.lit(1), F.floor(i * known / wanted).cast("int"))))
+    span = span.withColumn("_cuts", F.when(wanted > 1, cut).otherwise(F.slice("_known", 1, 0))).drop("_known", "_distinct")
+    span = span.withColumn("_coarse", F.filter("_cuts", lambda c, i: (i + 1) % STRIDE == 0))
     if not keys:
         span = F.broadcast(span)  # exactly one row
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    placed = counts.join(span, group).withColumn("_bucket", below).drop("_cuts")
+    placed = counts.join(span, group).withColumn("_bucket", _buckets_below(F.col(value))).drop("_cuts", "_coarse")
     sizes = placed.groupBy(*group, "_bucket").agg(F.sum("n_at").alias("_size"))
     earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).drop("_size")
@@ -111,7 +128,7 @@ def _attach_rank(df, value, out, keys, expression) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], buckets: int = 64, moments: bool = False
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], buckets: int | None = None, moments: bool = False
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one column per entry of ``probs``; with ``moments`` also n, mean, sd, min and max.
 

@@ -156,3 +156,64 @@ def test_rank_buckets_follow_the_values_not_their_range(spark):
     sizes = [sum(sum(c < v for c in cuts) == b for v in values) for b in range(16)]
     assert max(sizes) <= 2 * len(values) / 16
     assert scan.avg_rank(df, "v", "r").where("v is null and r is null").count() == 1
+
+
+def test_fisher_many_tables_equal_exact_fractions():
+    from fractions import Fraction
+
+    from spanframe.functions.pvalues import fisher_two_sided_many
+
+    rng = np.random.default_rng(2)
+    tables = np.vstack([rng.integers(0, 12, (600, 4)), rng.integers(0, 300, (120, 4)), [[0, 0, 0, 0], [5, 0, 0, 5], [1, 0, 0, 0], [10] * 4, [100] * 4, [7, 3, 3, 7], [0, 9, 0, 3]]])
+    for row, got in zip(tables.tolist(), fisher_two_sided_many(*tables.T)):
+        a, b, c, d = row
+        weights = [math.comb(a + b, k) * math.comb(c + d, a + c - k) for k in range(max(0, a - d), min(a + b, a + c) + 1)]
+        seen = math.comb(a + b, a) * math.comb(c + d, c)
+        assert got == pytest.approx(float(Fraction(sum(w for w in weights if w <= seen), sum(weights))), rel=1e-9), row
+
+
+def test_fisher_of_large_tables_does_not_walk_their_support():
+    from spanframe.functions.pvalues import fisher_two_sided_many
+
+    rng = np.random.default_rng(3)
+    row, column = rng.integers(1, 10**9, (2, 2000))
+    both = row * column // (2 * 10**9) + rng.integers(0, 3000, 2000)
+    p = fisher_two_sided_many(both, row - both, column - both, 2 * 10**9 - row - column + both)
+    assert ((p >= 0) & (p <= 1)).all() and len(np.unique(p)) > 500
+    assert fisher_two_sided(250_000, 250_000, 250_000, 250_000) == 1.0
+
+
+def test_rank_buckets_follow_the_number_of_values(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(g, rng.choice([rng.gauss(0, 1), float(rng.randrange(5))])) for g in "aab" for _ in range(3000)] + [("c", 1.0), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = {}
+    for g in "abc":
+        own = sorted(v for k, v in rows if k == g and v is not None)
+        for v in set(own):
+            want[g, v] = (own.count(v), sum(x < v for x in own) if len(own) < 10 else np.searchsorted(own, v), len(own))
+    for per_bucket in (4096, 300, 10):
+        monkeypatch.setattr(scan, "BUCKET_VALUES", per_bucket)
+        got = scan.value_ranks(df, ["g"], "v").collect()
+        assert {(r["g"], r["v"]): (r["n_at"], r["n_before"], r["n_total"]) for r in got} == want
+
+
+def test_spearman_matrix_is_one_pass(spark):
+    rng = np.random.default_rng(6)
+    values = rng.integers(0, 9, (80, 4)).astype(float)
+    values[:, 3] = values[:, 0] ** 3 + rng.normal(size=80) / 10
+    rows = [(i, *[None if (i + j) % 9 == 0 else float(v) for j, v in enumerate(row)]) for i, row in enumerate(values)] + [(99, None, None, None, None)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double, d double")
+    out = matrix.spearman_matrix(df, ["a", "b", "c", "d"], "k")
+    ranks = np.full((81, 4), np.nan)
+    for j in range(4):
+        own = np.array([np.nan if r[j + 1] is None else r[j + 1] for r in rows])
+        for i in np.flatnonzero(~np.isnan(own)):
+            ranks[i, j] = (own < own[i]).sum() + ((own == own[i]).sum() + 1) / 2
+        ranks[np.isnan(ranks[:, j]), j] = np.nanmean(ranks[:, j])
+    want = np.corrcoef(ranks.T)
+    for r in out.collect():
+        assert r["n"] == 81 and r["r"] == pytest.approx(want["abcd".index(r["x"]), "abcd".index(r["y"])], abs=1e-9)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    made = [line for line in plan.split("\n") if "Exchange " in line and "ReusedExchange" not in line]
+    assert len(made) < 20, len(made)
