@@ -160,6 +160,10 @@ def filtered(layer: DataFrame, spec: dict, allowed: Sequence[str] | None = None)
     return layer.where(field_predicate(spec.get("field", ""), spec["op"], spec.get("value"), fields))
 
 
+#: Layers that share one number of presence bits.
+WORD = 60
+
+
 def intersect_layers(layers: list[DataFrame], mode: str = "exact", levels: list[int] | None = None) -> DataFrame:
     """Intervals present in every (already filtered) layer.
 
@@ -167,8 +171,8 @@ def intersect_layers(layers: list[DataFrame], mode: str = "exact", levels: list[
     aggregation over the stacked layers. ``overlap`` keeps intervals of the
     first layer that touch at least one interval of each other layer.
     """
-    if not 1 <= len(layers) <= 10:
-        raise ValueError("between 1 and 10 layers")
+    if not layers:
+        raise ValueError("at least one layer")
     place = [*KEYS, "start_pos", "end_pos"]
     if mode == "overlap":
         out = layers[0].select(*place).distinct()
@@ -177,10 +181,13 @@ def intersect_layers(layers: list[DataFrame], mode: str = "exact", levels: list[
         return out
     stacked = None
     for i, layer in enumerate(layers):
-        part = layer.select(*place, F.lit(1 << i).alias("_bit"))
+        part = layer.select(*place, F.lit(i // WORD).alias("_word"), F.lit(1 << i % WORD).cast("long").alias("_bit"))
         stacked = part if stacked is None else stacked.unionByName(part)
-    full = (1 << len(layers)) - 1
-    return stacked.groupBy(*place).agg(F.bit_or("_bit").alias("_bits")).where(F.col("_bits") == full).drop("_bits")
+    words = range(-(-len(layers) // WORD))
+    seen = stacked.groupBy(*place).agg(*[F.bit_or(F.when(F.col("_word") == w, F.col("_bit")).otherwise(F.lit(0).cast("long"))).alias(f"_w{w}") for w in words])
+    for w in words:
+        seen = seen.where(F.col(f"_w{w}") == (1 << min(WORD, len(layers) - w * WORD)) - 1)
+    return seen.select(*place)
 
 
 def annotate_positions(

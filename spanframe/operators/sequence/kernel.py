@@ -124,6 +124,51 @@ def island_runs(width: int, least_gc: float, least_ratio: float):
     return fn
 
 
+def cpg_places(reach: int):
+    """Places of CG, with the share of G and C among ``reach`` bases on both sides: two lookups in prefix counts."""
+
+    def fn(p: Pieces):
+        at = p.core(2)
+        at = at[(p.code[at] == 1) & (p.code[at + 1] == 2)]
+        total = np.concatenate([[0], np.cumsum((p.code == 1) | (p.code == 2))])
+        piece = p.piece[at]
+        low, high = np.maximum(at - reach, p.begin[piece]), np.minimum(at + reach, p.end[piece])
+        return piece, {"pos": p.i[at], "gc_content": (total[high] - total[low]) / (high - low)}
+
+    return fn
+
+
+def skew_and_hairpins(width: int, step: int, stem: int, reach: int):
+    """Per whole piece: mean of |G - C| / (G + C) times the share of G over windows of ``width`` every ``step`` bases (those with G or C), and the
+    places whose ``stem`` bases have their reverse complement inside the next ``reach`` bases."""
+
+    def fn(p: Pieces):
+        count = len(p.begin)
+        g, c = (np.concatenate([[0], np.cumsum(p.code == b)]) for b in (2, 1))
+        at = np.flatnonzero((p.i % step == 0) & (p.i + width <= p.n[p.piece]))
+        gg, cc = g[at + width] - g[at], c[at + width] - c[at]
+        some = np.flatnonzero(gg + cc > 0)
+        at, gg, cc = at[some], gg[some], cc[some]
+        total = np.bincount(p.piece[at], np.abs((gg - cc) / (gg + cc)) * (gg / width), count)
+        number = np.bincount(p.piece[at], minlength=count)
+        code = p.ahead(p.code, 4).astype(np.int64)
+        forward, back = np.zeros(len(p.code), np.int64), np.zeros(len(p.code), np.int64)
+        for k in range(stem):
+            own = code[k : k + len(p.code)]
+            forward = forward * 5 + own
+            back = back + np.where(own < 4, 3 - own, 4) * 5**k
+        found, left = np.zeros(len(p.code), bool), p.n[p.piece] - p.i
+        for d in range(stem, reach + 1):
+            hit = np.zeros(len(p.code), bool)
+            hit[: len(p.code) - d] = forward[d:] == back[: len(p.code) - d]
+            found |= hit & (d + stem <= left)
+        found &= left >= 2 * stem + 2
+        pairs = np.bincount(p.piece[found], minlength=count)
+        return np.arange(count), {"rloop": total / np.maximum(number, 1), "hairpins": pairs.astype(np.int64)}
+
+    return fn
+
+
 def canonical_kmers(k: int):
     """Places of k-mers of known bases: code of the smaller strand (two bits a base) and whether it is the forward one.
 

@@ -165,17 +165,9 @@ def kmer_repeats(df: DataFrame, k: int = K.FLAG_KMER, size: int = CHUNK) -> Data
 
 
 def cpg_sites(df: DataFrame, reach: int = 500, size: int = CHUNK) -> DataFrame:
-    """Every CG with the GC fraction of ``reach`` bases on both sides, clipped at the ends.
-
-    The neighbourhood is sliced from the chunk only at CG positions.
-    """
-    cut = bases(chunks(df.select("seq_id", "sequence"), reach, reach, size))
-    own = cut.where((F.col("i") >= F.col("core_start")) & (F.col("i") < F.col("core_end"))).where(at(0, 2) == "CG")
-    low = F.greatest(F.lit(0), F.col("i") - reach)
-    high = F.least(F.col("n"), F.col("i") + reach)
-    around = F.substring("_bytes", F.col("_o") + 1 - (F.col("i") - low), high - low).cast("string")
-    near = own.select("seq_id", F.col("i").alias("pos"), around.alias("_near"))
-    return near.select("seq_id", "pos", (gc_count(F.col("_near")) / F.length("_near")).alias("gc_content"))
+    """Every CG with the GC fraction of ``reach`` bases on both sides, clipped at the ends: prefix counts inside a chunk and its halo."""
+    pieces = chunks(df.select("seq_id", "sequence"), reach, reach, size)
+    return kernel.scan(pieces, kernel.cpg_places(reach), "pos long, gc_content double")
 
 
 def cpg_islands(df: DataFrame, merge_gap: int = 0, retest: bool = False, size: int = CHUNK) -> DataFrame:
@@ -232,44 +224,19 @@ def _slice_counts(regions: DataFrame, sequences: DataFrame, size: int) -> DataFr
 
 def nonb_density(df: DataFrame, size: int = 1000) -> DataFrame:
     """Non-B structures per kb for every window of each sequence."""
-    wins = known_windows(df, size).withColumn("_raw", F.col("window").cast("binary"))
     seq = F.col("window")
     kb = F.length(seq) / 1000.0
     g4 = F.regexp_count(seq, F.lit(G4)) + F.regexp_count(seq, F.lit(C4))
     triplex = reduce(add, [F.regexp_count(seq, F.lit(p)) for p in TRIPLEX])
-    # R-loop score: mean |skew| times G density over 50-bp windows every 25 bp.
-    step_starts = F.sequence(F.lit(0), F.length(seq) - 50, F.lit(25))
-    local = F.transform(
-        step_starts,
-        lambda s: F.struct(
-            base_count(F.substring("_raw", s + 1, F.lit(50)).cast("string"), "G").alias("g"),
-            base_count(F.substring("_raw", s + 1, F.lit(50)).cast("string"), "C").alias("c"),
-        ),
-    )
-    scored = F.transform(
-        F.filter(local, lambda w: w["g"] + w["c"] > 0),
-        lambda w: F.abs((w["g"] - w["c"]) / (w["g"] + w["c"])) * (w["g"] / 50.0),
-    )
-    sums = F.aggregate(F.col("_rl"), F.lit(0.0), lambda a, x: a + x)
-    stem, reach = 6, 14
-    places = F.sequence(F.lit(0), F.length(seq) - 2 * stem - 2)
-    hairpins = F.size(
-        F.filter(
-            places,
-            lambda s: F.instr(
-                F.substring("_raw", s + 1 + stem, F.lit(reach)).cast("string"),
-                reverse_complement(F.substring("_raw", s + 1, F.lit(stem)).cast("string")),
-            ) > 0,
-        )
-    )
-    staged = wins.repartition("seq_id", "start_pos").select(
-        "seq_id", "start_pos", "end_pos", (g4 / kb).alias("g4"),
-        (F.regexp_count(seq, F.lit(ALTERNATING_12)) / kb).alias("zdna"), (hairpins / kb).alias("cruciform"),
-        (triplex / kb).alias("triplex"), scored.alias("_rl"),
-    ).withColumn("rloop", sums / F.greatest(F.size("_rl"), F.lit(1)))
-    return staged.withColumn(
-        "total", F.col("g4") + F.col("zdna") + F.col("cruciform") + F.col("rloop") + F.col("triplex")
-    ).drop("_rl")
+    # R-loop score over 50-bp windows every 25 bp; hairpins with a stem of six and a partner within the next 14 bases.
+    n = F.length(seq)
+    pieces = known_windows(df, size).repartition("seq_id", "start_pos").select(
+        "seq_id", "start_pos", "end_pos", (g4 / kb).alias("g4"), (F.regexp_count(seq, F.lit(ALTERNATING_12)) / kb).alias("zdna"), (triplex / kb).alias("triplex"),
+        kb.alias("_kb"), seq.alias("piece"), n.alias("n"), F.lit(0).alias("core_start"), n.alias("core_end"), F.lit(0).alias("piece_start"))
+    counted = kernel.scan(pieces, kernel.skew_and_hairpins(50, 25, 6, 14), "rloop double, hairpins long", "start_pos", "end_pos", "g4", "zdna", "triplex", "_kb")
+    out = counted.withColumn("cruciform", F.col("hairpins") / F.col("_kb"))
+    total = F.col("g4") + F.col("zdna") + F.col("cruciform") + F.col("rloop") + F.col("triplex")
+    return out.select("seq_id", "start_pos", "end_pos", "g4", "zdna", "cruciform", "triplex", "rloop", total.alias("total"))
 
 
 def pwm_log_odds(matrix: list[list[float]]) -> list[list[float]]:

@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import __spark_entry__ as entry
 
 
@@ -8,3 +12,10 @@ def test_entry_runs(spark):
 def test_every_text_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 180
+
+
+def test_core_queries_stay_where_a_library_of_the_others_is_missing():
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(n.startswith('op') for n in e.queries()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(entry.__file__).parent, capture_output=True, text=True, check=True)
+    n, texts, others = done.stdout.split()
+    assert int(n) > 180 and int(texts) > 180 and others == "False"

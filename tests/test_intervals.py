@@ -181,3 +181,10 @@ def test_nearest_within_brute_force(spark, order):
         assert got.columns == ["id", "build", "chr_id", "pos", "b_start_pos", "b_end_pos", "b_symbol", "distance"]
         assert {r["id"]: None if r["distance"] is None else (r["distance"], r["b_start_pos"], r["b_end_pos"], r["b_symbol"]) for r in got.collect()} == want
         assert got.count() == len(asks)
+
+
+def test_any_number_of_layers_intersect(spark):
+    layers = [frame(spark, [(1, 0, 10), (1, 20, 30), (1, 20, 30), *([(1, 5, 6)] if i % 70 else [])]) for i in range(130)]
+    assert sorted(tuple(r)[2:] for r in region.intersect_layers(layers[:11]).collect()) == [(0, 10), (20, 30)]
+    assert sorted(tuple(r)[2:] for r in region.intersect_layers(layers).collect()) == [(0, 10), (20, 30)]
+    assert sorted(tuple(r)[2:] for r in region.intersect_layers(layers[1:70]).collect()) == [(0, 10), (5, 6), (20, 30)]
