@@ -224,17 +224,13 @@ def _slice_counts(regions: DataFrame, sequences: DataFrame, size: int) -> DataFr
 
 def nonb_density(df: DataFrame, size: int = 1000) -> DataFrame:
     """Non-B structures per kb for every window of each sequence."""
-    seq = F.col("window")
-    kb = F.length(seq) / 1000.0
-    g4 = F.regexp_count(seq, F.lit(G4)) + F.regexp_count(seq, F.lit(C4))
-    triplex = reduce(add, [F.regexp_count(seq, F.lit(p)) for p in TRIPLEX])
-    # R-loop score over 50-bp windows every 25 bp; hairpins with a stem of six and a partner within the next 14 bases.
-    n = F.length(seq)
+    n = F.length("window")
     pieces = known_windows(df, size).repartition("seq_id", "start_pos").select(
-        "seq_id", "start_pos", "end_pos", (g4 / kb).alias("g4"), (F.regexp_count(seq, F.lit(ALTERNATING_12)) / kb).alias("zdna"), (triplex / kb).alias("triplex"),
-        kb.alias("_kb"), seq.alias("piece"), n.alias("n"), F.lit(0).alias("core_start"), n.alias("core_end"), F.lit(0).alias("piece_start"))
-    counted = kernel.scan(pieces, kernel.skew_and_hairpins(50, 25, 6, 14), "rloop double, hairpins long", "start_pos", "end_pos", "g4", "zdna", "triplex", "_kb")
-    out = counted.withColumn("cruciform", F.col("hairpins") / F.col("_kb"))
+        "seq_id", "start_pos", "end_pos", F.col("window").alias("piece"), n.alias("n"), F.lit(0).alias("core_start"), n.alias("core_end"), F.lit(0).alias("piece_start"))
+    # R-loop score over 50-bp windows every 25 bp; hairpins with a stem of six and a partner within the next 14 bases.
+    counted = kernel.scan(pieces, runs.structure_counts(12, 15, kernel.skew_and_hairpins(50, 25, 6, 14)), "g4 long, zdna long, triplex long, rloop double, hairpins long", "start_pos", "end_pos")
+    kb = (F.col("end_pos") - F.col("start_pos")) / 1000.0
+    out = counted.withColumns({"cruciform": F.col("hairpins") / kb, **{c: F.col(c) / kb for c in ("g4", "zdna", "triplex")}})
     total = F.col("g4") + F.col("zdna") + F.col("cruciform") + F.col("rloop") + F.col("triplex")
     return out.select("seq_id", "start_pos", "end_pos", "g4", "zdna", "cruciform", "triplex", "rloop", total.alias("total"))
 

@@ -231,3 +231,43 @@ def island_openings(width: int, step: int, least_gc: float, least_ratio: float):
         return which, {"opens": count.astype(np.int64)}
 
     return fn
+
+
+def _cluster_matches(p: kernel.Pieces, base: int, find) -> np.ndarray:
+    """Matches of a quadruplex pattern of one base in each whole piece: only clusters of its runs, long enough, are searched."""
+    own = p.ahead(p.code == base, False)
+    triple = own[: len(p.code)] & own[1 : len(p.code) + 1] & own[2 : len(p.code) + 2] & (p.i + 2 < p.n[p.piece])
+    mark = triple.copy()
+    mark[1:] |= triple[:-1]
+    mark[2:] |= triple[:-2]
+    at = np.flatnonzero(mark)
+    out = np.zeros(len(p.begin), np.int64)
+    if not len(at):
+        return out
+    cut = np.flatnonzero((np.diff(at) > LOOP + 1) | (np.diff(p.piece[at]) > 0))
+    first, last = at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)] + 1
+    data = p.data.tobytes()
+    for i in np.flatnonzero(last - first >= SHORTEST_G4).tolist():
+        out[p.piece[first[i]]] += sum(1 for _ in find(data[first[i] : last[i]]))
+    return out
+
+
+def structure_counts(alternating: int, single: int, hairpins):
+    """Kernel: per whole piece, quadruplexes of either strand, alternating runs and runs of one base class of some length, beside what ``hairpins`` gives."""
+    finds = [(2, re.compile(G4.encode()).finditer), (1, re.compile(G4.replace("G", "C").encode()).finditer)]
+
+    def fn(p: kernel.Pieces):
+        which, made = hairpins(p)
+        own = _PURINE[p.code]
+        same_class = np.zeros(len(own), bool)
+        same_class[1:] = (own[1:] == own[:-1]) & (own[1:] < 2)
+        same_class[p.begin[p.begin < len(own)]] = False
+
+        def long_runs(link: np.ndarray, least: int) -> np.ndarray:
+            a, b = _stretches(link, p.piece)
+            return np.bincount(p.piece[a[b - a + 1 >= least]], minlength=len(p.begin)).astype(np.int64)
+
+        counts = {"g4": sum(_cluster_matches(p, base, find) for base, find in finds), "zdna": long_runs(_links(p, "alternating"), alternating), "triplex": long_runs(same_class, single)}
+        return which, counts | made
+
+    return fn

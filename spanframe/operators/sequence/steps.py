@@ -18,6 +18,11 @@ CHUNK = 8192
 BLOCK = 1 << 20
 
 
+def _bytes(sequence: Column) -> Column:
+    """Bytes of the normal form, none for a null: a column that is never null gives the optimizer no null filter to compute beforehand."""
+    return F.coalesce(normalise(sequence), F.lit("")).cast("binary")
+
+
 def chunks(
     df: DataFrame, left: int = 0, right: int = 0, size: int = CHUNK, sequence: str = "sequence", spread: bool = True
 ) -> DataFrame:
@@ -30,11 +35,11 @@ def chunks(
         return halo_pieces(df, left, right, sequence)
     keep = [c for c in df.columns if c != sequence]
     n = F.col("n")
-    raw = df.where(F.length(sequence) > 0).select(
-        *keep, normalise(F.col(sequence)).cast("binary").alias("_raw")
-    ).withColumn("n", F.length("_raw"))
+    raw = df.select(*keep, _bytes(F.col(sequence)).alias("_raw")).withColumn("n", F.length("_raw"))
     halo = left + right
-    blocks = raw.withColumn("_b", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))))
+    # Empty sequences drop out behind the explode: a filter on the text would be pushed below a shuffle of the rows, and the text computed twice.
+    starts = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")))
+    blocks = raw.withColumn("_b", F.explode_outer(starts)).where("_b IS NOT NULL")
     low = F.greatest(F.lit(0), F.col("_b") * BLOCK - left)
     blocks = blocks.withColumn("_lo", low).withColumn(
         "_blk", F.substring("_raw", F.col("_lo") + 1, F.lit(BLOCK + halo + left))
@@ -139,8 +144,8 @@ def fixed_windows(df: DataFrame, size: int, step: int | None = None, min_length:
     """Windows of each sequence, the last one truncated: (seq_id, start_pos, end_pos, window)."""
     step = step or size
     n = F.length("_raw")
-    raw = df.where(F.length("sequence") > 0).select("seq_id", normalise(F.col("sequence")).cast("binary").alias("_raw"))
-    starts = raw.withColumn("start_pos", F.explode(F.sequence(F.lit(0), n - 1, F.lit(step))))
+    raw = df.select("seq_id", _bytes(F.col("sequence")).alias("_raw"))
+    starts = raw.withColumn("start_pos", F.explode_outer(F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))))).where("start_pos IS NOT NULL")
     out = starts.select(
         "seq_id", "start_pos", F.least(F.col("start_pos") + size, n).alias("end_pos"),
         F.substring("_raw", F.col("start_pos") + 1, F.lit(size)).cast("string").alias("window"),

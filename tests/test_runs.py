@@ -80,3 +80,34 @@ def test_a_long_sequence_runs_in_several_tasks(spark):
     out = runs.base_runs(df, "same", 8)
     assert out.count() > 50_000
     assert runs.tandem_runs(df, 20).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_structures_of_windows(spark, sequences):
+    rng = random.Random(5)
+    own = {k: s * 3 for k, s in sequences.items() if len(s) > 200} | {"x": "".join(rng.choice("ACGGGT") for _ in range(3200)), "y": "AGGAGGAAGAGAAGGAAG" * 60 + "CTTCCTCTCTCCTTTCN" * 40}
+    df = spark.createDataFrame(list(own.items()), "seq_id string, sequence string")
+    got = {(r["seq_id"], r["start_pos"]): r for r in motifs.nonb_density(df).collect()}
+    flip = str.maketrans("ACGT", "TGCA")
+    for k, s in own.items():
+        for at in range(0, len(s), 1000):
+            w = s[at : at + 1000]
+            if len(w) < 500 or w.count("N") > len(w) / 2:
+                assert (k, at) not in got
+                continue
+            row, kb = got.pop((k, at)), len(w) / 1000
+            n = lambda *patterns: sum(len(re.findall(p, w)) for p in patterns) / kb  # noqa: B023,E731
+            assert row["g4"] == pytest.approx(n(motifs.G4, motifs.C4)) and row["zdna"] == pytest.approx(n(motifs.ALTERNATING_12)) and row["triplex"] == pytest.approx(n(*motifs.TRIPLEX))
+            stems = sum(w[i : i + 6][::-1].translate(flip) in w[i + 6 : i + 20] for i in range(len(w) - 13))
+            assert row["cruciform"] == pytest.approx(stems / kb)
+            parts = [(w[i : i + 50].count("G"), w[i : i + 50].count("C")) for i in range(0, len(w) - 49, 25)]
+            scores = [abs(g - c) / (g + c) * g / 50 for g, c in parts if g + c]
+            assert row["rloop"] == pytest.approx(sum(scores) / max(1, len(scores)))
+    assert not got
+
+
+def test_sites_of_any_chunk_size(spark, sequences):
+    df = spark.createDataFrame(list(sequences.items()), "seq_id string, sequence string")
+    want = sorted((k, i, sum(b in "GC" for b in s[max(0, i - 50) : i + 50]) / len(s[max(0, i - 50) : i + 50])) for k, s in sequences.items() for i in range(len(s) - 1) if s[i : i + 2] == "CG")
+    for size in (8192, 64, 10):
+        got = sorted((r["seq_id"], r["pos"], r["gc_content"]) for r in motifs.cpg_sites(df, 50, size).collect())
+        assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want])
