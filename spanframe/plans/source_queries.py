@@ -365,3 +365,45 @@ def _(t):
     raw = lines(t, t.intervals_b, ["'585'", CHR, "start_pos", "end_pos", "'n'", "'0'", "'+'", CHR, "start_pos + 5000", "end_pos + 5000", *fill, "'0.5'", "'x'", "'0.1'"])
     found = readers.read(t.spark, folder(t, "pairs", raw), "pair_events")
     return found.select("chr_id", "start_pos", "end_pos", "other_chr_id", "other_start", "other_end", "frac_match")
+
+
+#: Headers of a gene-keyed table's file and the text of its fields; every third gene has NA in its numbers.
+GENE_FILES = {
+    "constraint": {"gene": "symbol", "transcript": "concat('T', size)", "pLI": "price / 4096", "oe_lof_upper": "size / 8", "mis_z": "-size", "syn_z": "size % 7"},
+    "costs": {"gene": "symbol", "ecpa_b20": "price", "cai": "size / 64", "mean_tpm": "size * 2", "protein_length": "price + size"},
+    "properties": {"gene": "symbol", "pI": "size / 4", "instability_index": "price / 2", "aliphatic_index": "size + 0.5", "gravy": "-size / 16"},
+    "dnds": {"gene": "symbol", "ensembl_id": "gene_id", "dN": "size / 128", "dS": "size / 32", "omega": "0.25"},
+}
+
+
+def _gene_file(t, kind: str):
+    """A folder with a headered file of a gene-keyed table, read back by its reader."""
+    fields = GENE_FILES[kind]
+    text = [src for src in readers.GENE_TABLES[kind][0].values()]
+    cells = [F.expr(f"CAST({e} AS STRING)") if h in text else F.expr(f"CASE WHEN size % 3 = 0 THEN 'NA' ELSE CAST(CAST({e} AS DOUBLE) AS STRING) END") for h, e in fields.items()]
+    path = scratch_dir(t.spark, kind)
+    t.genes.select(*[c.alias(h) for c, h in zip(cells, fields)]).write.csv(path, sep="\t", header=True)
+    return readers.read_gene_table(t.spark, path, kind)
+
+
+def _gene_sql(kind: str) -> str:
+    text, numbers = readers.GENE_TABLES[kind]
+    parts = [f"{GENE_FILES[kind][src]} AS {dst}" for dst, src in text.items()]
+    parts += [f"CASE WHEN size % 3 > 0 THEN CAST({GENE_FILES[kind][src].replace('size /', 'CAST(size AS DOUBLE) /')} AS DOUBLE) END AS {dst}" for dst, src in numbers.items()]
+    return f"SELECT {', '.join(parts)} FROM genes"
+
+
+for _kind in GENE_FILES:
+    query(f"s10_{_kind}_files", oracle(_gene_sql(_kind), "genes"))(lambda t, kind=_kind: _gene_file(t, kind))
+
+
+@query("s13_tissue_atlas_files", oracle("""
+SELECT gene_id, symbol AS gene_symbol, tissue, 'cell ' || tissue AS cell_type, CASE WHEN size % 2 = 0 THEN 'High' ELSE 'Low' END AS level,
+  CASE WHEN size % 5 > 0 THEN 'Approved' END AS reliability FROM (SELECT *, unnest(['liver', 'lung']) AS tissue FROM genes)""", "genes"))
+def _(t):
+    cells = {"Gene": "gene_id", "Gene name": "symbol", "Tissue": "tissue", "Cell type": "concat('cell ', tissue)", "Level": "CASE WHEN size % 2 = 0 THEN 'High' ELSE 'Low' END",
+             "Reliability": "CASE WHEN size % 5 = 0 THEN 'NA' ELSE 'Approved' END"}
+    path = scratch_dir(t.spark, "atlas")
+    long = t.genes.withColumn("tissue", F.explode(F.array(F.lit("liver"), F.lit("lung"))))
+    long.select(*[F.expr(e).alias(h) for h, e in cells.items()]).write.csv(path, sep="\t", header=True)
+    return readers.shape_protein_atlas(readers.read_table(t.spark, path), "tissue")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanframe.functions import constants as K
 from spanframe.functions.coords import bin_start
 from spanframe.functions.coords import round_to as r
 from spanframe.operators import genes as gn
@@ -219,6 +220,35 @@ def _(t):
     return gn.gene_report(t.genes.where("klass = 'Brand#7'"), table, order=[F.col("tpm").desc(), "tissue"])
 
 
+def _reports(t):
+    """Gene tables of other kinds, keyed by symbol: constraint, cost, pathways, sets, abundance by organ, atlas."""
+    g = t.genes
+    some = lambda **c: g.select("symbol", *[F.expr(e).alias(n) for n, e in c.items()])
+    return {
+        "constraint": some(name="'loeuf'", value="CAST(size AS DOUBLE) / 8"), "cost": some(name="'ecpa'", value="price"),
+        "pathways": some(name="explode(array(concat('P', size), concat('Q', size % 3)))", value="CAST(NULL AS DOUBLE)"), "sets": some(name="klass", value="CAST(NULL AS DOUBLE)"),
+        "abundance": attach_report(t), "atlas": some(name="explode(array('nucleus', 'cytosol'))", value="CAST(size % 4 AS DOUBLE)"),
+    }
+
+
+def attach_report(t):
+    return gn.attach_gene_coordinates(t.gene_tpm, t.genes).select("symbol", F.col("tissue").alias("name"), F.col("tpm").alias("value"))
+
+
+@query("f20_gene_reports", oracle("""
+SELECT kind, symbol, name, value FROM (
+  SELECT 'constraint' AS kind, symbol, 'loeuf' AS name, CAST(size AS DOUBLE) / 8 AS value FROM g UNION ALL SELECT 'cost', symbol, 'ecpa', price FROM g
+  UNION ALL SELECT 'pathways', symbol, unnest(['P' || size, 'Q' || (size % 3)]), NULL FROM g UNION ALL SELECT 'sets', symbol, klass, NULL FROM g
+  UNION ALL SELECT 'abundance', symbol, x.tissue, x.tpm FROM g JOIN gene_tpm x ON x.gene_id = split_part(g.gene_id, '.', 1)
+  UNION ALL SELECT 'atlas', symbol, unnest(['nucleus', 'cytosol']), CAST(size % 4 AS DOUBLE) FROM g)""", "genes", "gene_tpm", extra={"g": "SELECT * FROM genes WHERE klass = 'Brand#7'"}))
+def _(t):
+    asked, out = t.genes.where("klass = 'Brand#7'"), None
+    for kind, table in _reports(t).items():
+        part = gn.gene_report(asked, table, order=[F.col("value").desc_nulls_last(), "name"]).select(F.lit(kind).alias("kind"), "symbol", "name", "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("a31_tissue_specificity", oracle("""
 SELECT gene_id, round(CASE WHEN max(tpm) > 0 THEN (count(*) - sum(tpm) / max(tpm)) / (count(*) - 1) END, 6) + 0.0 AS tau,
   round(log2(quantile_cont(tpm, 0.5) + 1), 6) AS log_median_tpm, round(log2(list_avg(list_sort(list(tpm), 'DESC')[1:3]) + 1), 6) AS log_robust_max_tpm,
@@ -568,6 +598,37 @@ def _(t):
     return out.select("seq_id", "n_cg", F.round(F.col("n_cg") * F.col("delta_g_37"), 6).alias("energy"))
 
 
+@query("f21_dinucleotide_lookup", oracle(f"""
+SELECT seq_id, p.property, round(CAST(sum(c * p.value) AS DOUBLE) / 100.0 / sum(c), 8) + 0.0 AS mean_value FROM (
+  SELECT seq_id, d, count(*) AS c FROM (SELECT seq_id, substring(sequence, i, 2) AS d FROM (SELECT seq_id, sequence, unnest(range(1, length(sequence))) AS i FROM sequences)) GROUP BY 1, 2) n
+JOIN (VALUES {', '.join(f"('{name}', '{d}', {round(table[d] * 100)})" for name, table in K.STEP_PROPERTIES.items() if name in ('roll', 'twist', 'z_form') for d in K.DINUCLEOTIDES)}) p(property, d, value)
+  ON p.d = n.d GROUP BY 1, 2""", "sequences"))
+def _(t):
+    from spanframe.functions.seqexpr import with_step_counts
+
+    wanted = reference.dinucleotide_properties(t.spark).where("property IN ('roll', 'twist', 'z_form')")
+    counted = with_step_counts(t.sequences.select("seq_id", "sequence"))
+    long = counted.select("seq_id", F.inline(F.array(*[F.struct(F.lit(d).alias("dinucleotide"), F.col(f"c_{d}").alias("c")) for d in K.DINUCLEOTIDES]))).where("c > 0")
+    joined = long.join(F.broadcast(wanted), "dinucleotide")  # 48 rows looked up
+    return joined.groupBy("seq_id", "property").agg((F.round(F.sum(F.col("c") * F.round(F.col("value") * 100).cast("long")) / 100.0 / F.sum("c"), 8) + F.lit(0.0)).alias("mean_value"))  # whole hundredths: exact sums
+
+
+@query("f21_amino_acid_lookup", oracle(f"""
+SELECT seq_id, count(*) AS n_residues, round(CAST(sum(h) AS DOUBLE) / 100.0 / count(*), 5) + 0.0 AS mean_hydropathy, CAST(sum(m) AS DOUBLE) / 100.0 AS total_mass FROM (
+  SELECT doc_id AS seq_id, unnest(string_split(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '')) AS letter FROM documents WHERE text IS NOT NULL) x
+JOIN (VALUES {', '.join(f"('{a[0]}', {round(a[6] * 100)}, {round(a[3] * 100)})" for a in K.AMINO_ACIDS)}) p(letter, h, m) USING (letter) GROUP BY 1"""))
+def _(t):
+    whole = lambda c: F.round(F.col(c) * 100).cast("long").alias(c)  # noqa: E731  whole hundredths: exact sums
+    table = reference.amino_acids(t.spark).select("letter", whole("hydropathy"), whole("mass"))
+    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
+    counts = [F.struct(F.lit(a[0]).alias("letter"), (F.length("_s") - F.length(F.replace(F.col("_s"), F.lit(a[0]), F.lit("")))).cast("long").alias("c")) for a in K.AMINO_ACIDS]
+    long = t.documents.where("text IS NOT NULL").select(F.col("doc_id").alias("seq_id"), letters.alias("_s")).select("seq_id", F.inline(F.array(*counts))).where("c > 0")
+    joined = long.join(F.broadcast(table), "letter")  # one row for each amino acid
+    n = F.sum("c")
+    return joined.groupBy("seq_id").agg(n.alias("n_residues"), (F.round(F.sum(F.col("c") * F.col("hydropathy")) / 100.0 / n, 5) + F.lit(0.0)).alias("mean_hydropathy"),
+        (F.sum(F.col("c") * F.col("mass")) / 100.0).alias("total_mass"))
+
+
 @query("f18_binned_probe_windows", oracle("""
 SELECT chr_id, pos // 10000 * 10000 AS bin_start, count(*) AS n FROM probes GROUP BY 1, 2""", "probes"))
 def _(t):
