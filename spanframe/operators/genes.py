@@ -104,6 +104,31 @@ def intrinsic_profile(genes: DataFrame, windows: DataFrame, value: str, levels=N
     return genes.select("gene_id").join(means, "gene_id", "left")
 
 
+def _by_symbol(table: DataFrame, *columns) -> DataFrame:
+    """One row per upper-case symbol (the largest values, where a symbol repeats); rows without a symbol are left out."""
+    return table.where("symbol IS NOT NULL").groupBy(F.upper("symbol").alias("_u")).agg(*columns)
+
+
+def intrinsic_layer(genes: DataFrame, windows: DataFrame, constraint: DataFrame, gc: str = "gc", levels=None) -> DataFrame:
+    """Intrinsic layer of the profile: constraint by symbol, mean GC of the windows a gene touches, log2 length in kb; null where unknown."""
+    body = intrinsic_profile(genes, windows, gc, levels).withColumnRenamed("mean_" + gc, "gc_body")
+    known = _by_symbol(constraint, F.max("loeuf").alias("loeuf"), F.max("mis_z").alias("mis_z"))
+    length = F.col("end_pos") - F.col("start_pos")
+    named = genes.select("gene_id", F.upper("symbol").alias("_u"), F.when(length > 0, F.log2(length / 1000.0)).alias("gene_length_log_kb"))
+    # Genes without a symbol match nothing; a key of their own keeps them apart in the join.
+    keyed = named.withColumn("_u", F.coalesce("_u", F.concat(F.lit("\u0000"), F.col("gene_id").cast("string"))))
+    return keyed.join(known, "_u", "left").drop("_u").join(body, "gene_id", "left").select("gene_id", "loeuf", "mis_z", "gc_body", "gene_length_log_kb")
+
+
+def protein_profile(genes: DataFrame, abundance: DataFrame, costs: DataFrame) -> DataFrame:
+    """Protein layer of the profile, by symbol: log2 of the largest abundance (ppm) plus one, share of expensive residues, energy cost per residue; null where unknown."""
+    most = _by_symbol(abundance, F.log2(F.coalesce(F.max("abundance_ppm"), F.lit(0.0)) + 1).alias("log_max_ppm"))
+    share = F.coalesce("frac_expensive", F.lit(0.0)) + F.coalesce("frac_very_expensive", F.lit(0.0))
+    cost = _by_symbol(costs, F.max(share).alias("frac_expensive_aa"), F.max("ecpa_b20").alias("ecpa_b20"))
+    named = genes.select("gene_id", F.coalesce(F.upper("symbol"), F.concat(F.lit("\u0000"), F.col("gene_id").cast("string"))).alias("_u"))
+    return named.join(most, "_u", "left").join(cost, "_u", "left").select("gene_id", "log_max_ppm", "frac_expensive_aa", "ecpa_b20")
+
+
 def profile_long(values: DataFrame) -> DataFrame:
     """z-score (sample sd, sd 0 as 1) and percentile per dimension of long (gene_id, dimension, value).
 

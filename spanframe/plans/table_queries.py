@@ -279,6 +279,29 @@ ZS = """SELECT gene_id, tissue AS dimension, tpm, (tpm - avg(tpm) OVER w) / CASE
   cume_dist() OVER (PARTITION BY tissue ORDER BY tpm) * 100 AS pct FROM gene_tpm WINDOW w AS (PARTITION BY tissue)"""
 
 
+@query("a33_intrinsic_layer", oracle("""
+SELECT g.gene_id, CASE WHEN g.size % 3 > 0 THEN CAST(g.size AS DOUBLE) / 8 END AS loeuf, CASE WHEN g.size % 3 > 0 THEN CAST(-g.size AS DOUBLE) END AS mis_z, round(m.v, 6) AS gc_body,
+  round(log2((g.end_pos - g.start_pos) / 1000.0), 6) AS gene_length_log_kb
+FROM genes g LEFT JOIN (SELECT k.gene_id, avg(w.curvature) AS v FROM genes k JOIN windows w ON k.chr_id = w.chr_id AND k.start_pos < w.end_pos AND w.start_pos < k.end_pos GROUP BY 1) m
+  ON m.gene_id = g.gene_id""", "genes", "windows"))
+def _(t):
+    constraint = t.genes.where("size % 3 > 0").select(F.lower("symbol").alias("symbol"), (F.col("size") / 8.0).alias("loeuf"), (-F.col("size")).cast("double").alias("mis_z"))
+    windows = t.windows.select(*KEYS, "start_pos", "end_pos", F.col("curvature").alias("gc"))
+    out = gn.intrinsic_layer(t.genes, windows, constraint, "gc", [8192])
+    return out.withColumns({"gc_body": F.round("gc_body", 6), "gene_length_log_kb": F.round("gene_length_log_kb", 6)})
+
+
+@query("a33_protein_profile", oracle("""
+SELECT g.gene_id, round(log2(m.v + 1), 6) AS log_max_ppm, CASE WHEN g.size % 4 > 0 THEN CAST(g.size AS DOUBLE) / 64 + CASE WHEN g.size % 2 = 0 THEN 0.25 ELSE 0.0 END END AS frac_expensive_aa,
+  CASE WHEN g.size % 4 > 0 THEN g.price END AS ecpa_b20
+FROM genes g LEFT JOIN (SELECT gene_id, max(tpm) AS v FROM gene_tpm GROUP BY 1) m ON m.gene_id = split_part(g.gene_id, '.', 1)""", "genes", "gene_tpm"))
+def _(t):
+    abundance = gn.attach_gene_coordinates(t.gene_tpm, t.genes).select(F.lower("symbol").alias("symbol"), F.col("tpm").alias("abundance_ppm"))
+    costs = t.genes.where("size % 4 > 0").select(
+        "symbol", (F.col("size") / 64.0).alias("frac_expensive"), F.when(F.col("size") % 2 == 0, 0.25).alias("frac_very_expensive"), F.col("price").alias("ecpa_b20"))
+    return gn.protein_profile(t.genes, abundance, costs).withColumn("log_max_ppm", F.round("log_max_ppm", 6))
+
+
 def long_profile(t):
     return gn.profile_long(t.gene_tpm.select("gene_id", F.col("tissue").alias("dimension"), F.col("tpm").alias("value")))
 
