@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from spanframe.operators.scan import running
 
 KEYS = ("build", "chr_id")
-LEVEL_FACTOR = 16
+#: Bin widths from 64 bases up by fours; a feature's own length picks its level.
+LADDER = tuple(64 << 2 * k for k in range(14))
 
 
 def as_interval(df: DataFrame, pos: str = "pos", width: int = 1) -> DataFrame:
@@ -27,60 +28,48 @@ def as_interval(df: DataFrame, pos: str = "pos", width: int = 1) -> DataFrame:
     )
 
 
-def bin_levels(a: DataFrame, b: DataFrame) -> list[int]:
-    """Bin widths fitting both sides: mean length doubled, then growing until the longest fits.
+def _home(levels: Sequence[int]) -> Column:
+    """Number of the narrowest level that a feature fits into (the widest one for what fits nowhere)."""
+    length = F.col("end_pos") - F.col("start_pos")
+    home = F.lit(len(levels) - 1)
+    for level in reversed(range(len(levels) - 1)):
+        home = F.when(length <= levels[level], F.lit(level)).otherwise(home)
+    return home
 
-    Reads two columns of each side once and returns a handful of integers, so a
-    few very long features never explode into thousands of short bins.
-    """
-    lengths = a.select(F.avg(F.col("end_pos") - F.col("start_pos")), F.max(F.col("end_pos") - F.col("start_pos")))
-    others = b.select(F.avg(F.col("end_pos") - F.col("start_pos")), F.max(F.col("end_pos") - F.col("start_pos")))
-    stats = [row for row in (lengths.first(), others.first()) if row[0] is not None]
-    mean = max((row[0] for row in stats), default=1.0)
-    longest = max((row[1] for row in stats), default=1)
-    size = 64
-    while size < 2 * mean:
-        size *= 2
-    levels = [size]
-    while levels[-1] * 2 < longest:
-        levels.append(levels[-1] * LEVEL_FACTOR)
-    return levels
-
-
-def _binned(df: DataFrame, levels: list[int], probe: bool) -> DataFrame:
+
+def levels_present(df: DataFrame, levels: Sequence[int] = LADDER) -> Column:
+    """Levels on which a side has features: one short array, computed inside the plan that uses it."""
+    return df.agg(F.array_sort(F.collect_set(_home(levels)))).scalar()
+
+
+def _binned(df: DataFrame, levels: Sequence[int], others: Column, probe: bool) -> DataFrame:
     """Explode a side into (role, level, bin) rows.
 
-    A feature lives at the lowest level it fits (two bins at most) and is looked
-    up at the levels above. Role 0 matches two residents; role 1 a resident of
-    the left side with a lookup of the right side; role 2 the mirror image.
+    A feature lives at its own level (two bins at most) and is looked up at those
+    levels above where the other side has features. Role 0 matches two residents;
+    role 1 a resident of the left side with a lookup of the right side; role 2 the
+    mirror image.
     """
-    length = F.col("end_pos") - F.col("start_pos")
+    home_role, lookup_role = (1, 2) if probe else (2, 1)
+    home = F.col("_home")
+
+    def spot(role: int, level: Column) -> Column:
+        return F.struct(F.lit(role).alias("_role"), level.alias("_level"))
+
+    at_home = F.array_compact(F.array(
+        F.when(F.array_contains(F.col("_others"), home), spot(0, home)),
+        F.when(F.array_min("_others") < home, spot(home_role, home)),
+    ))
+    above = F.transform(F.filter("_others", lambda level: level > home), lambda level: spot(lookup_role, level))
+    placed = df.withColumns({"_home": _home(levels), "_others": others}).select(*df.columns, F.inline(F.concat(at_home, above)))
+    size = _width(levels)
+    first = F.floor(F.col("start_pos") / size).cast("long")
+    last = F.floor((F.col("end_pos") - 1) / size).cast("long")
+    return placed.withColumn("_bin", F.explode(F.sequence(first, F.greatest(first, last))))
 
-    def cover(role: int, level: int) -> Column:
-        size = levels[level]
-        first = F.floor(F.col("start_pos") / size).cast("long")
-        last = F.floor((F.col("end_pos") - 1) / size).cast("long")
-        return F.transform(
-            F.sequence(first, F.greatest(first, last)),
-            lambda b: F.struct(F.lit(role).alias("_role"), F.lit(level).alias("_level"), b.alias("_bin")),
-        )
-
-    if len(levels) == 1:
-        spots = cover(0, 0)
-    else:
-        home_role, lookup_role = (1, 2) if probe else (2, 1)
-        home = F.lit(len(levels) - 1)
-        for level in reversed(range(len(levels) - 1)):
-            home = F.when(length <= levels[level], F.lit(level)).otherwise(home)
-        empty = F.slice(cover(0, 0), 1, 0)
-        parts = []
-        for level in range(len(levels)):
-            parts.append(F.when(home == level, cover(0, level)).otherwise(empty))
-            if level > 0:
-                parts.append(F.when(home == level, cover(home_role, level)).otherwise(empty))
-                parts.append(F.when(home < level, cover(lookup_role, level)).otherwise(empty))
-        spots = F.concat(*parts)
-    return df.withColumn("_spot", F.explode(spots)).select("*", "_spot.*").drop("_spot")
+
+def _width(levels: Sequence[int]) -> Column:
+    return F.element_at(F.array(*[F.lit(s).cast("long") for s in levels]), F.col("_level") + 1)
 
 
 def overlap_join(
@@ -94,19 +83,21 @@ def overlap_join(
     """All pairs of overlapping intervals.
 
     Columns of ``b`` other than the keys come back as ``prefix + name``. With
-    ``contained`` only pairs with ``a`` inside ``b`` are kept. ``levels`` can be
-    given where the layer's length range is known; otherwise it is measured.
+    ``contained`` only pairs with ``a`` inside ``b`` are kept. Bin widths are
+    those of ``LADDER``, or ``levels`` where the range of lengths is known.
     """
     keys = list(keys)
-    levels = levels or bin_levels(a, b)
-    left = _binned(a, levels, True)
-    right = _binned(b, levels, False)
+    if levels is None:
+        levels, of_a, of_b = LADDER, levels_present(a), levels_present(b)
+    else:
+        of_a = of_b = F.array(*[F.lit(i) for i in range(len(levels))])
+    left = _binned(a, levels, of_b, True)
+    right = _binned(b, levels, of_a, False)
     right = right.select(*[F.col(c) if c in keys or c.startswith("_") else F.col(c).alias(prefix + c)
                            for c in right.columns])
     b_start, b_end = F.col(prefix + "start_pos"), F.col(prefix + "end_pos")
     pairs = left.join(right, [*keys, "_role", "_level", "_bin"])
-    size = F.element_at(F.array(*[F.lit(s) for s in levels]), F.col("_level") + 1)
-    owner = F.floor(F.greatest(F.col("start_pos"), b_start) / size)
+    owner = F.floor(F.greatest(F.col("start_pos"), b_start) / _width(levels))
     keep = (F.col("start_pos") < b_end) & (b_start < F.col("end_pos")) & (F.col("_bin") == owner)
     if contained:
         keep = keep & (b_start <= F.col("start_pos")) & (F.col("end_pos") <= b_end)

@@ -188,3 +188,12 @@ def test_any_number_of_layers_intersect(spark):
     assert sorted(tuple(r)[2:] for r in region.intersect_layers(layers[:11]).collect()) == [(0, 10), (20, 30)]
     assert sorted(tuple(r)[2:] for r in region.intersect_layers(layers).collect()) == [(0, 10), (20, 30)]
     assert sorted(tuple(r)[2:] for r in region.intersect_layers(layers[1:70]).collect()) == [(0, 10), (5, 6), (20, 30)]
+
+
+def test_overlap_join_runs_no_job_while_it_is_planned(spark):
+    a, b = frame(spark, random_rows(3, 30, 2000)), frame(spark, random_rows(4, 30, 70_000))
+    spark.sparkContext.setJobGroup("planning", "overlap join")
+    pairs = overlap.overlap_join(a, b)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    assert pairs.count() > 0
+    assert overlap.overlap_join(a, b.where("id < 0")).count() == 0
