@@ -2,52 +2,104 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.functions import constants as K
-from spanframe.functions.stats import safe_corr
-from spanframe.functions.seqexpr import normalise, pair_count, step_sum, step_total, with_step_counts
+from spanframe.functions.seqexpr import STEP_SCALE, normalise, pair_count, step_sum, step_total, with_step_counts
+from spanframe.operators.sequence import kernel
 from spanframe.operators.sequence.motifs import G4, runs_pattern
+from spanframe.operators.sequence.steps import CHUNK, chunks
 from spanframe.operators.sequence.thermo import GROOVES, STRUCTURE, curvature
 
+#: Lags of the autocorrelation of AT steps, about a helix turn.
+LAGS = (10, 11)
 
-def apply_variants(variants: DataFrame, sequences: DataFrame, flank: int = 50) -> DataFrame:
+
+def _cells(sequences: DataFrame, size: int) -> DataFrame:
+    """(seq_id, cell, at, part): text on one grid of ``size`` bases, of whole sequences or of a table that comes as chunks of any grid."""
+    if not {"chunk", "start_pos"} <= set(sequences.columns):
+        whole = chunks(sequences.select("seq_id", "sequence"), size=size, spread=False)
+        return whole.select("seq_id", F.col("chunk").cast("long").alias("cell"), F.col("core_start").cast("long").alias("at"), F.col("piece").alias("part"))
+    begin, end = F.col("start_pos").cast("long"), F.col("start_pos") + F.length("_raw")
+    cut = sequences.where(F.length("sequence") > 0).select("seq_id", "start_pos", normalise(F.col("sequence")).cast("binary").alias("_raw"))
+    cut = cut.withColumn("cell", F.explode(F.sequence(F.floor(begin / size), F.floor((end - 1) / size))))
+    low = F.greatest(F.col("cell") * size, begin)
+    return cut.select("seq_id", "cell", low.alias("at"), F.substring("_raw", (low - begin + 1).cast("int"), F.lit(size)).cast("string").alias("part")).select(
+        "seq_id", "cell", "at", F.substring("part", F.lit(1), ((F.col("cell") + 1) * size - F.col("at")).cast("int")).alias("part"))
+
+
+def read_spans(spans: DataFrame, sequences: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Text of each distinct span (seq_id, low, high), cut at the sequence's end; spans without a base have no row.
+
+    Spans meet the cells of a grid, one or two each if they are short, and parts are put together behind the join, so a row never holds more of a
+    sequence than its span.
+    """
+    cells = F.sequence(F.floor(F.col("low") / size), F.floor((F.col("high") - 1) / size))
+    wanted = spans.where("low >= 0 AND high > low").select("seq_id", "low", "high").distinct().withColumn("cell", F.explode(cells))
+    begin = F.greatest(F.col("low"), F.col("at"))
+    taken = F.substring("part", (begin - F.col("at") + 1).cast("int"), (F.col("high") - begin).cast("int"))
+    parts = wanted.join(_cells(sequences, size), ["seq_id", "cell"]).select("seq_id", "low", "high", F.struct(begin.alias("at"), taken.alias("part")).alias("_p"))
+    glued = F.array_join(F.transform(F.array_sort(F.collect_list("_p")), lambda x: x["part"]), "")
+    return parts.where(F.length("_p.part") > 0).groupBy("seq_id", "low", "high").agg(glued.alias("text"))
+
+
+def apply_variants(variants: DataFrame, sequences: DataFrame, flank: int = 50, size: int = CHUNK) -> DataFrame:
     """Window of ``flank`` bases on both sides, as reference and alternative text.
 
     ``variants``: variant_id, seq_id, pos (0-based), ref, alt. A reference that
-    does not match the sequence gives ``reject`` and null texts.
+    does not match the sequence, also one beyond its end or on no known sequence,
+    gives ``reject`` and null texts. ``sequences`` are whole or come as chunks.
     """
-    joined = variants.join(sequences.select("seq_id", normalise(F.col("sequence")).alias("_s")), "seq_id")
-    low = F.greatest(F.lit(0), F.col("pos") - flank)
-    span = F.length("ref")
-    head = F.substring("_s", low + 1, F.col("pos") - low)
-    tail = F.substring("_s", F.col("pos") + span + 1, F.lit(flank))
-    seen = F.substring("_s", F.col("pos") + 1, span)
-    ok = seen == F.upper("ref")
+    low = F.greatest(F.lit(0), F.col("pos") - flank).cast("long")
+    placed = variants.withColumns({"low": low, "high": (F.col("pos") + F.length("ref") + flank).cast("long")})
+    joined = placed.join(read_spans(placed, sequences, size), ["seq_id", "low", "high"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    at, span = (F.col("pos") - F.col("low")).cast("int"), F.length("ref")
+    head, tail = F.substring("text", F.lit(1), at), F.substring("text", at + span + 1, F.lit(flank))
+    seen = (F.substring("text", at + 1, span) == F.upper("ref")) & (F.col("pos") >= 0) & (F.length("text") >= at)
+    ok = F.coalesce(seen & F.col("alt").isNotNull(), F.lit(False))
     return joined.select(
         "variant_id", "seq_id", "pos", "ref", "alt", F.when(~ok, "reference_mismatch").alias("reject"),
-        (F.col("pos") - low).alias("at"), F.when(ok, F.concat(head, F.upper("ref"), tail)).alias("ref_seq"),
+        at.alias("at"), F.when(ok, F.concat(head, F.upper("ref"), tail)).alias("ref_seq"),
         F.when(ok, F.concat(head, F.upper("alt"), tail)).alias("alt_seq"),
     )
 
 
+def _lagged(p: kernel.Pieces):
+    """Per piece: AT steps, and for each lag the pairs of steps, AT steps on both sides and their products. Whole numbers, so pieces add up exactly."""
+    code = p.ahead(p.code, 4)
+    weak = (code == 0) | (code == 3)
+    x = (weak[:-1] & weak[1:]).astype(np.int64)
+    at, count = p.core(2), len(p.begin)
+    made = {"hits": np.bincount(p.piece[at], x[at], count).astype(np.int64)}
+    for lag in LAGS:
+        now = at[p.i[at] >= lag]
+        which, a, b = p.piece[now], x[now], x[now - lag]
+        for name, v in (("n", np.ones(len(now))), ("x", a), ("y", b), ("xy", a * b)):
+            made[f"{name}{lag}"] = np.bincount(which, v, count).astype(np.int64)
+    return np.arange(count), made
+
+
 def _periodicity(both: DataFrame) -> DataFrame:
-    """Mean of the 10- and 11-step autocorrelations of the AT-step indicator, per window."""
-    n = F.length("sequence")
-    rows = both.where(n >= 23).withColumn("_raw", F.col("sequence").cast("binary")).select(
-        "variant_id", "allele", F.explode(F.sequence(F.lit(0), n - 2)).alias("i"), "_raw"
-    ).select(
-        "variant_id", "allele", "i",
-        F.when(F.substring("_raw", F.col("i") + 1, F.lit(2)).cast("string").isin("AA", "TT", "AT", "TA"), 1.0)
-        .otherwise(0.0).alias("x"),
-    )
-    order = Window.partitionBy("variant_id", "allele").orderBy("i")
-    lagged = rows.withColumns({"y10": F.lag("x", 10).over(order), "y11": F.lag("x", 11).over(order)})
-    clean_corr = lambda y: F.coalesce(safe_corr(F.col("x"), F.col(y)), F.lit(0.0))
-    return lagged.groupBy("variant_id", "allele").agg(
-        ((clean_corr("y10") + clean_corr("y11")) / 2).alias("periodicity"), F.sum("x").alias("_hits")
-    ).withColumn("periodicity", F.when(F.col("_hits") >= 2, F.col("periodicity")).otherwise(0.0)).drop("_hits")
+    """Mean of the 10- and 11-step autocorrelations of the AT-step indicator, per window of at least 23 bases with two such steps."""
+    names = ["hits", *(f"{v}{lag}" for lag in LAGS for v in ("n", "x", "y", "xy"))]
+    pieces = chunks(both.select(F.struct("variant_id", "allele").alias("seq_id"), "sequence"), max(LAGS), 1, spread=False)
+    sums = kernel.scan(pieces, _lagged, ", ".join(f"{c} long" for c in names), "n").groupBy("seq_id", "n").agg(*[F.sum(c).alias(c) for c in names])
+
+    def corr(lag: int) -> Column:
+        n, x, y, xy = (F.col(f"{v}{lag}").cast("double") for v in ("n", "x", "y", "xy"))
+        return F.coalesce(F.try_divide(n * xy - x * y, F.sqrt((n * x - x * x) * (n * y - y * y))), F.lit(0.0))
+
+    mean = sum((corr(lag) for lag in LAGS), F.lit(0.0)) / len(LAGS)
+    return sums.where("n >= 23").select("seq_id.variant_id", "seq_id.allele", F.when(F.col("hits") >= 2, mean).otherwise(0.0).alias("periodicity"))
+
+
+def _step_mean(table: dict[str, float]) -> Column:
+    """Mean of a step property to three places, half away from zero. In whole numbers: means over about 100 steps often lie on a tie."""
+    total, n = F.round(step_sum(table) * STEP_SCALE).cast("long"), step_total()
+    thousandths = F.floor(F.try_divide(2 * (1000 // STEP_SCALE) * F.abs(total) + n, 2 * n))
+    return F.signum(total.cast("double")) * thousandths / 1000.0
 
 
 def variant_deltas(variants: DataFrame, sequences: DataFrame, flank: int = 50) -> DataFrame:
@@ -74,7 +126,7 @@ def variant_deltas(variants: DataFrame, sequences: DataFrame, flank: int = 50) -
         F.round(step_sum(K.NN_DELTA_G37), 2).alias("dg37"), F.round(step_sum(K.NN_DELTA_H), 2).alias("dh"),
         F.round(step_sum(K.NN_DELTA_S), 2).alias("ds"),
         F.round((step_sum(K.NN_DELTA_H) - K.KELVIN_37 * step_sum(K.NN_DELTA_S) / 1000.0) / steps, 3).alias("mean_dg"),
-        *[F.round(step_sum(t) / steps, 3).alias(k) for k, t in tables.items()],
+        *[_step_mean(t).alias(k) for k, t in tables.items()],
         F.regexp_count(text, F.lit(G4)).alias("g4"), F.regexp_count(text, F.lit(runs_pattern(5))).alias("runs"),
         here.alias("cpg_here"), pair_count(text, "CG").alias("cpg_all"),
     )

@@ -410,27 +410,49 @@ TWO = """SELECT variant_id, least(pos, 50) AS p, substring(s, pos + 1 - least(po
 ALLELES = """SELECT variant_id, allele, sequence, p FROM (SELECT variant_id, 'ref' AS allele, rs AS sequence, p FROM two
   UNION ALL SELECT variant_id, 'alt', al, p FROM two)"""
 VSTEP = """SELECT variant_id, allele, i, substring(sequence, i + 1, 2) AS d FROM (SELECT *, unnest(range(0, length(sequence) - 1)) AS i FROM va)"""
-VSUM = """SELECT variant_id, allele, round(sum(delta_g_37) / 100.0, 2) AS dg37, round(sum(delta_h) / 100.0, 2) AS dh,
-  round((sum(delta_h) / 100.0 - (273.15 + 37) * (sum(delta_s) / 100.0) / 1000.0) / count(*), 3) AS mean_dg,
-  round(sum(twist) / 100.0 / count(*), 3) AS tw, round(sum(minor_groove_width) / 100.0 / count(*), 3) AS mg,
-  count(*) FILTER (d = 'CG') AS cpg FROM vs JOIN props USING (d) GROUP BY 1, 2"""
 VPER = """SELECT variant_id, allele, (coalesce(nullif(corr(x, y10), 'nan'::DOUBLE), 0) + coalesce(nullif(corr(x, y11), 'nan'::DOUBLE), 0)) / 2 AS per FROM (
   SELECT variant_id, allele, x, lag(x, 10) OVER w AS y10, lag(x, 11) OVER w AS y11 FROM (SELECT variant_id, allele, i,
     CASE WHEN d IN ('AA', 'TT', 'AT', 'TA') THEN 1.0 ELSE 0.0 END AS x FROM vs) WINDOW w AS (PARTITION BY variant_id, allele ORDER BY i)) GROUP BY 1, 2"""
 
 
+SUMMED = {"dg37": "delta_g_37", "dh": "delta_h", "ds": "delta_s"}
+STEP_MEANS = (*thermo.STRUCTURE, *thermo.GROOVES)
+# Means of about 100 steps often end in a tie at the third place: rounded in whole numbers, half away from zero.
+VALL = f"""SELECT variant_id, allele, {", ".join(f"round(sum({c}) / 100.0, 2) AS {k}" for k, c in SUMMED.items())},
+  round((sum(delta_h) / 100.0 - (273.15 + 37) * (sum(delta_s) / 100.0) / 1000.0) / count(*), 3) AS mean_dg,
+  {", ".join(f"sign(sum({c})) * ((20 * abs(CAST(sum({c}) AS BIGINT)) + count(*)) // (2 * count(*))) / 1000.0 AS mean_{c}" for c in STEP_MEANS)} FROM vs JOIN props USING (d) GROUP BY 1, 2"""
+VTEXT = f"""SELECT variant_id, allele, len(regexp_extract_all(sequence, '{motifs.G4}')) AS g4, len(regexp_extract_all(sequence, '{motifs.runs_pattern(5)}')) AS runs,
+  CASE WHEN p > 0 AND substring(sequence, p, 2) = 'CG' THEN 1 ELSE 0 END + CASE WHEN substring(sequence, p + 1, 2) = 'CG' THEN 1 ELSE 0 END AS cpg_here,
+  (length(sequence) - length(replace(sequence, 'CG', ''))) // 2 AS cpg_all FROM va"""
+VBEND = """SELECT variant_id, allele, round(avg(k), 3) AS mean_curvature, round(max(k), 3) AS max_curvature FROM (
+  SELECT variant_id, allele, sqrt(power(sum(x) OVER w, 2) + power(sum(y) OVER w, 2)) / count(*) OVER w AS k FROM (
+    SELECT variant_id, allele, i, roll * cos(a) - tilt * sin(a) AS x, roll * sin(a) + tilt * cos(a) AS y FROM (
+      SELECT variant_id, allele, i, roll / 100.0 AS roll, tilt / 100.0 AS tilt,
+             radians((sum(twist) OVER (PARTITION BY variant_id, allele ORDER BY i)) / 100.0) AS a FROM vs JOIN props USING (d)))
+  WINDOW w AS (PARTITION BY variant_id, allele ORDER BY i ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)) GROUP BY 1, 2"""
+VVALUES = [*SUMMED, "mean_dg", *(f"mean_{c}" for c in STEP_MEANS), "g4", "runs", "cpg_here", "cpg_all", "mean_curvature", "max_curvature"]
+VSIDE = """SELECT * FROM vall JOIN vtext USING (variant_id, allele) JOIN vbend USING (variant_id, allele) LEFT JOIN vper USING (variant_id, allele)"""
+VDELTA = f"""SELECT variant_id, {", ".join(f"CAST(round(a.{c} - r.{c}, 4) AS DOUBLE) + 0.0 AS delta_{c}" for c in VVALUES)}, round(coalesce(a.per, 0) - coalesce(r.per, 0), 4) + 0.0 AS delta_periodicity,
+  round(round(a.mean_dg - r.mean_dg, 4) * 3.0, 4) + 0.0 AS delta_tm
+  FROM (SELECT * FROM vside WHERE allele = 'ref') r JOIN (SELECT * FROM vside WHERE allele = 'alt') a USING (variant_id)"""
+VSAID = """SELECT *, CASE WHEN delta_cpg_here > 0 THEN 'cpg_created' WHEN delta_cpg_here < 0 THEN 'cpg_destroyed' ELSE 'no_change' END AS cpg_impact,
+  CASE WHEN delta_periodicity < -0.05 THEN 'nucleosome_destabilized' WHEN delta_periodicity > 0.05 THEN 'nucleosome_stabilized' ELSE 'minimal_disruption' END AS nucleosome
+  FROM vdelta"""
+
+
 @query("q19_variant_deltas", seq_oracle("""
-SELECT variant_id, round(a.dg37 - r.dg37, 4) + 0.0 AS delta_dg37, round(a.dh - r.dh, 4) + 0.0 AS delta_dh,
-  round(round(a.mean_dg - r.mean_dg, 4) * 3.0, 4) + 0.0 AS delta_tm, round(a.tw - r.tw, 4) + 0.0 AS delta_mean_twist,
-  round(a.mg - r.mg, 4) + 0.0 AS delta_mean_minor_groove_width, CASE WHEN a.cpg > r.cpg THEN 'cpg_created'
-  WHEN a.cpg < r.cpg THEN 'cpg_destroyed' ELSE 'no_change' END AS cpg_impact, round(pa.per - pr.per, 4) + 0.0 AS delta_periodicity
-FROM (SELECT * FROM vsum WHERE allele = 'ref') r JOIN (SELECT * FROM vsum WHERE allele = 'alt') a USING (variant_id)
-JOIN (SELECT * FROM vper WHERE allele = 'ref') pr USING (variant_id) JOIN (SELECT * FROM vper WHERE allele = 'alt') pa USING (variant_id)""",
-    "variants", two=TWO, va=ALLELES, vs=VSTEP, vsum=VSUM, vper=VPER))
+SELECT * EXCLUDE (said), CASE WHEN said = '' THEN 'minimal perturbation' ELSE said END AS mechanism FROM (SELECT *, concat_ws('; ',
+  CASE WHEN delta_dg37 > 0.5 THEN 'destabilizes local duplex' WHEN delta_dg37 < -0.5 THEN 'stabilizes local duplex' END,
+  CASE WHEN delta_tm > 1.0 THEN 'raises melting temperature' WHEN delta_tm < -1.0 THEN 'lowers melting temperature' END,
+  CASE WHEN cpg_impact <> 'no_change' THEN cpg_impact END,
+  CASE WHEN delta_g4 > 0 THEN 'g_quadruplex created' WHEN delta_g4 < 0 THEN 'g_quadruplex destroyed' END,
+  CASE WHEN nucleosome <> 'minimal_disruption' THEN nucleosome END,
+  CASE WHEN abs(delta_mean_twist) > 0.5 THEN 'alters helical twist' END) AS said FROM vsaid)""",
+    "variants", two=TWO, va=ALLELES, vs=VSTEP, vall=VALL, vtext=VTEXT, vbend=VBEND, vper=VPER, vside=VSIDE, vdelta=VDELTA, vsaid=VSAID))
 def _(t):
     out = variants.mechanisms(variants.variant_deltas(t.variants, t.sequences))
-    return out.select("variant_id", "delta_dg37", "delta_dh", "delta_tm", "delta_mean_twist",
-                      "delta_mean_minor_groove_width", "cpg_impact", "delta_periodicity")
+    whole = [c for c in out.columns if c.startswith("delta_")]
+    return out.select("variant_id", *[F.col(c).cast("double").alias(c) for c in whole], "cpg_impact", "nucleosome", F.array_join("mechanism", "; ").alias("mechanism"))
 
 
 WIN = """SELECT seq_id, w * 1000 AS start_pos, substring(sequence, w * 1000 + 1, 1000) AS sequence FROM (SELECT seq_id, sequence,

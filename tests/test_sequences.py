@@ -1,6 +1,7 @@
 """Sequence operators: known answers, chunk independence, brute force."""
 
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +112,54 @@ def test_variant_mismatch_and_cpg(spark):
     assert rows[1]["reject"] == "reference_mismatch"
 
 
+VARIANT = "variant_id long, seq_id long, pos int, ref string, alt string"
+
+
+def test_variant_windows_over_chunk_seams_equal_slices(spark):
+    text, other = random_seq(21, 700), random_seq(22, 90)
+    rng = random.Random(23)
+    rows = [(i, 0, at, text[at:at + span], rng.choice(["", "A", "CG", "TTTTT"])) for i, (at, span) in enumerate(
+        [(0, 1), (49, 2), (63, 3), (64, 1), (127, 0), (128, 140), (300, 1), (300, 1), (699, 1), (650, 50), (690, 4)])]
+    rows += [(100, 1, 40, other[40].lower(), "G"), (101, 1, 89, other[89] + "A", "G"), (102, 1, 500, "A", "C"), (103, 7, 5, "A", "C"),
+             (104, 1, -1, "A", "C"), (105, None, 3, "A", "C"), (106, 0, None, "A", "C"), (107, 0, 5, None, "C"), (108, 0, 5, text[5], None)]
+    var = spark.createDataFrame(rows, VARIANT)
+    whole = spark.createDataFrame([(0, text), (1, other), (2, ""), (3, None)], "seq_id long, sequence string")
+    cuts = [0, 100, 163, 164, 420, 700]
+    pieces = [(0, k, a, text[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))] + [(1, 0, 0, other)]
+    cut = spark.createDataFrame(pieces, "seq_id long, chunk long, start_pos long, sequence string")
+    for table in (whole, cut):
+        got = {r["variant_id"]: r for r in variants.apply_variants(var, table, 20, 64).collect()}
+        assert len(got) == len(rows)
+        for i, seq_id, at, ref, alt in rows:
+            source = {0: text, 1: other}.get(seq_id, "")
+            if i < 101:
+                low = max(0, at - 20)
+                tail = source[at + len(ref):at + len(ref) + 20]
+                assert got[i]["ref_seq"] == source[low:at] + ref.upper() + tail, i
+                assert got[i]["alt_seq"] == source[low:at] + alt + tail, i
+            else:
+                assert got[i]["reject"] == "reference_mismatch" and got[i]["ref_seq"] is None, i
+
+
+def test_periodicity_does_not_depend_on_chunks(spark, monkeypatch):
+    texts = ["A" * 22, "A" * 40, random_seq(31, 23), random_seq(32, 600, "AATC"), random_seq(33, 64, "ACGTN"), "GC" * 30, "TTGCGCGCGC" * 9]
+    rows = spark.createDataFrame([(i, "ref", s) for i, s in enumerate(texts)], "variant_id long, allele string, sequence string")
+    plain = variants.chunks
+    found = []
+    for size in (64, 8192):
+        monkeypatch.setattr(variants, "chunks", lambda *a, size=size, **k: plain(*a, size=size, **k))
+        found.append({r["variant_id"]: r["periodicity"] for r in variants._periodicity(rows).collect()})
+    assert found[0] == found[1] and 0 not in found[0] and set(found[0]) == set(range(1, len(texts)))
+    for i, text in list(enumerate(texts))[1:]:
+        x = [float(text[k:k + 2] in ("AA", "TT", "AT", "TA")) for k in range(len(text) - 1)]
+        r = []
+        for lag in (10, 11):
+            a, b = x[lag:], x[:-lag]
+            varied = len(set(a)) > 1 and len(set(b)) > 1
+            r.append(statistics.correlation(a, b) if varied else 0.0)
+        assert found[0][i] == pytest.approx(sum(r) / 2 if sum(x) >= 2 else 0.0), text
+
+
 def test_rle_and_fasta_files(spark, tmp_path):
     (tmp_path / "chr1.rle").write_text("5 10\n7 3\n0 2\n")
     got = [(r["start_pos"], r["end_pos"], r["score"]) for r in readers.read_rle_scores(spark, str(tmp_path)).orderBy("start_pos").collect()]
