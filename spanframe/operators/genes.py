@@ -16,6 +16,11 @@ from spanframe.operators.scan import exact_quantiles, value_ranks
 from spanframe.operators.topk import global_top_k
 
 
+# Persistence length (nm) of methylated DNA, stacking shift of a methylated step (kcal/mol).
+METHYLATED_LP = 50.0
+METHYLATED_STACKING = 0.5
+
+
 def unversioned(gene_id: Column) -> Column:
     return F.substring_index(gene_id, ".", 1)
 
@@ -177,6 +182,56 @@ def gene_profile_report(genes: DataFrame, vectors: DataFrame, long: DataFrame) -
     return genes.select("gene_id", "symbol").join(vectors, "gene_id", "left").join(odd, "gene_id", "left")
 
 
+def _once_per_symbol(table: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """One row per upper-case symbol (the least of several), with the fields."""
+    one = table.where("symbol IS NOT NULL").groupBy(F.upper("symbol").alias("_gene")).agg(F.min(F.struct(*fields)).alias("_f"))
+    return one.select("_gene", *[F.col("_f")[c].alias(c) for c in fields])
+
+
+def _window_of(sites: DataFrame, windows: DataFrame, size: int = 1000) -> DataFrame:
+    """Sites with the columns of the window they lie in, null without one."""
+    return sites.withColumn("start_pos", bin_start(F.col("pos"), size)).join(windows.drop("end_pos"), [*KEYS, "start_pos"], "left").drop("start_pos")
+
+
+def site_layers(
+    profile: DataFrame, identity: str, islands: DataFrame | None = None, chromatin: DataFrame | None = None, conservation: DataFrame | None = None,
+    constraint: DataFrame | None = None, expression: DataFrame | None = None, levels: list[int] | None = None,
+) -> DataFrame:
+    """Further layers beside a ``site_profile``; each is left out where it is not given.
+
+    ``islands``: context of the site. ``chromatin`` (state, epigenome): the distinct states over it, in order. ``conservation``: 1 kb windows.
+    ``constraint`` and ``expression`` (symbol, ...): values of the gene over the site, else of the nearest one, and ``gene_evidence`` tells which.
+    With a context and ``gc`` comes the stiffness model: persistence length without and with methylation, change in percent, stacking shift.
+    """
+    from spanframe.operators.nearest import classify_sites
+    from spanframe.operators.overlap import as_interval
+
+    places = profile.select(identity, *KEYS, "pos")
+    out = profile
+    if islands is not None:
+        out = out.join(classify_sites(places, islands, [identity]).select(identity, "context"), identity, "left")
+    if chromatin is not None:
+        over = overlap_join(as_interval(places), chromatin.select(*KEYS, "start_pos", "end_pos", "state", "epigenome"), levels=levels)
+        states = over.groupBy(identity).agg(F.array_sort(F.collect_set(F.struct(F.col("b_state").alias("state"), F.col("b_epigenome").alias("epigenome")))).alias("chromatin"))
+        out = out.join(states, identity, "left")
+    if conservation is not None:
+        out = _window_of(out, conservation)
+    tables = [t for t in (constraint, expression) if t is not None]
+    if tables:
+        out = out.withColumns({
+            "_gene": F.upper(F.coalesce("first_gene", "nearest_gene")),
+            "gene_evidence": F.when(F.col("first_gene").isNotNull(), "overlap").when(F.col("nearest_gene").isNotNull(), "nearest"),
+        })
+        for table in tables:
+            out = out.join(_once_per_symbol(table, [c for c in table.columns if c != "symbol"]), "_gene", "left")
+        out = out.drop("_gene")
+    if islands is not None and "gc" in out.columns:
+        bare = F.when(F.col("context").isNotNull(), F.round(persistence_length(F.col("gc")), 1))
+        out = out.withColumns({"lp_bare": bare, "lp_methylated": F.when(bare.isNotNull(), METHYLATED_LP)}).withColumns({
+            "delta_lp_pct": F.when(bare > 0, F.round((METHYLATED_LP - bare) / bare * 100, 1)), "ddg_stacking": F.when(bare.isNotNull(), METHYLATED_STACKING)})
+    return out
+
+
 def site_profile(
     sites: DataFrame, identity: str, genes: DataFrame, elements: DataFrame, windows: DataFrame, levels: list[int] | None = None
 ) -> DataFrame:
@@ -190,23 +245,24 @@ def site_profile(
         F.count(F.lit(1)).alias("n_genes"), F.min("b_symbol").alias("first_gene"))
     over = overlap_join(points, elements.select(*KEYS, "start_pos", "end_pos"), levels=levels).groupBy(identity).agg(
         F.count(F.lit(1)).alias("n_elements"))
-    placed = sites.select(identity, *KEYS, "pos", bin_start(F.col("pos"), 1000).alias("start_pos")).join(
-        windows.drop("end_pos"), [*KEYS, "start_pos"], "left").drop("start_pos")
+    placed = _window_of(sites.select(identity, *KEYS, "pos"), windows)
     out = placed.join(near, identity, "left").join(inside, identity, "left").join(over, identity, "left")
     out = out.fillna(0, ["n_genes", "n_elements"])
     return out.withColumn("lp_nm", persistence_length(F.col("gc"))) if "gc" in out.columns else out
 
 
 def variant_cross_reference(
-    variants: DataFrame, windows: DataFrame, known: DataFrame, elements: DataFrame, levels: list[int] | None = None, k: int | None = None
+    variants: DataFrame, windows: DataFrame, known: DataFrame, elements: DataFrame, levels: list[int] | None = None, k: int | None = None,
+    conservation: DataFrame | None = None,
 ) -> DataFrame:
-    """Per variant: its window, rows at the very position, and its overlapping elements by start (the first ``k`` if given)."""
+    """Per variant: its window, its conservation window if given, rows at the very position, and its overlapping elements by start (the first ``k`` if given)."""
     from spanframe.operators.overlap import as_interval
     from spanframe.operators.topk import top_k_per_group
 
     base = variants.select("variant_id", *KEYS, "pos")
-    placed = base.withColumn("start_pos", bin_start(F.col("pos"), 1000)).join(
-        windows.drop("end_pos"), [*KEYS, "start_pos"], "left").drop("start_pos")
+    placed = _window_of(base, windows)
+    if conservation is not None:
+        placed = _window_of(placed, conservation)
     exact = base.join(known.select(*KEYS, "pos", "label"), [*KEYS, "pos"]).groupBy("variant_id").agg(
         F.count(F.lit(1)).alias("n_known"), F.min("label").alias("first_label"))
     over = overlap_join(as_interval(base), elements.select(*KEYS, "start_pos", "end_pos", "element_id"), levels=levels)

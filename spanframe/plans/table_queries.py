@@ -352,8 +352,37 @@ def _(t):
     return out.select("event_id", "nearest_gene", "distance", "n_genes", "n_elements", "n_a")
 
 
+NEAR_ISLAND = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY abs(start_pos - pos), start_pos, end_pos) AS rn FROM (
+  SELECT p.event_id, p.pos, d.start_pos, d.end_pos FROM points p JOIN domains d ON p.chr_id = d.chr_id AND d.start_pos < p.pos + 4001 AND d.end_pos > p.pos - 4001)) WHERE rn = 1"""
+CONTEXT = """SELECT event_id, CASE WHEN pos >= start_pos AND pos < end_pos THEN 'island' WHEN pos < start_pos THEN CASE WHEN start_pos - pos <= 2000 THEN 'n_shore'
+  WHEN start_pos - pos <= 4000 THEN 'n_shelf' ELSE 'open_sea' END WHEN pos - end_pos + 1 <= 2000 THEN 's_shore' WHEN pos - end_pos + 1 <= 4000 THEN 's_shelf' ELSE 'open_sea' END AS context FROM island"""
+STATES = """SELECT event_id, string_agg(state || ':' || epigenome, ',' ORDER BY state, epigenome) AS chromatin FROM (SELECT DISTINCT p.event_id, a.klass AS state, a.strand AS epigenome
+  FROM points p JOIN intervals_a a ON p.chr_id = a.chr_id AND a.start_pos <= p.pos AND p.pos < a.end_pos) GROUP BY 1"""
+OVER = """SELECT p.event_id, min(g.symbol) AS first_gene FROM points p JOIN genes g ON p.chr_id = g.chr_id AND p.pos >= g.start_pos AND p.pos < g.end_pos GROUP BY 1"""
+
+
+@query("j18_site_layers", oracle("""
+SELECT event_id, context, chromatin, conserved, gene_evidence, loeuf, max_tpm, lp_bare, round((CAST(50 AS DOUBLE) - lp_bare) / lp_bare * 100, 1) AS delta_lp_pct FROM (
+  SELECT p.event_id, coalesce(c.context, 'open_sea') AS context, s.chromatin, CAST(w.n_b AS BIGINT) AS conserved, CASE WHEN o.first_gene IS NOT NULL THEN 'overlap' WHEN n.symbol IS NOT NULL THEN 'nearest' END AS gene_evidence,
+    CASE WHEN g.size % 3 > 0 THEN CAST(g.size AS DOUBLE) / 8 END AS loeuf, CASE WHEN g.size % 4 > 0 THEN g.price END AS max_tpm,
+    CASE WHEN w.n_a IS NOT NULL THEN round(CAST(49.0 AS DOUBLE) + CAST(43.75 AS DOUBLE) * (least(w.n_a, 64) / CAST(64 AS DOUBLE) - CAST(0.30 AS DOUBLE)), 1) END AS lp_bare
+  FROM points p LEFT JOIN ctx c ON c.event_id = p.event_id LEFT JOIN states s ON s.event_id = p.event_id LEFT JOIN ov o ON o.event_id = p.event_id LEFT JOIN nn n ON n.event_id = p.event_id
+  LEFT JOIN windows w ON w.chr_id = p.chr_id AND w.start_pos = p.pos // 1000 * 1000 LEFT JOIN genes g ON g.symbol = coalesce(o.first_gene, n.symbol))""",
+    "points", "genes", "intervals_a", "domains", "windows", extra={"nn": NN, "island": NEAR_ISLAND, "ctx": CONTEXT, "states": STATES, "ov": OVER}))
+def _(t):
+    gc = t.windows.select(*KEYS, "start_pos", "end_pos", (F.least("n_a", F.lit(64)) / 64.0).alias("gc"))
+    profile = gn.site_profile(t.points, "event_id", t.genes, t.intervals_b, gc, [512])
+    out = gn.site_layers(
+        profile, "event_id", t.domains, t.intervals_a.select(*KEYS, "start_pos", "end_pos", F.col("klass").alias("state"), F.col("strand").alias("epigenome")),
+        t.windows.select(*KEYS, "start_pos", "end_pos", F.col("n_b").alias("conserved")),
+        t.genes.where("size % 3 > 0").select(F.lower("symbol").alias("symbol"), (F.col("size") / 8.0).alias("loeuf")),
+        t.genes.where("size % 4 > 0").select("symbol", F.col("price").alias("max_tpm")))
+    states = F.array_join(F.transform("chromatin", lambda s: F.concat_ws(":", s["state"], s["epigenome"])), ",")
+    return out.select("event_id", "context", states.alias("chromatin"), "conserved", "gene_evidence", "loeuf", "max_tpm", "lp_bare", "delta_lp_pct")
+
+
 @query("j17_variant_cross_reference", oracle("""
-SELECT p.event_id AS variant_id, w.n_a, coalesce(k.n, 0) AS n_known, e.elements FROM points p LEFT JOIN windows w ON w.chr_id = p.chr_id AND w.start_pos = p.pos // 1000 * 1000
+SELECT p.event_id AS variant_id, w.n_a, w.n_b AS conserved, coalesce(k.n, 0) AS n_known, e.elements FROM points p LEFT JOIN windows w ON w.chr_id = p.chr_id AND w.start_pos = p.pos // 1000 * 1000
 LEFT JOIN (SELECT p.event_id, count(*) AS n FROM points p JOIN probes b ON p.chr_id = b.chr_id AND p.pos = b.pos GROUP BY 1) k USING (event_id)
 LEFT JOIN (SELECT event_id, list(feature_id ORDER BY rn) AS elements FROM (SELECT p.event_id, b.feature_id, row_number() OVER (PARTITION BY p.event_id ORDER BY b.start_pos, b.feature_id) AS rn
   FROM points p JOIN intervals_b b ON p.chr_id = b.chr_id AND p.pos >= b.start_pos AND p.pos < b.end_pos) GROUP BY 1) e USING (event_id)""",
@@ -361,8 +390,9 @@ LEFT JOIN (SELECT event_id, list(feature_id ORDER BY rn) AS elements FROM (SELEC
 def _(t):
     out = gn.variant_cross_reference(
         t.points.withColumnRenamed("event_id", "variant_id"), t.windows.select(*KEYS, "start_pos", "end_pos", "n_a"),
-        t.probes.withColumnRenamed("platform", "label"), t.intervals_b.withColumnRenamed("feature_id", "element_id"), [512])
-    return out.select("variant_id", "n_a", "n_known", "elements")
+        t.probes.withColumnRenamed("platform", "label"), t.intervals_b.withColumnRenamed("feature_id", "element_id"), [512],
+        conservation=t.windows.select(*KEYS, "start_pos", "end_pos", F.col("n_b").alias("conserved")))
+    return out.select("variant_id", "n_a", "conserved", "n_known", "elements")
 
 
 # ---- families, alleles, cells --------------------------------------------------------
