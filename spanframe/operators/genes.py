@@ -211,7 +211,7 @@ def site_layers(
     if islands is not None:
         out = out.join(classify_sites(places, islands, [identity]).select(identity, "context"), identity, "left")
     if chromatin is not None:
-        over = overlap_join(as_interval(places), chromatin.select(*KEYS, "start_pos", "end_pos", "state", "epigenome"), levels=levels)
+        over = overlap_join(as_interval(places), chromatin.select(*KEYS, "start_pos", "end_pos", "state", "epigenome"), levels=levels, length=1)
         states = over.groupBy(identity).agg(F.array_sort(F.collect_set(F.struct(F.col("b_state").alias("state"), F.col("b_epigenome").alias("epigenome")))).alias("chromatin"))
         out = out.join(states, identity, "left")
     if conservation is not None:
@@ -241,7 +241,7 @@ def site_profile(
     near = nearest_within(sites.select(identity, *KEYS, "pos"), genes.select(*KEYS, "start_pos", "end_pos", "symbol"),
                           [identity], 100_000, symbol="symbol").select(identity, F.col("b_symbol").alias("nearest_gene"), "distance")
     points = as_interval(sites.select(identity, *KEYS, "pos"))
-    inside = overlap_join(points, genes.select(*KEYS, "start_pos", "end_pos", "symbol")).groupBy(identity).agg(
+    inside = overlap_join(points, genes.select(*KEYS, "start_pos", "end_pos", "symbol"), length=1).groupBy(identity).agg(
         F.count(F.lit(1)).alias("n_genes"), F.min("b_symbol").alias("first_gene"))
     over = overlap_join(points, elements.select(*KEYS, "start_pos", "end_pos"), levels=levels).groupBy(identity).agg(
         F.count(F.lit(1)).alias("n_elements"))

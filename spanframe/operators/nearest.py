@@ -51,7 +51,7 @@ def _first_name(points: DataFrame, intervals: DataFrame, identity: list[str], sy
         "_upto": F.min("_name").over(order.rowsBetween(Window.unboundedPreceding, 0)), "_onwards": F.min("_name").over(order.rowsBetween(0, Window.unboundedFollowing))})
     near = places.join(minima.select(*KEYS, "_at", "_upto", "_onwards"), [*KEYS, "_at"]).select(*identity, F.when(F.col("_from"), F.col("_onwards")).otherwise(F.col("_upto")).alias("_name"))
     edge = points.select(*identity, *KEYS, first.alias("start_pos"), (first + 1).alias("end_pos"))
-    over = overlap_join(edge, named, levels=levels).select(*identity, F.col("b_" + symbol).alias("_name"))
+    over = overlap_join(edge, named, levels=levels, length=1).select(*identity, F.col("b_" + symbol).alias("_name"))
     return near.unionByName(over).groupBy(*identity).agg(F.min("_name").alias("_name"))
 
 
@@ -86,7 +86,7 @@ def nearest_within(
     shown = [F.col("_best")[c].alias("b_" + c) for c in intervals.columns if c not in KEYS]
     near = found.where("_best IS NOT NULL").select(*identity, *shown, F.col("_best")["distance"].alias("distance"))
     far = found.where("_best IS NULL").select(*dict.fromkeys([*identity, *keys]), "pos", (F.col("pos") - radius).alias("start_pos"), (F.col("pos") + radius).alias("end_pos"))
-    pairs = overlap_join(far, wanted, keys=keys, levels=levels).withColumn("distance", F.abs(F.col("b_start_pos") - F.col("pos")))
+    pairs = overlap_join(far, wanted, keys=keys, levels=levels, length=2 * radius).withColumn("distance", F.abs(F.col("b_start_pos") - F.col("pos")))
     best = top_k_per_group(pairs, identity, [F.col("distance"), *[F.col("b_" + c) for c in fields]], 1)
     return points.join(near.unionByName(best.select(*near.columns)), identity, "left")
 

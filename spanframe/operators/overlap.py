@@ -79,16 +79,19 @@ def overlap_join(
     levels: list[int] | None = None,
     prefix: str = "b_",
     contained: bool = False,
+    length: int | None = None,
 ) -> DataFrame:
     """All pairs of overlapping intervals.
 
     Columns of ``b`` other than the keys come back as ``prefix + name``. With
     ``contained`` only pairs with ``a`` inside ``b`` are kept. Bin widths are
-    those of ``LADDER``, or ``levels`` where the range of lengths is known.
+    those of ``LADDER``, or ``levels`` where the range of lengths is known;
+    ``length`` is that of every interval of ``a`` where they are alike (points).
     """
     keys = list(keys)
     if levels is None:
-        levels, of_a, of_b = LADDER, levels_present(a), levels_present(b)
+        levels, of_b = LADDER, levels_present(b)
+        of_a = levels_present(a) if length is None else F.array(F.lit(next(i for i, size in enumerate(LADDER) if length <= size)))
     else:
         of_a = of_b = F.array(*[F.lit(i) for i in range(len(levels))])
     left = _binned(a, levels, of_b, True)
@@ -154,7 +157,7 @@ def point_overlap_best(
     points: DataFrame, intervals: DataFrame, identity: Sequence[str], score: str, levels: list[int] | None = None
 ) -> DataFrame:
     """Each point's best overlapping interval by ``score`` (nulls last), ties by start and end."""
-    pairs = overlap_join(as_interval(points), intervals, levels=levels)
+    pairs = overlap_join(as_interval(points), intervals, levels=levels, length=1)
     return best_per(
         pairs, identity, [F.col("b_" + score).desc_nulls_last(), F.col("b_start_pos"), F.col("b_end_pos")]
     )

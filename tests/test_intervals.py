@@ -197,3 +197,5 @@ def test_overlap_join_runs_no_job_while_it_is_planned(spark):
     assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
     assert pairs.count() > 0
     assert overlap.overlap_join(a, b.where("id < 0")).count() == 0
+    points = a.withColumn("end_pos", F.col("start_pos") + 1)
+    assert overlap.overlap_join(points, b, length=1).count() == overlap.overlap_join(points, b).count() > 0
