@@ -11,7 +11,6 @@ rows with a null or repeated doc_id are predicted each; null languages are not l
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +22,6 @@ from spanframe.llm.common import fold
 
 #: Rows of each language that training and calibration take at most, about.
 PER_LANGUAGE = 1000
-#: Most languages learnt, the commonest ones.
-MOST_LANGUAGES = 200
 CHARS = (2, 3, 4)
 #: Least lead of the best language's probability over the second's.
 LEAST_LEAD = 0.2
@@ -32,6 +29,17 @@ _ASCII = np.zeros(256, bool)
 _ASCII[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
+def _least_apart(words: np.ndarray, block: int = 1024) -> int:
+    """Least number of differing bits of two words, by blocks of words against all."""
+    least = words.shape[1]
+    for first in range(0, len(words), block):
+        own = words[first : first + block].astype(float)
+        apart = own @ (1.0 - words.T) + (1.0 - own) @ words.T
+        apart[np.arange(len(own)), first + np.arange(len(own))] = least
+        least = min(least, int(apart.min()))
+    return least
+
+
 def codewords(k: int) -> np.ndarray:
     """k rows of 0/1: all ways to part up to five languages in two, else random words with the largest least distance of 50 draws."""
     if k < 2:
@@ -41,7 +49,7 @@ def codewords(k: int) -> np.ndarray:
     rng, bits, best, most = np.random.default_rng(11), int(np.ceil(6 * np.log2(k))), None, -1
     for _ in range(50):
         words = rng.integers(0, 2, (k, bits))
-        least = min(int((a != b).sum()) for a, b in combinations(words, 2))
+        least = _least_apart(words)
         if least > most and all(0 < s < k for s in words.sum(0)):
             best, most = words, least
     return best if best is not None else words
@@ -70,15 +78,13 @@ class Codes:
 def learn(documents: DataFrame, folds: int, held: int, per_language: int = PER_LANGUAGE) -> Codes:
     """Learn from a bounded sample of documents (doc_id, text, lang) outside the held fold."""
     rows = documents.select("doc_id", "text", "lang").where("text is not null and lang is not null").where(fold("doc_id", folds) != held)
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in found)
+    found = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # every language: the model has a codeword for each
+    languages = sorted(found)
     words = codewords(len(languages))
     if len(languages) < 2:
         return Codes(languages, words, np.ones(words.shape), None)
-    share = F.lit(0.0)
-    for r in found:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["count"]))).otherwise(share)
-    number = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")).cast("int") - 1
+    number = F.array_position(F.lit(languages), F.col("lang")).cast("int") - 1
+    share = F.get(F.lit([min(1.0, per_language / found[name]) for name in languages]), number)
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("doc_id", "text", number.alias("label"), F.lit(1.0).alias("weight"))
     fits = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(5)) > 0
     bits = linear.train(sample.where(fits), lambda y: words[y].astype(float), (), CHARS, epochs=4)

@@ -208,12 +208,25 @@ def test_boundary_follows_cost():
 
 
 def test_codewords_are_apart():
-    for k in (2, 3, 4, 5, 9, 30):
+    for k in (2, 3, 4, 5, 9, 30, 250):
         words = langid.codewords(k)
+        assert len(words) == k
         least = min(int((a != b).sum()) for i, a in enumerate(words) for b in words[:i])
         assert least >= max(1, words.shape[1] // 5)
 
 
+def test_every_language_is_learnt(spark):
+    names = [f"l{k:03}" for k in range(250)]
+    spell = lambda k: "".join(chr(97 + (k * 7 + j * (1 + k // 26)) % 26) for j in range(6))
+    rows = [(k * 4 + c, f"{spell(k)} {spell(k)}", name) for k, name in enumerate(names) for c in range(4)] + [(5000, "abc", None), (5001, None, "l000")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    codes = langid.learn(docs, 1, 1)
+    assert codes.languages == names and codes.words.shape[0] == 250
+    got = langid.identify(docs, codes, "doc_id").collect()
+    assert len(got) == len(rows) and {r["lang_pred"] for r in got} <= {*names, "und"}
+    assert len({r["lang_pred"] for r in got}) > 200
+
+
 def test_threshold_separates():
     p, y = np.array([0.1, 0.2, 0.6, 0.9]), np.array([0, 0, 1, 1])
     assert 0.2 < toxicity.best_threshold(p, y, np.ones(4)) < 0.6
