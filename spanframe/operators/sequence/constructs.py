@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanframe.functions.seqexpr import gc_count, normalise
-from spanframe.operators.sequence import motifs
+from spanframe.operators.sequence import kernel, motifs
+from spanframe.operators.sequence.steps import chunks
 
 FLANK = 25
 JUNCTION_RUN = 7
@@ -52,18 +53,20 @@ def junctions(parts: DataFrame) -> DataFrame:
 def shared_kmers(parts: DataFrame, k: int = SHARED_K) -> DataFrame:
     """k-mers shared by two parts of a construct, with the first place in each.
 
-    After collapsing to one row per (construct, part, k-mer), a key joins at
-    most 20 rows with 20, the most parts a construct may have.
+    The parts of a construct meet as text, in buckets of bounded size; only the
+    shared k-mers leave the kernel.
     """
-    firsts = motifs.kmers(_keyed(parts), k, keep=("construct_id", "part_no")).groupBy(
-        "construct_id", "kmer", "part_no"
-    ).agg((F.min("i") + 1).alias("position"))
-    key = ["construct_id", "kmer"]
-    several = firsts.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
-    few = firsts.join(several, key, "left_semi")
-    left = few.withColumnsRenamed({"part_no": "part_a", "position": "position_a"})
-    right = few.withColumnsRenamed({"part_no": "part_b", "position": "position_b"})
-    return left.join(right, key).where(F.col("part_a") < F.col("part_b"))
+    plain = _keyed(parts).where("construct_id IS NOT NULL AND part_no IS NOT NULL")
+    total = F.sum(F.length("sequence")).over(Window.partitionBy("construct_id"))
+    keyed = plain.select("seq_id", "construct_id", F.col("part_no").cast("long").alias("part_no"), "sequence", total.alias("_total"))
+    pieces = chunks(keyed, 0, k - 1, spread=False)
+    shared = kernel.by_kmer(
+        pieces, "construct_id", "_total", k, kernel.forward_kmers(k), kernel.shared_places,
+        "kmer long, part_a long, position_a long, part_b long, position_b long", "part_no")
+    kind = plain.schema["part_no"].dataType
+    return shared.select(
+        "construct_id", motifs.spelled(F.col("kmer"), k).alias("kmer"), F.col("part_a").cast(kind).alias("part_a"), F.col("position_a").cast("int").alias("position_a"),
+        F.col("part_b").cast(kind).alias("part_b"), F.col("position_b").cast("int").alias("position_b"))
 
 
 def construct_flags(parts: DataFrame) -> DataFrame:

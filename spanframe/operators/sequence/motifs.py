@@ -22,7 +22,7 @@ from spanframe.functions.seqexpr import (
 )
 from spanframe.operators.merge import merge_intervals
 from spanframe.operators.sequence import kernel, runs
-from spanframe.operators.sequence.steps import CHUNK, at, bases, chunks, known_windows
+from spanframe.operators.sequence.steps import CHUNK, chunks, known_windows
 
 # Motif patterns.
 G4 = runs.G4
@@ -80,26 +80,14 @@ def z_runs(df: DataFrame, size: int = CHUNK) -> DataFrame:
     return scored.where(F.col("score") < 2.5).select("seq_id", "start", "end", F.lit("z_dna_prone").alias("motif"), F.round("score", 2).alias("score"))
 
 
-def _stem_hit(stem: int, reach: int) -> Column:
-    """0-based distance from a stem's end to the first reverse complement within reach, null if none."""
-    ahead = F.instr(at(stem, reach), reverse_complement(at(0, stem)))
-    return F.when(ahead > 0, ahead - 1)
-
-
 def inverted_repeats(df: DataFrame, stem: int = 6, min_loop: int = 3, max_loop: int = 12, size: int = CHUNK) -> DataFrame:
     """Hairpin stems: positions whose reverse complement first follows after a loop of allowed length.
 
     The partner lies within a fixed reach, so each position looks ahead inside
     its own chunk; nothing is joined.
     """
-    reach = max_loop + stem
-    cut = bases(chunks(df.select("seq_id", "sequence"), 0, stem + reach, size))
-    own = (F.col("i") >= F.col("core_start")) & (F.col("i") < F.col("core_end")) & (F.col("i") < F.col("n") - 2 * stem - 1)
-    found = cut.where(own).select("seq_id", "i", at(0, stem).alias("stem_5prime"), _stem_hit(stem, reach).alias("loop_length"))
-    return found.where((F.col("loop_length") >= min_loop) & ~F.col("stem_5prime").contains("N")).select(
-        "seq_id", F.col("i").alias("start"), (F.col("i") + 2 * stem + F.col("loop_length")).alias("end"), "loop_length",
-        "stem_5prime",
-    )
+    pieces = chunks(df.select("seq_id", "sequence"), 0, 2 * stem + max_loop, size, spread=False)
+    return kernel.scan(pieces, kernel.stems(stem, min_loop, max_loop), "start int, end int, loop_length int, stem_5prime string")
 
 
 def homopolymers(df: DataFrame, length: int = K.FLAG_HOMOPOLYMER, size: int = CHUNK) -> DataFrame:
@@ -122,34 +110,24 @@ def kmers(df: DataFrame, k: int, size: int = CHUNK, keep: tuple[str, ...] = ())
     return cut.select("seq_id", *keep, "i", at(0, k).alias("kmer")).where(~F.col("kmer").contains("N"))
 
 
+def spelled(code: Column, k: int) -> Column:
+    """Bases of a code of two bits a base."""
+    return F.concat(*[F.substring(F.lit("ACGT"), F.shiftright(code, 2 * (k - 1 - j)).bitwiseAND(3).cast("int") + 1, F.lit(1)) for j in range(k)])
+
+
 def kmer_repeats(df: DataFrame, k: int = K.FLAG_KMER, size: int = CHUNK) -> DataFrame:
     """Direct and inverted k-mer repeats: (seq_id, kind, kmer, first, second), 1-based starts.
 
     Direct: first and second occurrence of a k-mer. Inverted: the first place
     where a k-mer's reverse complement occurs after it, with the closest earlier
-    occurrence of the k-mer. Strand pairs share one canonical key; positions are
-    only ever minimised or maximised, so a hot k-mer combines on the map side.
+    occurrence of the k-mer. Strand pairs share one canonical key; a sequence's pieces
+    meet as text, and only k-mers that occur again leave the kernel.
     """
-    strand = kernel.scan(
-        chunks(df.select("seq_id", "sequence"), 0, k - 1, size, spread=False), kernel.canonical_kmers(k), "canon long, fwd boolean, i long"
-    )
-    key = ["seq_id", "canon"]
-    fwd, i = F.col("fwd"), F.col("i")
-    first = strand.groupBy(*key).agg(
-        F.min(F.when(fwd, i)).alias("f1"), F.min(F.when(~fwd, i)).alias("r1"), F.count(F.lit(1)).alias("_n")
-    ).where(F.col("_n") > 1).drop("_n")
-    again = strand.join(first, key)
-    second = again.groupBy(*key, "f1", "r1").agg(
-        F.min(F.when(fwd & (i > F.col("f1")), i)).alias("f2"), F.min(F.when(~fwd & (i > F.col("r1")), i)).alias("r2"),
-        # first opposite strand after the first occurrence
-        F.min(F.when(~fwd & (i > F.col("f1")), i)).alias("r_after"), F.min(F.when(fwd & (i > F.col("r1")), i)).alias("f_after"),
-    )
-    third = strand.join(second, key).groupBy(*key, "f1", "r1", "f2", "r2", "r_after", "f_after").agg(
-        F.max(F.when(fwd & (i < F.col("r_after")), i)).alias("f_before"),
-        F.max(F.when(~fwd & (i < F.col("f_after")), i)).alias("r_before"),
-    )
-    digits = [F.substring(F.lit("ACGT"), F.shiftright("canon", 2 * (k - 1 - j)).bitwiseAND(3).cast("int") + 1, F.lit(1)) for j in range(k)]
-    third = third.withColumn("canon", F.concat(*digits))
+    total = F.sum(F.length("sequence")).over(Window.partitionBy("seq_id"))
+    pieces = chunks(df.where("seq_id IS NOT NULL").select("seq_id", "sequence", total.alias("_total")), 0, k - 1, size, spread=False)
+    found = ", ".join(f"{c} long" for c in ("canon", "f1", "r1", "f2", "r2", "r_after", "f_after", "f_before", "r_before"))
+    third = kernel.by_kmer(pieces, "seq_id", "_total", k, kernel.canonical_kmers(k), kernel.repeat_places, found)
+    third = third.withColumn("canon", spelled(F.col("canon"), k))
     other = reverse_complement(F.col("canon"))
     found = F.array(
         F.struct(F.lit("direct").alias("kind"), F.col("canon").alias("kmer"), F.col("f1").alias("a"), F.col("f2").alias("b")),
@@ -177,12 +155,8 @@ def cpg_islands(df: DataFrame, merge_gap: int = 0, retest: bool = False, size: i
     must pass again as a whole); the default keeps the plain union. Chunks give runs
     of qualifying windows; island counts come from chunk slices, never from a whole sequence.
     """
-    width = K.ISLAND_LENGTH
     plain = df.select("seq_id", "sequence")
-    grouped = kernel.scan(
-        chunks(plain, 0, width, size, spread=False), kernel.island_runs(width, K.ISLAND_GC, K.ISLAND_OE), "start_pos long, end_pos long"
-    )
-    merged = merge_intervals(grouped, merge_gap, keys=("seq_id",)).select("seq_id", "start_pos", "end_pos")
+    width, merged = K.ISLAND_LENGTH, island_spans(df, merge_gap, size)
     counted = _slice_counts(merged, plain, size)
     length = F.col("end_pos") - F.col("start_pos")
     product = F.col("_c").cast("double") * F.col("_g")
@@ -198,6 +172,14 @@ def cpg_islands(df: DataFrame, merge_gap: int = 0, retest: bool = False, size: i
     return out.drop("_oe_n", "_gc_n")
 
 
+def island_spans(df: DataFrame, merge_gap: int = 0, size: int = CHUNK) -> DataFrame:
+    """Places of CpG islands alone: (seq_id, start_pos, end_pos)."""
+    width = K.ISLAND_LENGTH
+    pieces = chunks(df.select("seq_id", "sequence").where("seq_id IS NOT NULL"), 0, width, size, spread=False)
+    grouped = kernel.scan(pieces, kernel.island_runs(width, K.ISLAND_GC, K.ISLAND_OE), "start_pos long, end_pos long")
+    return merge_intervals(grouped, merge_gap, keys=("seq_id",)).select("seq_id", "start_pos", "end_pos")
+
+
 def _slice_counts(regions: DataFrame, sequences: DataFrame, size: int) -> DataFrame:
     """C, G, CG and known bases of each region (seq_id, start_pos, end_pos), summed over chunk slices."""
     wanted = regions.withColumn(
@@ -256,24 +238,20 @@ def pwm_scan(df: DataFrame, matrix: list[list[float]], threshold: float, size: i
 
 def restriction_sites(df: DataFrame, size: int = CHUNK) -> DataFrame:
     """Every occurrence (overlapping ones too) of the fixed recognition sites, 1-based."""
-    longest = max(map(len, K.RESTRICTION_SITES.values()))
-    cut = bases(chunks(df.select("seq_id", "sequence"), 0, longest - 1, size)).where(F.col("i") < F.col("core_end"))
-    mers = cut.select("seq_id", "i", at(0, longest).alias("_mer"))
-    sites = F.array(*[
-        F.when(F.col("_mer").startswith(site), F.struct(F.lit(name).alias("enzyme"), F.lit(site).alias("site")))
-        for name, site in K.RESTRICTION_SITES.items()
-    ])
-    return mers.select("seq_id", "i", F.explode(F.array_compact(sites)).alias("s")).select(
-        "seq_id", "s.enzyme", "s.site", (F.col("i") + 1).alias("position"), (F.col("i") + F.length("s.site")).alias("end")
-    )
+    names, sites = list(K.RESTRICTION_SITES), list(K.RESTRICTION_SITES.values())
+    pieces = chunks(df.select("seq_id", "sequence"), 0, max(map(len, sites)) - 1, size, spread=False)
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), F.col("site"))
+    found = kernel.scan(pieces, kernel.site_places(K.RESTRICTION_SITES), "site int, i long")
+    return found.select(
+        "seq_id", pick(names).alias("enzyme"), pick(sites).alias("site"), (F.col("i") + 1).cast("int").alias("position"),
+        (F.col("i") + F.length(pick(sites))).cast("int").alias("end"))
 
 
 def gc_windows(df: DataFrame, window: int = 100) -> DataFrame:
     """GC fraction of consecutive windows of each sequence: (seq_id, w, start, end, gc), 1-based."""
-    from spanframe.operators.sequence.steps import fixed_windows
-
-    wins = fixed_windows(df, window)
-    return wins.select(
-        "seq_id", (F.col("start_pos") / window).cast("int").alias("w"), (F.col("start_pos") + 1).alias("start"),
-        F.col("end_pos").alias("end"), gc_fraction(F.col("window")).alias("gc"),
+    pieces = chunks(df.select("seq_id", "sequence"), 0, window - 1, spread=False)
+    counted = kernel.scan(pieces, kernel.gc_counts(window), "start int, end int, _gc long, _known long")
+    return counted.select(
+        "seq_id", ((F.col("start") - 1) / window).cast("int").alias("w"), "start", "end",
+        F.when(F.col("_known") > 0, F.col("_gc") / F.col("_known")).otherwise(0.0).alias("gc"),
     )
