@@ -186,15 +186,14 @@ def melting_temp(df: DataFrame, salt_mm: float = 1000.0, oligo_nm: float = 250.0
 
 def contextual(df: DataFrame, window: int = 10, size: int = CHUNK) -> DataFrame:
     """Local stability and flexibility per sequence: mean and largest bubble propensity, mean flexibility."""
-    return (
-        contextual_profile(df, window, size)
-        .groupBy("seq_id")
-        .agg(
-            F.count(F.lit(1)).alias("n_steps"),
-            F.round(F.avg("bubble_propensity"), 4).alias("mean_bubble_propensity"),
-            F.round(F.max("bubble_propensity"), 4).alias("max_bubble_propensity"),
-            F.round(F.avg("local_flexibility"), 2).alias("mean_flexibility"),
-        )
+    half = window // 2
+    dg, trx = ([round(t[d] * K.STEP_SCALE) for d in K.DINUCLEOTIDES] for t in (K.NN_DELTA_G37, K.DEFORMABILITY))
+    pieces = chunks(df.select("seq_id", "sequence"), half, half + 1, size, spread=False)
+    sums = kernel.scan(pieces, kernel.context_sums(half, dg, trx, K.STEP_SCALE), "n long, known long, bubble double, most double, bend double")
+    known = F.sum("known")
+    return sums.groupBy("seq_id").agg(
+        F.sum("n").alias("n_steps"), F.round(F.try_divide(F.sum("bubble"), known), 4).alias("mean_bubble_propensity"),
+        F.round(F.max("most"), 4).alias("max_bubble_propensity"), F.round(F.try_divide(F.sum("bend"), known), 2).alias("mean_flexibility"),
     )
 
 
@@ -275,10 +274,10 @@ def melting_curve(windows: DataFrame, body_kelvin: float = 310.15) -> DataFrame:
     gc = gc_count(F.col("sequence"))
     body = reduce(add, [F.col(f"c_{d}") * F.lit(p) for d, p in zip(K.DINUCLEOTIDES, open_share(body_kelvin), strict=True)])
     staged = counted.withColumn("_counts", counts).withColumn("_open", share)
-    first = lambda level: F.array_position(F.transform("_open", lambda s: s / F.col("_n") >= level), True)
+    first = lambda level: F.array_position(F.transform("_open", lambda s: F.try_divide(s, F.col("_n")) >= level), True)
     return staged.withColumns({"_t20": first(0.2), "_t80": first(0.8)}).select(
         "seq_id",
-        F.when(F.col("_n") > 0, body / F.col("_n")).otherwise(0.0).alias("bubble_propensity"),
+        F.coalesce(F.try_divide(body, F.col("_n")), F.lit(0.0)).alias("bubble_propensity"),
         F.when((F.col("_n") > 0) & (F.col("_t20") > 0) & (F.col("_t80") > 0), (F.col("_t80") - F.col("_t20")) * 0.5)
         .otherwise(120.0).alias("melting_width"),
         F.when(known > 0, 1e-5 * F.exp(2.0 * (1.0 - gc / known))).otherwise(1e-5).alias("melting_cooperativity"),
