@@ -38,16 +38,10 @@ def stability_windows(df: DataFrame, window: int = 100) -> DataFrame:
     """Mean step energy of consecutive runs of ``window`` steps (unknown bases removed first)."""
     plain = df.select("seq_id", clean(normalise(F.col("sequence"))).alias("sequence"))
     # A run of `window` steps spans window+1 bases.
-    n = F.length("_raw")
-    raw = plain.where(F.length("sequence") > 1).select("seq_id", F.col("sequence").cast("binary").alias("_raw"))
-    cut = raw.withColumn("s", F.explode(F.sequence(F.lit(0), n - 2, F.lit(window)))).select(
-        "seq_id", (F.col("s") / window).cast("int").alias("w"),
-        F.substring("_raw", F.col("s") + 1, F.lit(window + 1)).cast("string").alias("part"),
-    )
-    # The aggregate (one row per key) keeps later filters from copying the long count expressions.
-    return with_step_counts(cut, "part").groupBy("seq_id", "w").agg(
-        F.max(F.round(step_sum(K.NN_DELTA_G37) / step_total(), 4)).alias("dg")
-    )
+    scaled = [round(K.NN_DELTA_G37[d] * K.STEP_SCALE) for d in K.DINUCLEOTIDES]
+    sums = kernel.scan(chunks(plain, 0, window, spread=False), kernel.step_sums(window, scaled), "w int, _sum long, _steps long")
+    mean = F.try_divide(F.col("_sum") / F.lit(float(K.STEP_SCALE)), F.col("_steps"))
+    return sums.groupBy("seq_id", "w").agg(F.max(F.round(mean, 4)).alias("dg"))
 
 
 def _flag(df: DataFrame, kind: str, code, start, end) -> DataFrame:
@@ -61,7 +55,7 @@ def flags(df: DataFrame, window: int = 100, islands: DataFrame | None = None) ->
     """One row per flag: (seq_id, type, code, start, end); whole-sequence flags have null bounds."""
     plain = df.select("seq_id", normalise(F.col("sequence")).alias("sequence"))
     lengths = plain.select("seq_id", F.length("sequence").alias("n"))
-    found = islands if islands is not None else motifs.cpg_islands(plain)
+    found = islands if islands is not None else motifs.island_spans(plain)
     gc = motifs.gc_windows(plain, window).withColumn("gc", F.round("gc", 4))
     start, end = F.col("start"), F.col("end")
 
@@ -75,7 +69,7 @@ def flags(df: DataFrame, window: int = 100, islands: DataFrame | None = None) ->
     nothing = F.lit(None)
     # Filtering after an aggregate keeps the optimizer from copying the long count expressions.
     z = with_step_counts(plain.withColumn("sequence", clean(F.col("sequence")))).groupBy("seq_id").agg(
-        F.max(F.round(step_sum(K.Z_FORM) / step_total(), 3)).alias("z")
+        F.max(F.round(F.try_divide(step_sum(K.Z_FORM), step_total()), 3)).alias("z")
     ).where(F.col("z") < K.FLAG_Z_FORM)
     many = found.groupBy("seq_id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= K.FLAG_SILENCING_ISLANDS)
     repeats = motifs.kmer_repeats(plain, K.FLAG_KMER)
@@ -139,7 +133,7 @@ def evaluate(df: DataFrame, salt_mm: float = 1000.0, oligo_nm: float = 250.0, wi
     """Full evaluation per sequence: summary, island count and flag counts by type; rejected rows keep the reason."""
     checked = validate(df.select("seq_id", "sequence"))
     good = checked.where(F.col("reject").isNull()).drop("reject")
-    islands = motifs.cpg_islands(good)
+    islands = motifs.island_spans(good)
     counts = flags(good, window, islands).groupBy("seq_id").agg(
         F.count(F.lit(1)).alias("n_flags"), F.count_if(F.col("type") == "warning").alias("n_warning"),
         F.count_if(F.col("type") == "feature").alias("n_feature"), F.count_if(F.col("type") == "info").alias("n_info"),

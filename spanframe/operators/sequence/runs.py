@@ -29,7 +29,7 @@ SHORTEST_G4 = 4 * BLOCK + 3
 
 
 def _pieces(df: DataFrame, left: int, right: int, size: int) -> DataFrame:
-    return chunks(df.select(*[c for c in ("seq_id", "chunk", "start_pos", "sequence") if c in df.columns]), left, right, size)
+    return chunks(df.select(*[c for c in ("seq_id", "chunk", "start_pos", "sequence") if c in df.columns]), left, right, size, spread=False)
 
 
 def _links(p: kernel.Pieces, kind: str) -> np.ndarray:
