@@ -79,3 +79,12 @@ def test_windows_and_stems_across_chunks(spark):
             want.append((1, i, i + 12 + d, d, s[i : i + 6]))
     assert rows(motifs.inverted_repeats(df, size=64)) == want
     assert rows(thermo.contextual(df, size=64)) == rows(thermo.contextual(df))
+
+
+def test_contextual_of_repeated_ids(spark):
+    one, two = text(10, 300), text(11, 40)
+    df = spark.createDataFrame([(1, one), (1, one), (2, two)], "seq_id long, sequence string")
+    got = {r.seq_id: r for r in thermo.contextual(df).collect()}
+    assert got[1].n_steps == 2 * 299 and got[2].n_steps == 39
+    both = thermo.contextual_profile(df).where("seq_id = 1").collect()
+    assert got[1].mean_bubble_propensity == round(sum(r.bubble_propensity for r in both) / len(both), 4)
