@@ -65,6 +65,14 @@ def fold(column: str | Column, n: int) -> Column:
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(n))
 
 
+def labelled_ids(labels: DataFrame, label: str, folds: int, held: int) -> DataFrame:
+    """Ids outside the held fold with their one label, 0 or 1; ids with both are dropped."""
+    return (
+        labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
+        .where(fold("doc_id", folds) != held).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
+    )
+
+
 def labelled(documents: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: int, extra: tuple[str, ...] = ()) -> DataFrame:
     """A bounded sample of labelled rows outside the held fold: (doc_id, text, *extra, label, weight).
 
@@ -73,10 +81,7 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, folds: int, he
     of rows that one stands for. The ids that go
     to the executors are at most about 2 * per_class, whatever the size of the tables.
     """
-    ids = (
-        labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
-        .where(fold("doc_id", folds) != held).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
-    )
+    ids = labelled_ids(labels, label, folds, held)
     counts = {r["label"]: r["count"] for r in ids.groupBy("label").count().collect()}
     share = F.lit(1.0)
     for value, n in counts.items():

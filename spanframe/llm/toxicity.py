@@ -1,10 +1,10 @@
 """Operator 10: toxicity by a convolutional text classifier trained in numpy.
 
 Words (runs of letters, lower case for A-Z) are hashed to embeddings, once whole and once by their first four bytes, and the two are added;
-filters one, two and three words wide, a rectifier and the largest value over the whole text feed a logistic output. One task trains on a bounded sample of labelled rows; embeddings start from
-the smoothed log odds of their bucket, so rare words start near zero. Scoring adds up tables of embedding times filter, in blocks of texts.
-Thresholds are calibrated for each language on sample rows left out of training; the language is the one predicted from the text (operator
-5), and the score is shifted so that 0.5 is the language's threshold.
+filters one, two and three words wide, a rectifier and the largest value over the whole text feed a logistic output. All labelled rows outside the held fold
+take part: three in four train, dealt to shards of bounded size that start from one model; their changes are averaged, summed by slices of the model; the rest calibrate. Embeddings start from the smoothed log odds of their bucket in all training rows, so rare words start near zero. Scoring adds up tables of
+embedding times filter, in blocks of texts. Slope, base and the thresholds of each language come from counts of all rows left out by language, label and logit
+(in steps of 1/64); the language is the one predicted from the text (operator 5), and the score is shifted so that 0.5 is the language's threshold.
 
 Defined results: null texts and texts without letters have no windows and get the score of the output's bias; rows with a null or
 repeated doc_id are scored each; contradicting and null labels are not learnt from; without labels of both classes every score is
@@ -13,7 +13,6 @@ the share of label 1 (0 without labels); other columns are ignored.
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,11 +23,15 @@ from pyspark.sql import functions as F
 
 from spanframe.llm import arrays as A
 from spanframe.llm import langid, linear
-from spanframe.llm.common import labelled, text_blocks
+from spanframe.llm.common import fold, labelled_ids, stored, text_blocks
 from spanframe.llm.calibrate import platt
 
-#: Labelled rows of each class that training and calibration take at most, about.
-PER_CLASS = 4000
+#: Rows of a training shard, about.
+SHARD_ROWS = 6000
+#: Numbers of a slice when models are summed.
+SLICE = 1 << 14
+#: Steps of a logit unit and the largest logit by which rows left out are counted.
+STEPS, MOST = 64, 32
 #: Hash bits of words, numbers of an embedding, filters of each width, widths.
 BITS, SIZE, FILTERS, WIDTHS = 15, 12, 12, (1, 2, 3)
 PAD = 2 << BITS
@@ -110,13 +113,9 @@ class _Step:
         self.values[rows] -= self.rate * grad / np.sqrt(self.squares[rows])
 
 
-def fit(texts: list[np.ndarray], y: np.ndarray, epochs: int = 6, batch: int = 32) -> Net:
-    """Train on arrays of word buckets and 0/1 labels, both classes weighing the same."""
-    rng, n1 = np.random.default_rng(5), int(y.sum())
-    n0 = len(y) - n1
-    seen = [np.zeros(PAD + 1), np.zeros(PAD + 1)]
-    for ids, label in zip(texts, y):
-        seen[int(label)][np.unique(ids)] += 1
+def begin(seen: np.ndarray, n0: float, n1: float) -> Net:
+    """The model that training starts from: ``seen`` counts the texts of either label with each bucket, n0 and n1 all texts."""
+    rng = np.random.default_rng(5)
     odds = np.log((seen[1] + 0.5) / (n1 + 1)) - np.log((seen[0] + 0.5) / (n0 + 1))
     many = seen[0] + seen[1]
     embedding = rng.normal(0, 0.02, (PAD + 1, SIZE)).astype(np.float32)
@@ -125,10 +124,14 @@ def fit(texts: list[np.ndarray], y: np.ndarray, epochs: int = 6, batch: int = 32
     filters = [rng.normal(0, 0.15, (w, SIZE, FILTERS)).astype(np.float32) for w in WIDTHS]
     for f in filters:
         f[:, 0, : FILTERS // 2] = 1 / len(f)
-    net = Net(embedding, filters, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], rng.normal(0, 0.1, FILTERS * len(WIDTHS)).astype(np.float32), 0.0)
-    bias = np.zeros(1)
+    return Net(embedding, filters, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], rng.normal(0, 0.1, FILTERS * len(WIDTHS)).astype(np.float32), 0.0)
+
+
+def fit(net: Net, texts: list[np.ndarray], y: np.ndarray, n0: float, n1: float, epochs: int = 6, batch: int = 32) -> None:
+    """Train a model further on arrays of word buckets and 0/1 labels, both classes (n0 and n1 rows in all) weighing the same."""
+    rng, embedding, filters, bias = np.random.default_rng(6), net.embedding, net.filters, np.array([net.bias])
     steps = [_Step(f, 0.03) for f in filters], [_Step(s, 0.03) for s in net.shifts], _Step(net.output, 0.1), _Step(embedding, 0.05), _Step(bias, 0.1)
-    weight = np.where(y == 1, len(y) / (2 * max(n1, 1)), len(y) / (2 * max(n0, 1)))
+    weight = np.where(y == 1, (n0 + n1) / (2 * n1), (n0 + n1) / (2 * n0))
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for i in range(0, len(order), batch):
@@ -166,7 +169,6 @@ def fit(texts: list[np.ndarray], y: np.ndarray, epochs: int = 6, batch: int = 32
             real = ids < PAD
             steps[3](total[real], ids[real])
     net.bias = float(bias[0])
-    return net
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
@@ -180,42 +182,109 @@ def best_threshold(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     return float(np.clip((p[order][k] + low) / 2, 0.02, 0.98))
 
 
-def learn(documents: DataFrame, labels: DataFrame, codes: langid.Codes, folds: int, held: int, per_class: int = PER_CLASS) -> Net:
-    """Train in one task on a bounded sample of labelled rows outside the held fold, then calibrate on those left out."""
-    sample = labelled(documents, labels, "toxic", folds, held, per_class)
-    fits = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(4)) > 0
+def _flat(net: Net) -> np.ndarray:
+    return np.concatenate([v.ravel() for v in (net.embedding, *net.filters, *net.shifts, net.output, np.array([net.bias]))]).astype(np.float64)
+
+
+def _unflat(values: np.ndarray) -> Net:
+    shapes = [(PAD + 1, SIZE), *((w, SIZE, FILTERS) for w in WIDTHS), *((FILTERS,) for _ in WIDTHS), (FILTERS * len(WIDTHS),)]
+    cuts = np.cumsum([int(np.prod(s)) for s in shapes])
+    parts = [v.reshape(s).astype(np.float32) for v, s in zip(np.split(values[:-1], cuts[:-1]), shapes)]
+    k = len(WIDTHS)
+    return Net(parts[0], parts[1 : k + 1], parts[k + 1 : 2 * k + 1], parts[-1], float(values[-1]))
+
+
+#: What tasks yield of an array: its numbers other than 0 and their places, by slices.
+SPARSE = "slice int, at binary, part binary"
+
+
+def _slices(values: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(values)
+    cuts = np.flatnonzero(np.diff(at // SLICE, prepend=-1))
+    some = [*zip(cuts, [*cuts[1:], len(at)])]
+    columns = [[at[i] // SLICE for i, _ in some], [(at[i:j] % SLICE).astype(np.int32).tobytes() for i, j in some], [values[at[i:j]].astype(np.float32).tobytes() for i, j in some]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], names=["slice", "at", "part"])
+
+
+def _summed(parts: DataFrame, size: int) -> np.ndarray:
+    """Sum of the arrays of ``size`` numbers that tasks yield by slices: a task adds up the parts of some slices, the driver gets one array."""
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, at, part in zip(batch.column("slice").to_pylist(), batch.column("at"), batch.column("part")):
+                own = sums.setdefault(i, np.zeros(SLICE))
+                own[np.frombuffer(at.as_buffer(), np.int32)] += np.frombuffer(part.as_buffer(), np.float32)
+        if sums:
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([*sums], pa.int32()), "part": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
+
+    out = np.zeros(-(-size // SLICE) * SLICE)
+    for r in parts.repartition("slice").mapInArrow(add, "slice int, part binary").collect():
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["part"], np.float64)
+    return out[:size]
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
+    for block in text_blocks(batches):
+        ids, places = words(*A.raw(block.column("text")))
+        yield from zip(np.split(ids, places[1:-1]), block.column("label").to_pylist())
+
+
+def train(rows: DataFrame, n0: int, n1: int) -> Net:
+    """Train on all rows (doc_id, text, label) of both classes, n0 and n1 of them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, PAD + 1))
+        for ids, label in _texts(batches):
+            seen[label][np.unique(ids)] += 1
+        yield _slices(seen.ravel())
+
+    seen = _summed(rows.select("text", "label").mapInArrow(count, SPARSE), 2 * (PAD + 1)).reshape(2, -1)
+    shards, start = -(-(n0 + n1) // SHARD_ROWS), _flat(begin(seen, n0, n1)).astype(np.float32)
+
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, y = [], []
-        for block in text_blocks(batches):
-            ids, places = words(*A.raw(block.column("text")))
-            texts += np.split(ids, places[1:-1])
-            y += block.column("label").to_pylist()
-        if len(set(y)) == 2:
-            net, out = fit(texts, np.array(y)), io.BytesIO()
-            np.savez_compressed(out, e=net.embedding, o=net.output, b=net.bias, **{f"f{i}": f for i, f in enumerate(net.filters)}, **{f"s{i}": s for i, s in enumerate(net.shifts)})
-            yield pa.RecordBatch.from_pydict({"model": [out.getvalue()]})
-
-    got = sample.where(fits).repartition(1).sortWithinPartitions("doc_id").select("text", "label").mapInArrow(train, "model binary").collect()
-    if not got:
-        share = sample.agg(F.sum(F.col("label") * F.col("weight")) / F.sum("weight")).first()[0] or 0.0
+        for ids, label in _texts(batches):
+            texts.append(ids)
+            y.append(label)
+        if texts:
+            own = _unflat(start)
+            fit(own, texts, np.array(y), n0, n1)
+            yield _slices((_flat(own) - start) * (len(y) / (n0 + n1)))
+
+    dealt = rows.repartition(shards, F.xxhash64("doc_id", "text")).sortWithinPartitions("doc_id", "text")
+    return _unflat(start + _summed(dealt.select("text", "label").mapInArrow(shard, SPARSE), len(start)))
+
+
+def learn(documents: DataFrame, labels: DataFrame, codes: langid.Codes, folds: int, held: int) -> Net:
+    """Train on the labelled rows outside the held fold, all but one in four, then calibrate on those."""
+    fits = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(4)) > 0
+    asked = documents.select("doc_id", "text").where("text is not null").where(fold("doc_id", folds) != held)
+    ids = labelled_ids(labels, "toxic", folds, held).hint("merge")  # as many as the table has: no broadcast at any size
+    rows = stored(asked.join(ids, "doc_id").withColumn("fits", fits), "toxic-rows")
+    counts = {(r["fits"], r["label"]): r["count"] for r in rows.groupBy("fits", "label").count().collect()}
+    n0, n1 = (counts.get((True, label), 0) for label in (0, 1))
+    if not (n0 and n1):
+        n = sum(counts.values())
+        share = sum(c for (_, label), c in counts.items() if label) / n if n else 0.0
         base = float(np.log((share + 1e-9) / (1 - share + 1e-9)))
         return Net(np.zeros((PAD + 1, SIZE), np.float32), [np.zeros((w, SIZE, FILTERS), np.float32) for w in WIDTHS], [np.zeros(FILTERS)] * len(WIDTHS), np.zeros(FILTERS * len(WIDTHS)), base)
-    m = np.load(io.BytesIO(got[0][0]))
-    net = Net(m["e"], [m[f"f{i}"] for i in range(len(WIDTHS))], [m[f"s{i}"] for i in range(len(WIDTHS))], m["o"], float(m["b"]))
+    net = train(rows.where("fits"), n0, n1)
 
     def left(_: pa.Array, data: np.ndarray, ends: np.ndarray) -> dict:
-        return {"logit": net.logits(data, ends).astype(float), "lang": pa.array(_languages(codes, data, ends), pa.string())}
+        steps = np.rint(np.clip(net.logits(data, ends), -MOST, MOST) * STEPS).astype(np.int32)
+        return {"step": steps, "lang": pa.array(_languages(codes, data, ends), pa.string())}
 
-    rest = linear.apply_blocks(sample.where(~fits), "text", ("label", "weight"), left, "logit double, lang string").toArrow()
-    y, w, z, lang = (rest[n].to_numpy() for n in ("label", "weight", "logit", "lang"))
+    rest = linear.apply_blocks(rows.where("not fits"), "text", ("label",), left, "step int, lang string").groupBy("lang", "label", "step").agg(F.count(F.lit(1)).cast("double").alias("rows"))
+    rest = rest.toArrow().sort_by([("lang", "ascending"), ("step", "ascending"), ("label", "ascending")])
+    y, w, z, lang = (rest[n].to_numpy() for n in ("label", "rows", "step", "lang"))
     if len(set(y.tolist())) == 2:
-        net.slope, net.base = platt(z, y, w)
-        p = net.chance(z)
+        net.slope, net.base = platt(z / STEPS, y, w)
+        p = net.chance(z / STEPS)
         net.threshold = best_threshold(p, y, w)
         for x in sorted(set(lang)):
             own = lang == x
-            if min(y[own].sum(), (1 - y[own]).sum()) >= LEAST_ROWS:
+            if min((w * y)[own].sum(), (w * (1 - y))[own].sum()) >= LEAST_ROWS:
                 net.thresholds[x] = best_threshold(p[own], y[own], w[own])
     return net
 
