@@ -1,7 +1,12 @@
 """Operators that used to repeat work for each mention of a column, or had a row per base."""
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from spanframe.functions import constants as K
+from spanframe.operators.sequence import kernel, thermo
 from spanframe.sources import readers
 
 
@@ -18,3 +23,50 @@ def test_lines_are_split_once(spark):
     assert _plan(found).count("split(") == 1
     got = sorted((r["chr_id"], r["start_pos"], r["end_pos"], r["gene_symbol"], r["gene_id"], r["feature_type"]) for r in found.collect())
     assert got == [(1, 10, 90, "A", "g1", "gene"), (23, 20, 90, "E", "g5", "cds")]
+
+
+def _texts(spark):
+    rng = np.random.default_rng(3)
+    made = ["".join(rng.choice(list("ACGT"), n)) for n in (1, 2, 700, 2300, 5001)] + ["ACGTNNACNGT" * 130, "", None, "acgu" * 300]
+    return spark.createDataFrame([*enumerate(made), (50, "ACGTTGCA" * 90), (50, "ACGTTGCA" * 90), (None, "ACGT" * 200)], "seq_id long, sequence string")
+
+
+def _rows(df, digits=7):
+    return sorted(tuple(round(v, digits) + 0.0 if isinstance(v, float) else v for v in r) for r in df.collect())
+
+
+def test_profile_without_a_row_per_step_in_spark(spark):
+    df = _texts(spark).where("seq_id is null or seq_id <> 50")
+    micro = {d: round((K.NN_DELTA_H[d] - K.KELVIN_37 * (K.NN_DELTA_S[d] + K.SALT_ENTROPY * math.log(0.15)) / 1000.0) * 1e6) for d in K.DINUCLEOTIDES}
+    for digits in (2, 6):
+        fast = thermo.thermo_profile(df, 150.0, 512, digits)
+        slow = thermo._shared_profile(df, micro, 512, digits)
+        assert fast.columns == slow.columns and _rows(fast) == _rows(slow)
+    plan = _plan(thermo.thermo_profile(spark.createDataFrame([(1, "ACGT")], "seq_id long, sequence string")))
+    assert plan.count("MapInArrow") == 1  # the rows of sequences with an id of their own
+    both = thermo.thermo_profile(_texts(spark).where("seq_id = 50"), 150.0, 512, 6)
+    assert _rows(both) == _rows(thermo._shared_profile(_texts(spark).where("seq_id = 50"), micro, 512, 6))
+
+
+def test_running_sum_carries_over_blocks(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "ACGTTGCANACG" * 40), (2, "GGCATN" * 9), (3, "TTAGC" * 50)], "seq_id long, sequence string").coalesce(1)
+    whole = _rows(thermo.thermo_profile(df, size=8192))
+    assert whole == _rows(thermo.thermo_profile(df, size=16))
+    steps = kernel.RunningSteps(list(range(1, 17)))
+    piece = lambda text, start, n: kernel.Pieces(np.frombuffer(text, np.uint8), *(np.array([v]) for v in (0, len(text), n, start, min(n, start + 4), start)))
+    first, second = steps(piece(b"ACGTA", 0, 7)), steps(piece(b"ACG", 4, 7))
+    assert first[3].tolist() == [2, 9, 21, 34] and second[3].tolist() == [36, 43] and second[1].tolist() == [4, 5]
+    assert steps(piece(b"AAC", 0, 3))[3].tolist() == [1, 3]
+
+
+def test_window_tracks_without_a_row_per_step(spark):
+    df = _texts(spark)
+    got = {(r["seq_id"], r["start_pos"]): r for r in thermo.window_tracks(df.where("seq_id <> 50")).collect()}
+    keyed = thermo._track_windows(df.where("seq_id <> 50"), 1000)
+    want = thermo._base_tracks(keyed).drop("sequence").join(thermo._shared_sums(keyed), ["seq_id", "win"]).select("seq_id", "win", "melting_temp", *thermo._bend_and_period()).collect()
+    assert len(got) == len(want) > 8
+    for r in want:
+        for name in ("melting_temp", "curvature", "periodicity_power"):
+            assert abs(got[r["seq_id"], r["win"]][name] - r[name]) < 1e-9
+    assert _plan(thermo.window_tracks(df)).count("MapInArrow") == 1
+    assert [r["seq_id"] for r in thermo.window_tracks(df.where("seq_id = 50")).collect()] == [50, 50]
