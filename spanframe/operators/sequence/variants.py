@@ -12,6 +12,7 @@ from spanframe.operators.sequence import kernel
 from spanframe.operators.sequence.motifs import G4, runs_pattern
 from spanframe.operators.sequence.steps import CHUNK, chunks
 from spanframe.operators.sequence.thermo import GROOVES, STRUCTURE, curvature
+from spanframe.session import scratch_dir
 
 #: Lags of the autocorrelation of AT steps, about a helix turn.
 LAGS = (10, 11)
@@ -106,8 +107,13 @@ def variant_deltas(variants: DataFrame, sequences: DataFrame, flank: int = 50) -
     """Differences alternative minus reference: energy, structure, curvature, grooves, motifs, CpG, periodicity.
 
     Both texts of a variant go through the same operators as one stacked table.
+    The short windows are written once, because four branches read them: the
+    sequences are cut and shuffled for them once, not four times.
     """
-    windows = apply_variants(variants, sequences, flank)
+    spark, path = variants.sparkSession, scratch_dir(variants.sparkSession, "windows")
+    asked = apply_variants(variants, sequences, flank)
+    asked.write.parquet(path)
+    windows = spark.read.schema(asked.schema).parquet(path)
     good = windows.where(F.col("reject").isNull())
     both = good.select(
         "variant_id", "at",

@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from spanframe.functions import constants as K
-from spanframe.operators.sequence import kernel, thermo
+from spanframe.operators import scan
+from spanframe.operators.sequence import kernel, thermo, variants
 from spanframe.sources import readers
 
 
@@ -70,3 +71,29 @@ def test_window_tracks_without_a_row_per_step(spark):
             assert abs(got[r["seq_id"], r["win"]][name] - r[name]) < 1e-9
     assert _plan(thermo.window_tracks(df)).count("MapInArrow") == 1
     assert [r["seq_id"] for r in thermo.window_tracks(df.where("seq_id = 50")).collect()] == [50, 50]
+
+
+def test_variant_windows_are_put_together_once(spark):
+    sequences = spark.createDataFrame([(k, "ACGTTGCATTAACGCG" * 12) for k in range(6)], "seq_id long, sequence string")
+    asked = spark.createDataFrame([(k, k, 40 + k, "ACGTTGCATTAACGCG"[(40 + k) % 16], "G") for k in range(6)] + [(9, 99, 3, "A", "C")], "variant_id long, seq_id long, pos int, ref string, alt string")
+    made = variants.variant_deltas(asked, sequences)
+    assert "ExistingRDD" not in _plan(made) and "LocalTableScan" not in _plan(made)  # neither table is read again
+    got = {r["variant_id"]: r for r in made.collect()}
+    assert len(got) == 7 and got[9]["reject"] == "reference_mismatch" and all(got[k]["reject"] is None and got[k]["delta_dg37"] is not None for k in range(6))
+
+
+def test_few_cut_points_for_given_buckets(spark):
+    rows = [(g, float(v * v % 977)) for g in range(5) for v in range(40 + g)] + [(None, 1.0), (1, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    found = scan.exact_quantiles(df, ["g"], "v", {"low": 0.25, "median": 0.5}, buckets=8, moments=True)
+    assert "0.998" not in _plan(found)  # of 1023 shares
+    for r in found.collect():
+        own = np.array([v for g, v in rows if g == r["g"] and v is not None])
+        assert r["n"] == len(own) and abs(r["median"] - np.median(own)) < 1e-9 and abs(r["low"] - np.quantile(own, 0.25)) < 1e-9 and abs(r["sd"] - own.std(ddof=1)) < 1e-9
+    monkey = scan.BUCKET_VALUES
+    try:
+        scan.BUCKET_VALUES = 7
+        again = scan.exact_quantiles(df, ["g"], "v", {"low": 0.25, "median": 0.5}, buckets=8, moments=True)
+        assert _rows(again) == _rows(found)
+    finally:
+        scan.BUCKET_VALUES = monkey
