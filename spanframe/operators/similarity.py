@@ -62,20 +62,20 @@ class _Best:
         parts = {n: _products(self.queries, rows, self.layers[n]) for n in self.compared}
         dot, first, second, shared = (sum(p[i] for p in parts.values()) for i in range(4))
         score = _cosine(dot, first, second)
-        good = np.isfinite(score) & (shared >= self.least * self.dims) & (shared > 0)
-        order = np.where(good, np.round(score, self.digits), -np.inf)
-        single = {n: _cosine(*p[:3]) for n, p in parts.items()}
-        k = self.k
+        score[(shared < self.least * self.dims) | (shared <= 0) | ~np.isfinite(score)] = -np.inf
+        k, half = self.k, 10.0**-self.digits
         for q, own in enumerate(self.queries.ids):
-            line = order[q]
             bound = -self.rows[q][-1][0] if len(self.rows[q]) == k else -np.inf
-            at = np.flatnonzero((line >= bound) & (line > -np.inf))
+            at = np.flatnonzero((score[q] >= bound - half) & (score[q] > -np.inf))  # rounding moves a score by less
+            line = np.round(score[q, at], self.digits)
+            at, line = at[line >= bound], line[line >= bound]
             if len(at) > k + 1:  # one may be the query itself
-                cut = np.partition(line[at], len(at) - k - 1)[len(at) - k - 1]
-                at = at[line[at] >= cut]
+                cut = np.partition(line, len(at) - k - 1)[len(at) - k - 1]
+                at, line = at[line >= cut], line[line >= cut]
+            single = [_cosine(*(v[q, at] for v in p[:3])) for p in parts.values()] if len(at) else []
             found = [
-                (-float(line[i]), rows.ids[i], float(score[q, i]), int(shared[q, i]), [None if np.isnan(s[q, i]) else float(s[q, i]) for s in single.values()])
-                for i in at if rows.ids[i] != own
+                (-float(x), rows.ids[i], float(score[q, i]), int(shared[q, i]), [None if np.isnan(s[j]) else float(s[j]) for s in single])
+                for j, (i, x) in enumerate(zip(at, line)) if rows.ids[i] != own
             ]
             if found:
                 self.rows[q] = sorted(self.rows[q] + found, key=lambda x: x[:2])[:k]
