@@ -321,11 +321,8 @@ SELECT mode, query_id, vec_id, round(sim, 4) + 0.0 AS similarity, CAST(s AS INT)
     FROM lp) WHERE sim IS NOT NULL AND s >= 0.5 * n) WHERE rank <= 10""", extra=PROFILE_CTES))
 def _(t):
     vectors, layers = _profiles(t)
-    parts = [similarity.most_similar(vectors, vectors.select("vec_id"), "vec_id", 10, layers, mode=n, digits=4).select(
-        F.lit(n).alias("mode"), "query_id", "vec_id", "similarity", "n_shared", "coverage", "rank") for n in LAYERS]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    out = similarity.most_similar_by_mode(vectors, vectors.select("vec_id"), "vec_id", 10, layers, list(LAYERS), digits=4)
+    out = out.select("mode", "query_id", "vec_id", "similarity", "n_shared", "coverage", "rank")
     return out.withColumns({"similarity": r(F.col("similarity"), 4), "coverage": F.round("coverage", 3)})
 
 

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from spanframe.operators import similarity
@@ -75,3 +76,56 @@ def test_nothing_to_compare(spark):
     assert similarity.most_similar(empty, empty, "id", 3).count() == 0
     with pytest.raises(ValueError):
         similarity.most_similar(empty, empty, "id", 3, {"one": (0, 3)}, "other")
+
+
+def test_rows_are_shuffled_once_and_not_once_a_block(spark, monkeypatch):
+    """Before, every row was dealt to every block of queries, so shuffled rows grew with the pairs."""
+    monkeypatch.setattr(similarity, "FEW_QUERIES", 16)
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 5)], [False, i % 3 == 0, False]) for i in range(400)], "id long, vector array<double>, mask array<boolean>")
+    plan = similarity.most_similar(df, df.select("id"), "id", 3, parts=2)._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+
+
+def odd_rows(masks):
+    rng = random.Random(masks)
+    kinds = [[rng.random() < 0.3 for _ in range(8)] for _ in range(masks)]
+    own = {}
+    for i in range(300):
+        scale = rng.choice([1.0, 1e-9, 1e12])
+        own[i] = ([rng.choice([0.0, rng.uniform(-1, 1)]) * scale for _ in range(8)], rng.choice(kinds))
+    for i in range(0, 300, 9):
+        own[i] = own[0]
+    return own
+
+
+@pytest.mark.parametrize("together", [1, 1000])
+@pytest.mark.parametrize("masks", [3, 1000])
+def test_screened_rows(monkeypatch, masks, together):
+    """Common masks are screened together and rare ones alone; ties, copies, zeros and far apart scales come out as in a double loop."""
+    for name, value in {"FIRST": 8, "SHARED": 4, "TOGETHER": together, "SCALED": 2, "TILE": 256, "EXACT": 128}.items():
+        monkeypatch.setattr(similarity, name, value)
+    own = odd_rows(masks)
+    side = lambda ids: similarity._Side(np.array([own[i][0] for i in ids]) * ~np.array([own[i][1] for i in ids]), ~np.array([own[i][1] for i in ids]), ids)
+    best = similarity._Best(side(list(own)), 4, {"one": slice(0, 3), "two": slice(3, 8)}, ["one", "two"], 0.5, 4)
+    for start in range(0, 300, 48):
+        best.meet(side(list(own)[start : start + 48]), start)
+    for q in own:
+        scored = sorted((-round(s, 4), v) for v in own if v != q for s, n in [plain(own[q], own[v], range(8))] if s is not None and n >= 4)
+        assert [x for x in best.ids[q].tolist() if x is not None] == [v for _, v in scored[:4]]
+
+
+@pytest.mark.parametrize("masks", [3, 1000])
+def test_modes_together_in_many_blocks_and_batches(spark, monkeypatch, masks):
+    for name, value in {"FEW_QUERIES": 40, "QUERIES": 64, "ROWS": 48}.items():
+        monkeypatch.setattr(similarity, name, value)
+    own = odd_rows(masks)
+    df = spark.createDataFrame([(k, *v) for k, v in own.items()], "id long, vector array<double>, mask array<boolean>")
+    layers = {"one": (0, 3), "two": (3, 8)}
+    got = similarity.most_similar_by_mode(df, df.select("id"), "id", 4, layers, ["one", "integrated", "two"], digits=4, parts=2).collect()
+    places = {"integrated": range(8), "one": range(3), "two": range(3, 8)}
+    want = []
+    for mode, here in places.items():
+        for q in own:
+            scored = sorted((-round(s, 4), v) for v in own if v != q for s, n in [plain(own[q], own[v], here)] if s is not None and n >= 0.5 * len(here))
+            want += [(mode, q, v, i + 1) for i, (_, v) in enumerate(scored[:4])]
+    assert sorted((r["mode"], r["query_id"], r["id"], r["rank"]) for r in got) == sorted(want)
