@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanframe.functions import constants as K
@@ -20,6 +20,7 @@ from spanframe.functions.seqexpr import (
 from spanframe.operators.sequence import kernel, motifs, runs
 from spanframe.operators.sequence.steps import CHUNK, chunks
 from spanframe.operators.sequence.thermo import melting_columns, salt_delta_g, _internal_mono
+from spanframe.session import written
 
 MIN_LENGTH = 10
 
@@ -34,16 +35,29 @@ def validate(df: DataFrame) -> DataFrame:
     )
 
 
-def stability_windows(df: DataFrame, window: int = 100) -> DataFrame:
-    """Mean step energy of consecutive runs of ``window`` steps (unknown bases removed first)."""
-    plain = df.select("seq_id", clean(normalise(F.col("sequence"))).alias("sequence"))
-    # A run of `window` steps spans window+1 bases.
+def stability_windows(df: DataFrame, window: int = 100, pieces: DataFrame | None = None) -> DataFrame:
+    """Mean step energy of consecutive runs of ``window`` steps (unknown bases removed first).
+
+    ``pieces`` of ``flag_pieces`` serve the sequences without unknown bases; the others are cut after those are removed.
+    """
     scaled = [round(K.NN_DELTA_G37[d] * K.STEP_SCALE) for d in K.DINUCLEOTIDES]
-    sums = kernel.scan(chunks(plain, 0, window, spread=False), kernel.step_sums(window, scaled), "w int, _sum long, _steps long")
+    # A run of `window` steps spans window+1 bases.
+    scan = lambda cut: kernel.scan(cut, kernel.step_sums(window, scaled), "w int, _sum long, _steps long")
+    text = normalise(F.col("sequence"))
+    plain = df if pieces is None else df.where(text.contains("N"))
+    sums = scan(chunks(plain.select("seq_id", clean(text).alias("sequence")), 0, window, spread=False))
+    if pieces is not None:
+        sums = sums.unionByName(scan(pieces.where("NOT _gaps")))
     mean = F.try_divide(F.col("_sum") / F.lit(float(K.STEP_SCALE)), F.col("_steps"))
     return sums.groupBy("seq_id", "w").agg(F.max(F.round(mean, 4)).alias("dg"))
 
 
+def _flags(df: DataFrame, kinds: list[tuple[str, Column]], start, end) -> DataFrame:
+    """The flags of each row, by (type, code or null), out of one reading of the rows."""
+    every = F.array(*[F.struct(F.lit(kind).alias("type"), code.alias("code")) for kind, code in kinds])
+    return df.select("seq_id", F.inline(F.filter(every, lambda f: f["code"].isNotNull())), start.cast("long").alias("start"), end.cast("long").alias("end"))
+
+
 def _flag(df: DataFrame, kind: str, code, start, end) -> DataFrame:
     return df.select(
         "seq_id", F.lit(kind).alias("type"), (code if isinstance(code, Column) else F.lit(code)).alias("code"),
@@ -51,39 +65,53 @@ def _flag(df: DataFrame, kind: str, code, start, end) -> DataFrame:
     )
 
 
-def flags(df: DataFrame, window: int = 100, islands: DataFrame | None = None) -> DataFrame:
-    """One row per flag: (seq_id, type, code, start, end); whole-sequence flags have null bounds."""
+def flag_pieces(plain: DataFrame, window: int = 100) -> DataFrame:
+    """Sequences in normal form as pieces whose halos serve all rules of ``flags``, with the bases of their seq_id; written once."""
+    total = F.sum(F.length("sequence")).over(Window.partitionBy("seq_id"))
+    keyed = plain.select("seq_id", "sequence", F.when(F.col("seq_id").isNotNull(), total).alias("_total"), F.contains("sequence", F.lit("N")).alias("_gaps"))
+    reach = max(K.ISLAND_LENGTH, window, K.FLAG_KMER)
+    return written(chunks(keyed, max(runs.LAG.values()), reach, spread=False), "pieces")
+
+
+def flags(df: DataFrame, window: int = 100, islands: DataFrame | None = None, pieces: DataFrame | None = None) -> DataFrame:
+    """One row per flag: (seq_id, type, code, start, end); whole-sequence flags have null bounds.
+
+    Sequences are cut once (``pieces`` of ``flag_pieces``), and every rule reads the pieces. Step counts that ``df`` has already are used.
+    """
+    counted = {f"c_{d}" for d in K.DINUCLEOTIDES} <= set(df.columns)
     plain = df.select("seq_id", normalise(F.col("sequence")).alias("sequence"))
+    if pieces is None:
+        plain = written(plain, "sequences")
+        pieces = flag_pieces(plain, window)
     lengths = plain.select("seq_id", F.length("sequence").alias("n"))
-    found = islands if islands is not None else motifs.island_spans(plain)
-    gc = motifs.gc_windows(plain, window).withColumn("gc", F.round("gc", 4))
+    found = islands if islands is not None else written(motifs.island_spans(plain, pieces=pieces), "islands")
+    gc = motifs.gc_windows(plain, window, pieces).withColumn("gc", F.round("gc", 4))
     start, end = F.col("start"), F.col("end")
 
     gc_code = F.when(F.col("gc") > K.FLAG_HIGH_GC, "HIGH_GC").when(F.col("gc") < K.FLAG_LOW_GC, "LOW_GC")
     extreme = (F.col("gc") > K.FLAG_EXTREME_HIGH) | (F.col("gc") < K.FLAG_EXTREME_LOW)
-    dg = stability_windows(plain, window).join(lengths, "seq_id")
+    dg = stability_windows(plain, window, pieces).join(lengths, "seq_id")
     dg_code = F.when(F.col("dg") > K.FLAG_LOW_STABILITY, "LOW_STABILITY").when(
         F.col("dg") < K.FLAG_HIGH_STABILITY, "HIGH_STABILITY"
     )
-    repeated = motifs.homopolymers(plain, K.FLAG_HOMOPOLYMER)
+    repeated = motifs.homopolymers(plain, K.FLAG_HOMOPOLYMER, pieces=pieces)
     nothing = F.lit(None)
     # Filtering after an aggregate keeps the optimizer from copying the long count expressions.
-    z = with_step_counts(plain.withColumn("sequence", clean(F.col("sequence")))).groupBy("seq_id").agg(
+    steps = df if counted else with_step_counts(plain.withColumn("sequence", clean(F.col("sequence"))))
+    z = steps.groupBy("seq_id").agg(
         F.max(F.round(F.try_divide(step_sum(K.Z_FORM), step_total()), 3)).alias("z")
     ).where(F.col("z") < K.FLAG_Z_FORM)
     many = found.groupBy("seq_id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= K.FLAG_SILENCING_ISLANDS)
-    repeats = motifs.kmer_repeats(plain, K.FLAG_KMER)
+    repeats = motifs.kmer_repeats(plain, K.FLAG_KMER, pieces=pieces)
     repeat_code = F.when(F.col("kind") == "direct", "DIRECT_REPEAT").otherwise("INVERTED_REPEAT")
     w_start, w_end = F.col("w") * window + 1, F.least((F.col("w") + 1) * window, F.col("n"))
     parts = [
         _flag(found, "feature", "CPG_ISLAND", F.col("start_pos") + 1, F.col("end_pos")),
-        _flag(gc.where(gc_code.isNotNull()), "info", gc_code, start, end),
+        _flags(gc.where(gc_code.isNotNull() | extreme), [("info", gc_code), ("warning", F.when(extreme, "EXTREME_GC_WINDOW"))], start, end),
         _flag(dg.where(dg_code.isNotNull()), "info", dg_code, w_start, w_end),
         _flag(z, "feature", "Z_FORM_PRONE", nothing, nothing),
-        _flag(repeated, "feature", "HOMOPOLYMER", start, end),
-        _flag(motifs.dinuc_repeats(plain), "feature", "DINUC_REPEAT", start, end),
-        _flag(repeated.where(F.col("length") >= K.FLAG_LONG_HOMOPOLYMER), "feature", "LONG_HOMOPOLYMER", start, end),
-        _flag(gc.where(extreme), "warning", "EXTREME_GC_WINDOW", start, end),
+        _flags(repeated, [("feature", F.lit("HOMOPOLYMER")), ("feature", F.when(F.col("length") >= K.FLAG_LONG_HOMOPOLYMER, "LONG_HOMOPOLYMER"))], start, end),
+        _flag(motifs.dinuc_repeats(plain, pieces=pieces), "feature", "DINUC_REPEAT", start, end),
         _flag(many, "warning", "SILENCING_RISK", nothing, nothing),
         _flag(repeats, "feature", repeat_code, F.col("first"), F.col("first") + K.FLAG_KMER - 1),
     ]
@@ -120,21 +148,23 @@ def summary_columns(salt_mm: float, oligo_nm: float) -> dict[str, Column]:
 
 
 def summarise(df: DataFrame, keys: tuple[str, ...] = ("seq_id",), salt_mm: float = 1000.0, oligo_nm: float = 250.0):
-    """Count-based summary of each sequence; one pass, no shuffle."""
+    """Count-based summary of each sequence; one pass, no shuffle. Step counts that ``df`` has already are used."""
+    counted = {f"c_{d}" for d in K.DINUCLEOTIDES} <= set(df.columns)
     text = normalise(F.col("sequence"))
     staged = df.withColumn("_full", text).withColumns(
         {"_n": F.length("_full"), "_gc": gc_fraction(F.col("_full")), "sequence": clean(F.col("_full"))}
     )
     cols = summary_columns(salt_mm, oligo_nm)
-    return with_step_counts(staged).select(*keys, *[c.alias(k) for k, c in cols.items()])
+    return (staged if counted else with_step_counts(staged)).select(*keys, *[c.alias(k) for k, c in cols.items()])
 
 
 def evaluate(df: DataFrame, salt_mm: float = 1000.0, oligo_nm: float = 250.0, window: int = 100) -> DataFrame:
     """Full evaluation per sequence: summary, island count and flag counts by type; rejected rows keep the reason."""
-    checked = validate(df.select("seq_id", "sequence"))
+    checked = written(kernel.step_counts(validate(df.select("seq_id", "sequence")), "sequence", [f"c_{d}" for d in K.DINUCLEOTIDES]), "checked")
     good = checked.where(F.col("reject").isNull()).drop("reject")
-    islands = motifs.island_spans(good)
-    counts = flags(good, window, islands).groupBy("seq_id").agg(
+    pieces = flag_pieces(good, window)
+    islands = written(motifs.island_spans(good, pieces=pieces), "islands")
+    counts = flags(good, window, islands, pieces).groupBy("seq_id").agg(
         F.count(F.lit(1)).alias("n_flags"), F.count_if(F.col("type") == "warning").alias("n_warning"),
         F.count_if(F.col("type") == "feature").alias("n_feature"), F.count_if(F.col("type") == "info").alias("n_info"),
         F.count_if(F.col("code") == "CPG_ISLAND").alias("cpg_island_count"),

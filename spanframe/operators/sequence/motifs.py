@@ -23,6 +23,7 @@ from spanframe.functions.seqexpr import (
 from spanframe.operators.merge import merge_intervals
 from spanframe.operators.sequence import kernel, runs
 from spanframe.operators.sequence.steps import CHUNK, chunks, known_windows
+from spanframe.session import written
 
 # Motif patterns.
 G4 = runs.G4
@@ -90,15 +91,15 @@ def inverted_repeats(df: DataFrame, stem: int = 6, min_loop: int = 3, max_loop:
     return kernel.scan(pieces, kernel.stems(stem, min_loop, max_loop), "start int, end int, loop_length int, stem_5prime string")
 
 
-def homopolymers(df: DataFrame, length: int = K.FLAG_HOMOPOLYMER, size: int = CHUNK) -> DataFrame:
+def homopolymers(df: DataFrame, length: int = K.FLAG_HOMOPOLYMER, size: int = CHUNK, pieces: DataFrame | None = None) -> DataFrame:
     """Runs of one base of at least ``length``, 1-based closed."""
-    return runs.base_runs(df, "same", length, size).select(
+    return runs.base_runs(df, "same", length, size, pieces).select(
         "seq_id", (F.col("start") + 1).alias("start"), "end", runs.base_of(F.col("one")).alias("base"), (F.col("end") - F.col("start")).cast("int").alias("length"))
 
 
-def dinuc_repeats(df: DataFrame, total: int = K.FLAG_DINUC_REPEAT, size: int = CHUNK) -> DataFrame:
+def dinuc_repeats(df: DataFrame, total: int = K.FLAG_DINUC_REPEAT, size: int = CHUNK, pieces: DataFrame | None = None) -> DataFrame:
     """Tandem dinucleotides of at least ``total`` bases, 1-based closed."""
-    return runs.tandem_runs(df, total, size).select(
+    return runs.tandem_runs(df, total, size, pieces).select(
         "seq_id", (F.col("start") + 1).alias("start"), "end", "motif", (F.col("end") - F.col("start")).cast("int").alias("length"))
 
 
@@ -115,16 +116,19 @@ def spelled(code: Column, k: int) -> Column:
     return F.concat(*[F.substring(F.lit("ACGT"), F.shiftright(code, 2 * (k - 1 - j)).bitwiseAND(3).cast("int") + 1, F.lit(1)) for j in range(k)])
 
 
-def kmer_repeats(df: DataFrame, k: int = K.FLAG_KMER, size: int = CHUNK) -> DataFrame:
+def kmer_repeats(df: DataFrame, k: int = K.FLAG_KMER, size: int = CHUNK, pieces: DataFrame | None = None) -> DataFrame:
     """Direct and inverted k-mer repeats: (seq_id, kind, kmer, first, second), 1-based starts.
 
     Direct: first and second occurrence of a k-mer. Inverted: the first place
     where a k-mer's reverse complement occurs after it, with the closest earlier
     occurrence of the k-mer. Strand pairs share one canonical key; a sequence's pieces
-    meet as text, and only k-mers that occur again leave the kernel.
+    meet as text, and only k-mers that occur again leave the kernel. ``pieces`` that are cut already have the bases of their seq_id as ``_total``.
     """
-    total = F.sum(F.length("sequence")).over(Window.partitionBy("seq_id"))
-    pieces = chunks(df.where("seq_id IS NOT NULL").select("seq_id", "sequence", total.alias("_total")), 0, k - 1, size, spread=False)
+    if pieces is None:
+        total = F.sum(F.length("sequence")).over(Window.partitionBy("seq_id"))
+        pieces = chunks(df.where("seq_id IS NOT NULL").select("seq_id", "sequence", total.alias("_total")), 0, k - 1, size, spread=False)
+    else:
+        pieces = pieces.where("seq_id IS NOT NULL")
     found = ", ".join(f"{c} long" for c in ("canon", "f1", "r1", "f2", "r2", "r_after", "f_after", "f_before", "r_before"))
     third = kernel.by_kmer(pieces, "seq_id", "_total", k, kernel.canonical_kmers(k), kernel.repeat_places, found)
     third = third.withColumn("canon", spelled(F.col("canon"), k))
@@ -172,11 +176,15 @@ def cpg_islands(df: DataFrame, merge_gap: int = 0, retest: bool = False, size: i
     return out.drop("_oe_n", "_gc_n")
 
 
-def island_spans(df: DataFrame, merge_gap: int = 0, size: int = CHUNK) -> DataFrame:
+def island_spans(df: DataFrame, merge_gap: int = 0, size: int = CHUNK, pieces: DataFrame | None = None) -> DataFrame:
     """Places of CpG islands alone: (seq_id, start_pos, end_pos)."""
     width = K.ISLAND_LENGTH
-    pieces = chunks(df.select("seq_id", "sequence").where("seq_id IS NOT NULL"), 0, width, size, spread=False)
-    grouped = kernel.scan(pieces, kernel.island_runs(width, K.ISLAND_GC, K.ISLAND_OE), "start_pos long, end_pos long")
+    cut = pieces is not None
+    if not cut:
+        pieces = chunks(df.select("seq_id", "sequence"), 0, width, size, spread=False)
+    grouped = kernel.scan(pieces.where("seq_id IS NOT NULL"), kernel.island_runs(width, K.ISLAND_GC, K.ISLAND_OE), "start_pos long, end_pos long")
+    if cut:
+        grouped = written(grouped, "runs")  # merging reads them twice
     return merge_intervals(grouped, merge_gap, keys=("seq_id",)).select("seq_id", "start_pos", "end_pos")
 
 
@@ -247,9 +255,10 @@ def restriction_sites(df: DataFrame, size: int = CHUNK) -> DataFrame:
         (F.col("i") + F.length(pick(sites))).cast("int").alias("end"))
 
 
-def gc_windows(df: DataFrame, window: int = 100) -> DataFrame:
+def gc_windows(df: DataFrame, window: int = 100, pieces: DataFrame | None = None) -> DataFrame:
     """GC fraction of consecutive windows of each sequence: (seq_id, w, start, end, gc), 1-based."""
-    pieces = chunks(df.select("seq_id", "sequence"), 0, window - 1, spread=False)
+    if pieces is None:
+        pieces = chunks(df.select("seq_id", "sequence"), 0, window - 1, spread=False)
     counted = kernel.scan(pieces, kernel.gc_counts(window), "start int, end int, _gc long, _known long")
     return counted.select(
         "seq_id", ((F.col("start") - 1) / window).cast("int").alias("w"), "start", "end",

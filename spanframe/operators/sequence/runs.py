@@ -90,11 +90,11 @@ def _joined(open_: DataFrame, gap: int, more: dict[str, Column]) -> DataFrame:
     return numbered.groupBy("seq_id", "_group").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), *[c.alias(n) for n, c in more.items()]).drop("_group")
 
 
-def base_runs(df: DataFrame, kind: str, least: int, size: int = CHUNK) -> DataFrame:
+def base_runs(df: DataFrame, kind: str, least: int, size: int = CHUNK, pieces: DataFrame | None = None) -> DataFrame:
     """Maximal runs of a kind with ``least`` bases at least: (seq_id, start, end, one, two[, z, z_last]), 0-based half-open; one and two are the codes of the first bases."""
     extra = {"z": F.sum("z"), "z_last": F.max_by("z_last", "hi")} if kind == "alternating" else {}
     schema = "lo long, hi long, open boolean, one long, two long" + "".join(f", {c} long" for c in extra)
-    found = kernel.scan(_pieces(df, 2, 0, size), link_stretches(kind, least), schema)
+    found = kernel.scan(_pieces(df, 2, 0, size) if pieces is None else pieces, link_stretches(kind, least), schema)
     seams = _joined(found.where("open"), 0, {"one": F.min_by("one", "lo"), "two": F.min_by("two", "lo"), **extra})
     columns = ["seq_id", "lo", "hi", "one", "two", *extra]
     runs = found.where("NOT open").select(*columns).unionByName(seams.select(*columns))
@@ -139,10 +139,10 @@ def tandem_stretches(least: int):
     return fn
 
 
-def tandem_runs(df: DataFrame, total: int, size: int = CHUNK) -> DataFrame:
+def tandem_runs(df: DataFrame, total: int, size: int = CHUNK, pieces: DataFrame | None = None) -> DataFrame:
     """Repeated pairs of bases of at least ``total`` bases: (seq_id, start, end, motif), 0-based half-open, without overlap."""
     least = 2 * (total // 2)
-    found = kernel.scan(_pieces(df, 2, 0, size), tandem_stretches(least), "start long, end long, open boolean, one long, two long")
+    found = kernel.scan(_pieces(df, 2, 0, size) if pieces is None else pieces, tandem_stretches(least), "start long, end long, open boolean, one long, two long")
     columns = ["seq_id", "start", "end", "one", "two"]
     open_ = found.where("open").select("seq_id", (F.col("start") + 2).alias("lo"), F.col("end").alias("hi"), "one", "two")
     seams = _joined(open_, 0, {"one": F.min_by("one", "lo"), "two": F.min_by("two", "lo")}).where(F.col("hi") - F.col("lo") + 2 >= least)
