@@ -41,7 +41,16 @@ class Pieces:
 
     def core(self, reach: int) -> np.ndarray:
         """Places of the core from which ``reach`` bases lie inside the sequence."""
-        return np.flatnonzero((self.i >= self.core_start[self.piece]) & (self.i < self.core_end[self.piece]) & (self.i <= self.n[self.piece] - reach))
+        return self.grid(1, reach)
+
+    def grid(self, step: int, reach: int) -> np.ndarray:
+        """Those of them whose number in the sequence is a multiple of ``step``."""
+        first = -(-np.maximum(self.core_start, self.piece_start) // step) * step
+        last = np.minimum(np.minimum(self.core_end - 1, self.n - reach), self.piece_start + self.end - self.begin - 1)
+        count = np.maximum((last - first) // step + 1, 0)
+        total = np.cumsum(count)
+        number = int(total[-1]) if len(total) else 0
+        return np.repeat(self.begin + first - self.piece_start - step * (total - count), count) + step * np.arange(number)
 
     def ahead(self, values: np.ndarray, fill) -> np.ndarray:
         """Values with room behind the end, for windows that start at places ``core`` excludes."""
@@ -300,8 +309,9 @@ def canonical_kmers(k: int):
 
     def fn(p: Pieces):
         at, code = p.core(k), p.ahead(p.code, 4)
-        unknown = np.concatenate([[0], np.cumsum(code == 4)])
-        at = at[unknown[at + k] == unknown[at]]
+        if (p.code == 4).any():
+            unknown = np.concatenate([[0], np.cumsum(code == 4)])
+            at = at[unknown[at + k] == unknown[at]]
         base = (code & 3).astype(np.int32 if 2 * k < 32 else np.int64)
         forward, back = (v[at].astype(np.int64) for v in _spelled_words(base, k))
         canon, piece = np.minimum(forward, back), p.piece[at]
@@ -474,8 +484,7 @@ def gc_counts(window: int):
     """Per window of ``window`` bases from a sequence's start on: its end, G and C, known bases."""
 
     def fn(p: Pieces):
-        at = p.core(1)
-        at = at[p.i[at] % window == 0]
+        at = p.grid(window, 1)
         end = np.minimum(at + window, p.end[p.piece[at]])
         gc, known = (np.concatenate([[0], np.cumsum(v)]) for v in ((p.code == 1) | (p.code == 2), p.data != ord("N")))
         return p.piece[at], {"start": (p.i[at] + 1).astype(np.int32), "end": (p.i[at] + end - at).astype(np.int32), "_gc": gc[end] - gc[at], "_known": known[end] - known[at]}
@@ -491,8 +500,7 @@ def step_sums(window: int, values: list[int]):
         code = p.ahead(p.code, 4)[: len(p.code) + 1]
         known = (code[:-1] < 4) & (code[1:] < 4)
         step = np.where(known, 4 * code[:-1] + code[1:], 16)
-        at = np.flatnonzero((p.i % window == 0) & (p.i <= p.n[p.piece] - 2))
-        at = at[(p.i[at] >= p.core_start[p.piece[at]]) & (p.i[at] < p.core_end[p.piece[at]])]
+        at = p.grid(window, 2)
         end = np.minimum(at + window, p.end[p.piece[at]] - 1)
         total, number = (np.concatenate([[0], np.cumsum(v)]) for v in (table[step], known))
         return p.piece[at], {"w": (p.i[at] // window).astype(np.int32), "_sum": total[end] - total[at], "_steps": number[end] - number[at]}
